@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,8 +69,13 @@ def structure_signature(fields: Column, geometry: Column, crs: Column) -> Column
 
 
 def keyed_hash(scope: Column, value: Column, secret: str) -> Column:
-    """Counter key that cannot be turned back into the value without the secret."""
-    return F.sha2(F.concat_ws(":", F.lit(secret), scope, F.lower(F.trim(value))), 256)
+    """HMAC-SHA256 of `scope|value` in hex."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.lit(bytes(b ^ 0x36 for b in key))
+    outer = F.lit(bytes(b ^ 0x5C for b in key))
+    message = F.encode(F.concat_ws("|", scope, value), "UTF-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def percent_change(base: Column, new: Column) -> Column:

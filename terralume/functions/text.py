@@ -153,11 +153,11 @@ def cpf_valid(text: Column) -> Column:
 
 
 def integer_key(text: Column) -> Column:
-    """`123.0` and ` 123 ` become `123`; blanks and anything else become ''."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")))
-    whole = F.regexp_extract(trimmed, r"^([0-9]+)([.,]0+)?$", 1)
-    digits = F.regexp_replace(whole, "^0+(?=[0-9])", "")
-    return F.when(whole == "", "").otherwise(digits)
+    """`123.0` and ` +0123 ` become `123`; blanks and anything else become ''."""
+    bare = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\ufeff"), F.lit("")))
+    shape = r"^([+-]?)0*([0-9]+)(?:\.0+)?$"
+    sign, digits = F.regexp_extract(bare, shape, 1), F.regexp_extract(bare, shape, 2)
+    return F.when((sign == "-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def clean_display(text: Column) -> Column:
