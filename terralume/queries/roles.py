@@ -89,7 +89,9 @@ def _bits(key: Column) -> Column:
 
 def placed(df: DataFrame, key: str, a: str, b: str, factor: int, shift: int) -> DataFrame:
     """Add x0, y0, x1, y1 and the box geometry derived from an integer key."""
-    n = F.shiftleft(F.lit(4).cast("bigint"), ((_bits(F.col(key)) - 1) / 2).cast("int"))
+    n = F.call_function(
+        "shiftleft", F.lit(4).cast("bigint"), ((_bits(F.col(key)) - 1) / 2).cast("int")
+    )
     spot = (F.col(key) + 1) * factor
     side = F.lit(32.0) / n
     wide = side * (2 + F.col(a) % 3) / 4
