@@ -207,6 +207,7 @@ def member_overlaps(
     left_key: str,
     right_key: str,
     limit: int = EXTERNAL_LIMIT,
+    itself: bool = False,
 ) -> DataFrame:
     """Feature pairs from shape pairs, at most `limit` per left feature.
 
@@ -224,6 +225,8 @@ def member_overlaps(
     )
     mine = left.select(F.col("shape").alias("a"), left_key)
     expanded = mine.join(overlaps, "a").join(members, "b")
+    if itself:
+        expanded = expanded.where(F.col(left_key) != F.col(right_key))
     # Areas are compared to the square millimetre, so equal shapes tie exactly.
     rank = Window.partitionBy(left_key).orderBy(F.round("area_m2", 6).desc(), F.col(right_key))
     ranked = expanded.withColumn("ordem", F.row_number().over(rank))

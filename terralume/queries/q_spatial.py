@@ -105,3 +105,287 @@ def overlap_external_layer(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.col("fm2") / 10000, 4).alias("area_geometria_ha"),
         "ordem",
     )
+
+
+@query(
+    "J2 G17 O1",
+    sql=f"""with {roles.PROPERTIES_SQL}, pairs as (
+      select a.cod_imovel, b.cod_imovel as outro, greatest(a.x0, b.x0) as ix0, greatest(a.y0, b.y0) as iy0,
+        least(a.x1, b.x1) as ix1, least(a.y1, b.y1) as iy1, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1,
+        b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1
+      from properties a join properties b on a.cod_imovel <> b.cod_imovel
+        and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1),
+    areas as (select *, {box_m2("ix0", "iy0", "ix1", "iy1")} as m2, {box_m2("ax0", "ay0", "ax1", "ay1")} as am,
+      {box_m2("bx0", "by0", "bx1", "by1")} as bm from pairs)
+    select cod_imovel, outro, round(m2 / 10000, 4) as area_sobreposta_ha,
+      round(m2 / am * 100, 4) as percentual_car_consultado, round(m2 / bm * 100, 4) as percentual_outro_car, ordem
+    from (select *, row_number() over (partition by cod_imovel order by round(m2, 6) desc, outro) as ordem
+          from areas where m2 > 1.0) where ordem <= 1000""",
+    bench=True,
+)
+def overlap_other_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Property against property: unordered shape pairs once, then mirrored."""
+    from ..operators.confront import other_properties
+
+    rows = other_properties(roles.properties(spark, sf))
+    return rows.select(
+        "cod_imovel",
+        "outro",
+        F.round("area_sobreposta_ha", 4).alias("area_sobreposta_ha"),
+        F.round("percentual_car_consultado", 4).alias("percentual_car_consultado"),
+        F.round("percentual_outro_car", 4).alias("percentual_outro_car"),
+        "ordem",
+    )
+
+
+@query(
+    "A9 U8",
+    sql=f"""with {roles.PROPERTIES_SQL}, {roles.EMBARGO_SQL}, {pairs_sql("embargo", "seq_tad")},
+    kept as (select distinct cod_imovel, ix0, iy0, ix1, iy1 from areas where m2 > 1.0),
+    ys as (select cod_imovel, iy0 as y from kept union select cod_imovel, iy1 from kept),
+    slabs as (select cod_imovel, y as ya, lead(y) over (partition by cod_imovel order by y) as yb from ys),
+    spans as (select s.cod_imovel, ya, yb, ix0, ix1, max(ix1) over (partition by s.cod_imovel, ya order by ix0, ix1
+        rows between unbounded preceding and 1 preceding) as seen
+      from slabs s join kept k on s.cod_imovel = k.cod_imovel and k.iy0 <= ya and k.iy1 >= yb where yb is not null)
+    select cod_imovel, round(sum(greatest(0, ix1 - greatest(ix0, coalesce(seen, ix0)))
+      * ({q_sql("yb")} - {q_sql("ya")}) * {_K!r}::double) / 10000, 3) as area_unica_ha
+    from spans group by 1""",
+    bench=True,
+)
+def union_area_per_property(spark: SparkSession, sf: str) -> DataFrame:
+    """Area of each property covered by the embargo layer, overlaps counted once."""
+    props, _, ps, fs = sides(spark, sf, roles.embargo_layer(spark, sf))
+    pieces = spatial.intersection_shapes(spatial.shape_overlaps(ps, fs), ps, fs)
+    per_shape = spatial.union_areas(pieces, ["a"])
+    mine = props.select(F.col("shape").alias("a"), "cod_imovel").join(per_shape, "a")
+    return mine.select(
+        "cod_imovel", F.round(F.col("area_unica_m2") / 10000, 3).alias("area_unica_ha")
+    )
+
+
+def _point_table(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    lon = F.lit(-72.0) + (F.col("event_id") * 37 % 1024) / 32
+    lat = F.lit(-32.0) + (F.col("event_id") * 91 % 1021) / 32
+    return e.select("event_id", lon.alias("x"), lat.alias("y"))
+
+
+@query(
+    "J3 G12 O2 P26",
+    sql=f"""with {roles.PROPERTIES_SQL}, pts as (
+      select event_id, -72.0::double + (event_id * 37 % 1024) / 32 as x, -32.0::double + (event_id * 91 % 1021) / 32 as y from events),
+    hits as (select event_id, cod_imovel, row_number() over (partition by event_id order by area_total_ha, cod_imovel) as ordem
+      from pts join properties on x between x0 and x1 and y between y0 and y1)
+    select *, (select count(*) from hits h2 where h2.event_id = hits.event_id) > 20 as truncada from hits where ordem <= 20""",
+    bench=True,
+)
+def properties_at_points(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import locate
+
+    pts = _point_table(spark, sf).where(locate.valid_position(F.col("y"), F.col("x")))
+    found = locate.by_point(pts, roles.properties(spark, sf), "event_id")
+    return found.select("event_id", "cod_imovel", "ordem", "truncada")
+
+
+@query(
+    "J4 F30 X5",
+    sql=f"""with {roles.PROPERTIES_SQL}, {roles.EMBARGO_SQL}, views as (
+      select seq_tad, x0 as west, y0 as south, x0 + 0.5 as east, y0 + 0.5 as north, 12 + seq_tad % 3 as zoom from embargo),
+    ok as (select * from views where 0.5 <= 360.0 * 12 / pow(2, zoom)),
+    hits as (select seq_tad, cod_imovel, row_number() over (partition by seq_tad order by cod_imovel) as ordem,
+        count(*) over (partition by seq_tad) as n
+      from ok join properties on west <= x1 and x0 <= east and south <= y1 and y0 <= north
+      where uf <> 'PE' or cod_imovel is not null)
+    select seq_tad, cod_imovel, ordem, n > 750 as truncada from hits where ordem <= 750""",
+)
+def properties_in_views(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import locate
+
+    e = roles.embargo_layer(spark, sf).withColumn("b", geo.bbox(F.col("geometry")))
+    views = e.select(
+        "seq_tad",
+        F.col("b.xmin").alias("west"),
+        F.col("b.ymin").alias("south"),
+        (F.col("b.xmin") + 0.5).alias("east"),
+        (F.col("b.ymin") + 0.5).alias("north"),
+        (12 + F.col("seq_tad") % 3).alias("zoom"),
+        F.lit("").alias("excluded"),
+    )
+    ok = views.where(
+        locate.valid_view(*[F.col(c) for c in ("zoom", "west", "south", "east", "north")])
+    )
+    found = locate.by_view(ok, roles.properties(spark, sf), "seq_tad")
+    return found.select("seq_tad", "cod_imovel", "ordem", "truncada")
+
+
+@query(
+    "J5 O3 X4",
+    sql=f"""with {roles.PROPERTIES_SQL}, {roles.UNITS_SQL}, pairs as (
+      select l.uc_id, p.cod_imovel, p.area_total_ha, greatest(p.x0, l.x0) as ix0, greatest(p.y0, l.y0) as iy0,
+        least(p.x1, l.x1) as ix1, least(p.y1, l.y1) as iy1, p.x0 as px0, p.y0 as py0, p.x1 as px1, p.y1 as py1
+      from properties p join units l on p.x0 < l.x1 and l.x0 < p.x1 and p.y0 < l.y1 and l.y0 < p.y1),
+    areas as (select *, {box_m2("ix0", "iy0", "ix1", "iy1")} as m2, {box_m2("px0", "py0", "px1", "py1")} as pm from pairs)
+    select uc_id, cod_imovel, round(m2 / 10000, 4) as area_sobreposta_ha, round(m2 / pm * 100, 4) as percentual_car, ordem
+    from (select *, row_number() over (partition by uc_id order by round(m2, 6) desc, area_total_ha, cod_imovel) as ordem
+          from areas where m2 > 1.0) where ordem <= 20""",
+)
+def properties_in_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import locate
+
+    drawn = roles.units_layer(spark, sf).select("uc_id", "geometry")
+    found = locate.by_polygon(drawn, roles.properties(spark, sf), "uc_id")
+    return found.select(
+        "uc_id",
+        "cod_imovel",
+        F.round("area_sobreposta_ha", 4).alias("area_sobreposta_ha"),
+        F.round("percentual_car", 4).alias("percentual_car"),
+        "ordem",
+    )
+
+
+@query(
+    "J6 G10",
+    sql=f"""with {roles.PROPERTIES_SQL}, {roles.UNITS_SQL}
+    select cod_imovel, uc_id from properties p join units l
+      on p.x0 <= l.x1 and l.x0 <= p.x1 and p.y0 <= l.y1 and l.y0 <= p.y1""",
+)
+def plots_touching_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Contact without tolerance: shared edges and corners count."""
+    props, feats, ps, fs = sides(spark, sf, roles.units_layer(spark, sf))
+    met = spatial.shape_contacts(ps, fs)
+    mine = props.select(F.col("shape").alias("a"), "cod_imovel")
+    theirs = feats.select(F.col("shape").alias("b"), "uc_id")
+    return mine.join(met, "a").join(theirs, "b").select("cod_imovel", "uc_id")
+
+
+@query(
+    "A11 J12 O4 F3 P20",
+    sql=f"""with {roles.PROPERTIES_SQL}, m as (
+      select municipio as nome, uf, codigo_municipio as codigo_ibge, min(x0) as xmin, min(y0) as ymin, max(x1) as xmax, max(y1) as ymax
+      from properties group by all),
+    terms as (select distinct upper(left(o_orderpriority, 0)) || substr(c_mktsegment, 1 + length(c_mktsegment) % 2, 4) as termo
+      from customer, (select min(o_orderpriority) as o_orderpriority from orders)),
+    hits as (select termo, m.*, case when starts_with(nome, termo) then 0 else 1 end as prioridade
+      from terms join m on contains(nome, termo))
+    select * from (select *, row_number() over (partition by termo order by prioridade, nome, uf, codigo_ibge) as ordem from hits)
+    where ordem <= 10""",
+)
+def municipality_search(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import locate
+
+    c = table(spark, sf, "customer")
+    seg = F.col("c_mktsegment")
+    terms = c.select(F.substr(seg, 1 + F.length(seg) % 2, F.lit(4)).alias("termo"))
+    return locate.search_municipalities(terms, roles.properties(spark, sf), "termo")
+
+
+@query(
+    "P19",
+    sql=f"""with {roles.PROPERTIES_SQL}, req as (
+      select distinct case when municipio = 'BUILDING' then ' ' || lower(cod_imovel) when municipio = 'MACHINERY' then 'XX' || cod_imovel
+        else cod_imovel end as pedido from properties)
+    select pedido, case when pedido like 'XX%' then 0 else 1 end as quantidade,
+      case when pedido like 'XX%' then 'NAO_ENCONTRADO' else 'ENCONTRADO' end as situacao from req""",
+)
+def lookup_by_code(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import locate
+
+    p = roles.properties(spark, sf)
+    code = F.col("cod_imovel")
+    asked = p.select(
+        F.when(F.col("municipio") == "BUILDING", F.concat(F.lit(" "), F.lower(code)))
+        .when(F.col("municipio") == "MACHINERY", F.concat(F.lit("XX"), code))
+        .otherwise(code)
+        .alias("pedido")
+    )
+    return locate.by_code(asked, p, "pedido")
+
+
+# Triangles and L-shapes from parts; oracles use exact planar areas.
+def _shaped(spark: SparkSession, sf: str) -> DataFrame:
+    u = roles.units_layer(spark, sf).withColumn("b", geo.bbox(F.col("geometry")))
+    x0, y0, x1, y1 = (F.col(f"b.{k}") for k in ("xmin", "ymin", "xmax", "ymax"))
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    p = geo.point
+    triangle = F.array(p(x0, y0), p(x1, y0), p(x0, y1), p(x0, y0))
+    ell = F.array(p(x0, y0), p(x1, y0), p(x1, ym), p(xm, ym), p(xm, y1), p(x0, y1), p(x0, y0))
+    bow = F.array(p(x0, y0), p(x1, y1), p(x1, y0), p(x0, y1), p(x0, y0))
+    ring = (
+        F.when(F.col("categoria_manejo") == "ECONOMY", triangle)
+        .when(F.col("categoria_manejo") == "STANDARD", ell)
+        .otherwise(bow)
+    )
+    return u.withColumn("geometry", geo.geometry(F.array(F.array(ring)))).drop("b")
+
+
+_SHAPE_AREA = """case categoria_manejo when 'ECONOMY' then (x1 - x0) * (y1 - y0) / 2
+  when 'STANDARD' then (x1 - x0) * (y1 - y0) * 3 / 4 else (x1 - x0) * (y1 - y0) / 2 end"""
+
+
+@query(
+    "G7 G8 G11",
+    sql=f"""with {roles.UNITS_SQL}
+    select uc_id, categoria_manejo in ('ECONOMY', 'STANDARD') as valida, {_SHAPE_AREA} as area from units""",
+    bench=True,
+)
+def validity_and_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Bow-ties become two triangles, valid shapes stay."""
+    s = _shaped(spark, sf)
+    return s.select(
+        "uc_id",
+        geo.is_valid(F.col("geometry")).alias("valida"),
+        geo.planar_area(overlay.made_valid(F.col("geometry"))).alias("area"),
+    )
+
+
+@query(
+    "A1 A2",
+    sql=f"""with {roles.UNITS_SQL}
+    select count(*) as total, 0 as nulas, 0 as vazias,
+      count(*) filter (categoria_manejo not in ('ECONOMY', 'STANDARD')) as invalidas, 0 as reparaveis
+    from units""",
+)
+def geometry_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A bow-tie of a box has no net area, so the ring test finds none repairable."""
+    from ..operators import quality
+
+    return quality.geometry_profile(_shaped(spark, sf), "geometry")
+
+
+@query(
+    "A2 O6",
+    sql=f"""with {roles.UNITS_SQL}
+    select uc_id, 'autointerseção' as motivo from units where categoria_manejo not in ('ECONOMY', 'STANDARD')
+    order by uc_id limit 50""",
+)
+def invalid_geometry_samples(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import quality
+
+    return quality.geometry_samples(_shaped(spark, sf), "uc_id", "geometry")
+
+
+@query(
+    "G11 G16",
+    sql=f"""with {roles.UNITS_SQL}, u as (
+      select uc_id, (x1 - x0) as w, (y1 - y0) as h from units where categoria_manejo in ('ECONOMY', 'STANDARD')),
+    c as (select uc_id, w, h, categoria_manejo from units join u using (uc_id))
+    select uc_id,
+      case categoria_manejo when 'ECONOMY' then w * h * 3 / 8 else w * h / 2 end as inter,
+      case categoria_manejo when 'ECONOMY' then w * h / 8 else w * h / 4 end as diff,
+      case categoria_manejo when 'ECONOMY' then w * h * 5 / 8 else w * h * 3 / 4 end as uni
+    from c""",
+)
+def overlay_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Triangles and L-shapes against the left half of their box."""
+    s = _shaped(spark, sf).where(F.col("categoria_manejo").isin("ECONOMY", "STANDARD"))
+    b = F.col("b")
+    half = geo.box_geometry(b["xmin"], b["ymin"], (b["xmin"] + b["xmax"]) / 2, b["ymax"])
+    s = s.withColumn("b", geo.bbox(F.col("geometry"))).withColumn("half", half)
+    s = s.withColumns({"ra": overlay.rises(F.col("geometry")), "rb": overlay.rises(F.col("half"))})
+    ra, rb = F.col("ra"), F.col("rb")
+    return s.select(
+        "uc_id",
+        geo.planar_area(overlay.intersection(ra, rb)).alias("inter"),
+        geo.planar_area(overlay.difference(ra, rb)).alias("diff"),
+        geo.planar_area(overlay.union(F.concat(ra, rb))).alias("uni"),
+    )
