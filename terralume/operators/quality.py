@@ -282,21 +282,18 @@ def geometry_profile(df: DataFrame, column: str) -> DataFrame:
 
 
 def geometry_samples(df: DataFrame, key: str, column: str, samples: int = 50) -> DataFrame:
-    """First invalid geometries with a reason."""
+    """First invalid geometries with a reason; every test runs once per row."""
     geom = F.col(column)
     open_ring = F.exists(geo.rings(geom), lambda r: ~geo.ring_closed(r) | (F.size(r) < 4))
+    flat_ring = F.exists(geo.rings(geom), lambda r: geo.planar_ring_area(r) == 0)
     reason = (
         F.when(geo.is_empty(geom), "vazia")
         .when(open_ring, "anel aberto")
         .when(geo.self_crossing(geom), "autointerseção")
-        .when(~geo.is_valid(geom), "sem área")
-    )
-    return (
-        df.select(F.col(key), reason.alias("motivo"))
-        .where("motivo is not null")
-        .orderBy(key)
-        .limit(samples)
+        .when(flat_ring, "sem área")
     )
+    reasons = df.select(F.col(key), F.explode(F.array_compact(F.array(reason))).alias("motivo"))
+    return reasons.orderBy(key).limit(samples)
 
 
 def encoding_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
