@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import UF_CODES
+
 
 def previous_equal(df: DataFrame, match: Sequence[str], key: str, order: str) -> DataFrame:
     """Add `anterior`: the key of the newest earlier row equal on `match`.
@@ -38,7 +40,8 @@ def record_version(versions: DataFrame, confirmed: DataFrame) -> DataFrame:
 
 def newest_snapshot(listing: DataFrame, wanted: DataFrame) -> DataFrame:
     """Newest file per (dataset, UF): base name and state in the name, else base name only."""
-    stem = listing.withColumn("base_nome", F.lower(F.regexp_extract("arquivo", r"^([A-Za-z_]+?)(?:[_-][A-Za-z]{2})?[0-9.]", 1)))
+    shape = rf"(?i)^(.*?)(?:[_-](?:{'|'.join(UF_CODES)}))?(?:[_-]?[0-9][^.]*)?[.][a-z0-9]+$"
+    stem = listing.withColumn("base_nome", F.lower(F.regexp_extract("arquivo", shape, 1)))
     met = wanted.withColumn("base_nome", F.lower("base_nome")).join(stem, "base_nome")
     tokens = F.split(F.upper("arquivo"), "[^A-Z]+")
     has_uf = F.array_contains(tokens, F.col("uf")).cast("int")
