@@ -41,8 +41,8 @@ def alert_status(layer: Column, state: Column) -> Column:
     )
 
 
-def alert_summary(states: DataFrame, owner: str = "cod_imovel") -> DataFrame:
-    """Per property: number of alert types and their labels in report order.
+def summary_columns() -> tuple[Column, Column]:
+    """Aggregates over layer states: number of alert types, and their labels in report order.
 
     A property has one row per layer at most, so the list is bounded by the
     number of layers.
@@ -55,9 +55,7 @@ def alert_summary(states: DataFrame, owner: str = "cod_imovel") -> DataFrame:
         F.struct(order[F.col("camada")].alias("i"), label[F.col("camada")].alias("l")),
     )
     listed = F.transform(F.array_sort(F.collect_set(entry)), lambda e: e["l"])
-    return states.groupBy(owner).agg(
-        F.size(F.collect_set(entry)).alias("quantidade"), F.array_join(listed, " • ").alias("resumo")
-    )
+    return F.count(entry).alias("quantidade"), F.array_join(listed, " • ").alias("resumo")
 
 
 def default_visible(layer: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import geometry as geo
+from ..session import materialize
 from . import spatial
 
 # List sizes of the reports.
@@ -13,7 +15,22 @@ LAYER_LIMIT = 2500
 EXPORT_LIMIT = 10000
 
 
-def other_properties(properties: DataFrame, limit: int = OTHER_LIMIT) -> DataFrame:
+@dataclass(frozen=True)
+class Indexed:
+    """A feature table with its shape ids, and the materialised table of its shapes."""
+
+    features: DataFrame
+    shapes: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Indexed:
+        """The shape table is read by the cell join, the overlay and the areas, so it is written once."""
+        features = spatial.with_shape(df)
+        shapes = materialize(spatial.shapes(features), "shapes")
+        return cls(features.drop("geometry"), shapes)
+
+
+def other_properties(properties: Indexed, limit: int = OTHER_LIMIT) -> DataFrame:
     """Overlaps with other properties, both percentages, largest first.
 
     Each unordered pair of shapes is measured once and mirrored. Properties
@@ -21,11 +38,10 @@ def other_properties(properties: DataFrame, limit: int = OTHER_LIMIT) -> DataFra
     shape. A shape's members are cut to the first limit + 1 by code, which is
     all any list of this length can hold besides the property itself.
     """
-    props = spatial.with_shape(properties.select("cod_imovel", "geometry"))
-    side = spatial.shapes(props)
-    half = spatial.shape_overlaps(side, side.where(F.lit(True))).where("a < b")
-    mirrored = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "area_m2")
+    side = properties.shapes
     areas = spatial.shape_areas(side)
+    half = materialize(spatial.shape_overlaps(side, side, once=True), "pairs")
+    mirrored = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "area_m2")
     same = (
         side.where("copies > 1")
         .select("shape")
@@ -33,8 +49,9 @@ def other_properties(properties: DataFrame, limit: int = OTHER_LIMIT) -> DataFra
         .select(F.col("shape").alias("a"), F.col("shape").alias("b"), F.col("m2").alias("area_m2"))
     )
     pairs = half.unionByName(mirrored).unionByName(same)
-    feats = props.withColumnRenamed("cod_imovel", "outro")
-    rows = spatial.member_overlaps(props, feats, pairs, "cod_imovel", "outro", limit, itself=True)
+    mine = properties.features.select("cod_imovel", "shape")
+    theirs = mine.withColumnRenamed("cod_imovel", "outro")
+    rows = spatial.member_overlaps(mine, theirs, pairs, "cod_imovel", "outro", limit, itself=True)
     pa = areas.select(F.col("shape").alias("a"), F.col("m2").alias("am"))
     pb = areas.select(F.col("shape").alias("b"), F.col("m2").alias("bm"))
     full = rows.join(pa, "a").join(pb, "b")
@@ -48,23 +65,33 @@ def other_properties(properties: DataFrame, limit: int = OTHER_LIMIT) -> DataFra
     )
 
 
+@dataclass(frozen=True)
+class LayerResult:
+    """One layer against all properties; `records` ranked, `counts` whole, `union` on demand."""
+
+    records: DataFrame
+    counts: DataFrame
+    pieces: DataFrame
+    union: DataFrame
+
+
 def external_layer(
-    properties: DataFrame,
+    properties: Indexed,
     layer: DataFrame,
     feature: str,
     where: Column | None = None,
     limit: int = spatial.EXTERNAL_LIMIT,
-) -> tuple[DataFrame, DataFrame]:
-    """Records and summary of one layer against all properties.
+) -> LayerResult:
+    """Ranked overlaps, counts with truncation flag and sum, clipped shapes and union area.
 
-    Records are the ranked overlaps; the summary has count, truncation flag,
-    sum and union area per property. Both come from one table of shape pairs.
+    The pair table is written once; every result is a plan over it, so only
+    what is used is computed.
     """
-    props = spatial.with_shape(properties.select("cod_imovel", "geometry"))
-    feats = spatial.with_shape(layer.where(where) if where is not None else layer)
-    ps, fs = spatial.shapes(props), spatial.shapes(feats)
-    pairs = spatial.shape_overlaps(ps, fs)
-    rows = spatial.member_overlaps(props, feats, pairs, "cod_imovel", feature, limit)
+    feats = Indexed.of(layer.where(where) if where is not None else layer)
+    ps, fs = properties.shapes, feats.shapes
+    pairs = materialize(spatial.shape_overlaps(ps, fs), "pairs")
+    mine = properties.features.select("cod_imovel", "shape")
+    rows = spatial.member_overlaps(mine, feats.features, pairs, "cod_imovel", feature, limit)
     pa = spatial.shape_areas(ps).select(F.col("shape").alias("a"), F.col("m2").alias("_pm"))
     fa = spatial.shape_areas(fs).select(F.col("shape").alias("b"), F.col("m2").alias("_fm"))
     records = rows.join(pa, "a").join(fa, "b").select(
@@ -76,18 +103,18 @@ def external_layer(
         spatial.percent(F.col("area_m2"), F.col("_pm")).alias("percentual_car"),
         spatial.percent(F.col("area_m2"), F.col("_fm")).alias("percentual_fonte"),
     )
-    counts = spatial.overlap_counts(props, pairs, fs, "cod_imovel")
-    pieces = spatial.intersection_shapes(pairs, ps, fs)
-    union = spatial.union_areas(pieces, ["a"])
-    single = props.select(F.col("shape").alias("a"), "cod_imovel").join(union, "a").drop("a")
-    summary = counts.join(single, "cod_imovel", "left").select(
+    counts = spatial.overlap_counts(mine, pairs, fs, "cod_imovel").select(
         "cod_imovel",
         F.least("quantidade", F.lit(limit)).alias("quantidade"),
         (F.col("quantidade") > limit).alias("truncada"),
         (F.col("soma_m2") / 10000).alias("area_soma_ha"),
-        (F.col("area_unica_m2") / 10000).alias("area_unica_sobreposta_ha"),
     )
-    return records, summary
+    pieces = spatial.intersection_shapes(pairs, ps, fs)
+    covered = spatial.union_areas(pieces, ["a"])
+    union = mine.select(F.col("shape").alias("a"), "cod_imovel").join(covered, "a").select(
+        "cod_imovel", (F.col("area_unica_m2") / 10000).alias("area_unica_sobreposta_ha")
+    )
+    return LayerResult(records, counts, pieces, union)
 
 
 def own_layers(
@@ -115,15 +142,14 @@ def export_allowed(counts: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
     return counts.withColumn("exportar", F.col("quantidade") <= limit)
 
 
-def contract_overlaps(properties: DataFrame, features: DataFrame, key: str) -> DataFrame:
-    """Contract variant: any positive area, rounded to four digits."""
-    props = spatial.with_shape(properties.select("cod_imovel", "geometry"))
-    feats = spatial.with_shape(features)
-    ps, fs = spatial.shapes(props), spatial.shapes(feats)
-    pairs = spatial.shape_overlaps(ps, fs, tolerance=0.0)
+def contract_overlaps(properties: Indexed, features: DataFrame, key: str) -> DataFrame:
+    """Contract variant: any positive area, rounded to four digits; attributes of `features` kept."""
+    feats = Indexed.of(features)
+    ps = properties.shapes
+    pairs = spatial.shape_overlaps(ps, feats.shapes, tolerance=0.0)
     areas = spatial.shape_areas(ps).select(F.col("shape").alias("a"), F.col("m2").alias("_pm"))
-    mine = props.select(F.col("shape").alias("a"), "cod_imovel").join(areas, "a")
-    theirs = feats.drop("geometry").withColumnRenamed("shape", "b")
+    mine = properties.features.select(F.col("shape").alias("a"), "cod_imovel").join(areas, "a")
+    theirs = feats.features.withColumnRenamed("shape", "b")
     return (
         mine.join(pairs, "a")
         .join(theirs, "b")

@@ -150,18 +150,20 @@ def _chunks(side: DataFrame, name: str) -> DataFrame:
 
 
 def shape_overlaps(
-    left: DataFrame, right: DataFrame, tolerance: float = geo.TOLERANCE_M2
+    left: DataFrame, right: DataFrame, tolerance: float = geo.TOLERANCE_M2, once: bool = False
 ) -> DataFrame:
     """Shape pairs with a shared area above the tolerance, from two `shapes` tables.
 
     The shared area is a sum over edge pairs, so the edges of a large polygon
     travel in slices and the slices of a pair are summed: no row ever works on
     more than CHUNK x CHUNK edge pairs, and only slices whose x ranges meet do
-    any work. An ordinary polygon is a single slice.
+    any work. An ordinary polygon is a single slice. With `once` both sides
+    are the same table and each unordered pair is measured once.
     """
     a = left.select(F.col("shape").alias("a"), "bbox")
     b = right.select(F.col("shape").alias("b"), "bbox")
     pairs = candidate_pairs(a, b, "a", "b")
+    pairs = pairs.where("a < b") if once else pairs
     sliced = pairs.join(_chunks(left, "a"), "a").join(_chunks(right, "b"), "b")
     met = sliced.where("alo < bhi and blo < ahi")
     area = overlay.overlap(F.col("ra"), F.col("rb"))

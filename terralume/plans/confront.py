@@ -24,11 +24,12 @@ class Layer:
 
 @dataclass(frozen=True)
 class Confrontation:
-    """Records per layer, layer states per property, and one summary per property."""
+    """Results per layer, layer states per property, and what describes a property."""
 
-    records: dict[str, DataFrame]
+    results: dict[str, confront.LayerResult]
+    others: DataFrame | None
     layers: DataFrame
-    summary: DataFrame
+    properties: DataFrame
 
 
 def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool = True) -> Confrontation:
@@ -38,16 +39,16 @@ def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool =
     the short list of layers of every property, so a property without any
     overlap still has one row per layer with its state.
     """
-    records, summaries = {}, []
+    indexed = confront.Indexed.of(properties)
+    results, summaries, rows = {}, [], None
     for layer in layers:
         if layer.table is None:
             continue
-        rows, summary = confront.external_layer(properties, layer.table, layer.feature, layer.where)
-        records[layer.name] = rows
-        summaries.append(summary.withColumn("camada", F.lit(layer.name)))
+        result = confront.external_layer(indexed, layer.table, layer.feature, layer.where)
+        results[layer.name] = result
+        summaries.append(result.counts.withColumn("camada", F.lit(layer.name)))
     if others:
-        rows = confront.other_properties(properties)
-        records["outros_cars"] = rows
+        rows = confront.other_properties(indexed)
         summaries.append(
             rows.groupBy("cod_imovel").agg(
                 F.count(F.lit(1)).alias("quantidade"), F.sum("area_sobreposta_ha").alias("area_soma_ha")
@@ -77,15 +78,17 @@ def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool =
         "uf",
         "municipio",
     )
-    summary = described.join(alerts.alert_summary(states), "cod_imovel", "left")
-    return Confrontation(records, states, summary)
+    return Confrontation(results, rows, states, described)
 
 
 def resumed(result: Confrontation) -> DataFrame:
-    """Compact summary for other channels: one row per property with its layer counts as JSON."""
-    counts = result.layers.groupBy("cod_imovel").agg(
-        F.to_json(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("camada", "quantidade"))))
-        ).alias("camadas")
+    """One row per property: alert types and text, and the layer counts as JSON.
+
+    Everything comes from one aggregation over the short layer list of a
+    property.
+    """
+    counts = F.to_json(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("camada", "quantidade"))))
     )
-    return result.summary.join(counts, "cod_imovel")
+    summary = result.layers.groupBy("cod_imovel").agg(*alerts.summary_columns(), counts.alias("camadas"))
+    return result.properties.join(summary, "cod_imovel")

@@ -268,8 +268,8 @@ def merge_protected_units(spark: SparkSession, sf: str) -> DataFrame:
 def alert_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     """Restricting alerts per property: years, classes, summed area, coverage."""
     p, layer = roles.properties(spark, sf), roles.alerts_layer(spark, sf)
-    records, _ = confront.external_layer(p, layer, "fid")
-    full = records.join(layer.drop("geometry"), "fid").withColumn("tipo_prodes", F.lit(""))
+    result = confront.external_layer(confront.Indexed.of(p), layer, "fid")
+    full = result.records.join(layer.drop("geometry"), "fid").withColumn("tipo_prodes", F.lit(""))
     found = alerts.alert_occurrences(full, restrict=True)
     found = found.withColumn("area_soma_ocorrencias_ha", F.round("area_soma_ocorrencias_ha", 3))
     return alerts.with_coverage(p, found)
@@ -295,7 +295,7 @@ def embargo_alerts(spark: SparkSession, sf: str) -> DataFrame:
     )
     e = roles.embargo_layer(spark, sf).withColumn("status", status)
     rows = confront.contract_overlaps(
-        roles.properties(spark, sf), e.withColumnRenamed("uf", "uf_embargo"), "seq_tad"
+        confront.Indexed.of(roles.properties(spark, sf)), e.withColumnRenamed("uf", "uf_embargo"), "seq_tad"
     )
     return rows.drop("area_ha")
 
@@ -317,7 +317,8 @@ def parcel_alerts(spark: SparkSession, sf: str) -> DataFrame:
     b = roles.units_layer(spark, sf).select(
         F.concat(F.lit("SNCI:"), F.col("uc_id").cast("string")).alias("chave"), "geometry"
     )
-    return confront.contract_overlaps(roles.properties(spark, sf), a.unionByName(b), "chave")
+    return confront.contract_overlaps(
+        confront.Indexed.of(roles.properties(spark, sf)), a.unionByName(b), "chave")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as geo, overlay
 from ..operators import spatial
+from ..operators.confront import Indexed, other_properties
 from . import roles
 from .registry import query, table
 
@@ -56,9 +57,8 @@ def pairs_sql(layer: str, key: str) -> str:
 
 
 def sides(spark: SparkSession, sf: str, layer: DataFrame) -> tuple[DataFrame, ...]:
-    props = spatial.with_shape(roles.properties(spark, sf))
-    feats = spatial.with_shape(layer)
-    return props, feats, spatial.shapes(props), spatial.shapes(feats)
+    props, feats = Indexed.of(roles.properties(spark, sf)), Indexed.of(layer)
+    return props.features, feats.features, props.shapes, feats.shapes
 
 
 @query(
@@ -125,9 +125,7 @@ def overlap_external_layer(spark: SparkSession, sf: str) -> DataFrame:
 )
 def overlap_other_properties(spark: SparkSession, sf: str) -> DataFrame:
     """Property against property: unordered shape pairs once, then mirrored."""
-    from ..operators.confront import other_properties
-
-    rows = other_properties(roles.properties(spark, sf))
+    rows = other_properties(Indexed.of(roles.properties(spark, sf)))
     return rows.select(
         "cod_imovel",
         "outro",

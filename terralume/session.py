@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read to the shared folder and read it back.
+
+    Survives lost executors, and the file sizes give the planner statistics.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
