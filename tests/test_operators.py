@@ -101,7 +101,7 @@ def test_sorted_values(spark):
 
 def test_embargo_status_order(spark):
     c = lambda v: F.lit(v).cast("string")
-    cases = [(("S", "S", "", "x", ""), "CANCELADO"), (("", "", "desembargo total", "x", ""), "ATIVO"), (("", "S", "", "x", ""), "DESEMBARGADO"), (("", "", "", "", ""), "A_VERIFICAR"), (("", "", "", "vigente", "excluído"), "A_VERIFICAR")]
+    cases = [(("S", "S", "", "x", ""), "CANCELADO"), (("", "", "desembargo total", "x", ""), "DESEMBARGADO"), (("n", "n", "", "vigente", ""), "ATIVO"), (("", "S", "", "x", ""), "DESEMBARGADO"), (("", "", "", "", ""), "A_VERIFICAR"), (("", "", "", "vigente", "excluído"), "A_VERIFICAR")]
     for args, want in cases:
         assert spark.range(1).select(alerts.embargo_status(*map(c, args)).alias("s")).first()["s"] == want
 
