@@ -196,6 +196,21 @@ def decimal_comma(value: Column, digits: int) -> Column:
     return F.translate(F.format_number(value, digits), ",.", ".,")
 
 
+def field_label(name: Column, labels: dict[str, str]) -> Column:
+    """Label of a field, else its name with spaces and a capital."""
+    plain = F.trim(F.replace(F.coalesce(name, F.lit("")), F.lit("_"), F.lit(" ")))
+    spoken = F.concat(F.upper(F.left(plain, F.lit(1))), F.lower(F.substr(plain, F.lit(2))))
+    chosen = F.lit(None).cast("string")
+    for key, label in labels.items():
+        chosen = F.when(name == key, label).otherwise(chosen)
+    return F.coalesce(chosen, spoken)
+
+
+def display_number(value: Column) -> Column:
+    """Two digits in Brazilian notation, or a note when there is none."""
+    return F.coalesce(decimal_comma(value, 2), F.lit("Não informado"))
+
+
 def repair_utf8(raw: Column) -> Column:
     """Decoded text with each bad byte sequence replaced, and how many there were."""
     text = F.make_valid_utf8(raw)

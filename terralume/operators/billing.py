@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Days of grace, days before the end of access at which a renewal is marked,
-# instalments of a yearly plan, event kinds with an effect, allowed payload fields.
+# instalments of a yearly plan, events per replay round and tries before giving up, event kinds with an effect, allowed payload fields.
 GRACE_DAYS = 5
 RENEWAL_DAYS = 15
 YEARLY_INSTALMENTS = 12
+ROUND_LIMIT = 100
+MAX_ATTEMPTS = 10
 ACCESS_EVENTS = ("PAYMENT_CONFIRMED", "PAYMENT_RECEIVED")
 OVERDUE_EVENTS = ("PAYMENT_OVERDUE", "PAYMENT_CREDIT_CARD_CAPTURE_REFUSED")
 REVERSAL_EVENTS = (
@@ -122,6 +124,13 @@ def access_flags(today: Column) -> dict[str, Column]:
     }
 
 
+def replay_round(events: DataFrame, limit: int = ROUND_LIMIT) -> DataFrame:
+    """Oldest open events of a round; permanent errors are skipped."""
+    open_events = events.where(F.col("status").isin("RECEIVED", "PENDING", "ERROR"))
+    first = open_events.orderBy("recebido_em", "event_id").limit(limit)
+    return first.where(~((F.col("status") == "ERROR") & (F.col("tentativas") >= MAX_ATTEMPTS)))
+
+
 def unique_events(events: DataFrame, key: str = "event_id") -> DataFrame:
     """One row per event id, the first received."""
     rest = [c for c in events.columns if c != key]

@@ -161,3 +161,42 @@ def contract_overlaps(properties: Indexed, features: DataFrame, key: str) -> Dat
         )
         .drop("a", "b", "area_m2", "_pm")
     )
+
+
+# Least area of a plot warning, and its label outside the property.
+WARNING_M2 = 0.01
+OUTSIDE_LABEL = "Fora do limite do CAR"
+
+
+def plot_warnings(plots: DataFrame, properties: Indexed, references: DataFrame) -> DataFrame:
+    """Warning labels per drawn plot: reference layers, outside its property, sibling plots.
+
+    `plots` has plot, cod_imovel, nome; `references` has rotulo. The part of a
+    plot outside its property is its area minus the shared area, so no
+    difference geometry is built. Siblings are found through the grid, not by
+    pairing all plots of a property.
+    """
+    mine = Indexed.of(plots)
+    layer = Indexed.of(references)
+    feats = mine.features.select("plot", "cod_imovel", "nome", F.col("shape").alias("a"))
+
+    labels = layer.features.select(F.col("shape").alias("b"), "rotulo").distinct()
+    near = spatial.shape_overlaps(mine.shapes, layer.shapes, WARNING_M2)
+    by_layer = feats.join(near, "a").join(labels, "b").select("plot", "rotulo")
+
+    owner = properties.features.select("cod_imovel", F.col("shape").alias("b"))
+    own = feats.join(owner, "cod_imovel").select("plot", "a", "b")
+    shared = spatial.measured(own.select("a", "b").distinct(), mine.shapes, properties.shapes)
+    areas = spatial.shape_areas(mine.shapes).withColumnRenamed("shape", "a")
+    inside = own.join(shared, ["a", "b"], "left").join(areas, "a")
+    beyond = inside.where(F.col("m2") - F.coalesce("area_m2", F.lit(0.0)) > WARNING_M2)
+    outside = beyond.select("plot", F.lit(OUTSIDE_LABEL).alias("rotulo"))
+
+    met = spatial.shape_overlaps(mine.shapes, mine.shapes, WARNING_M2).select("a", "b")
+    other = feats.select(
+        F.col("a").alias("b"), "cod_imovel", F.col("plot").alias("_p"),
+        F.concat(F.lit("Polígono: "), "nome").alias("rotulo"),
+    )
+    siblings = feats.drop("nome").join(met, "a").join(other, ["b", "cod_imovel"]).where("plot <> _p")
+    found = by_layer.unionByName(outside).unionByName(siblings.select("plot", "rotulo"))
+    return found.groupBy("plot").agg(F.array_sort(F.collect_set("rotulo")).alias("avisos"))

@@ -164,11 +164,15 @@ def shape_overlaps(
     b = right.select(F.col("shape").alias("b"), "bbox")
     pairs = candidate_pairs(a, b, "a", "b")
     pairs = pairs.where("a < b") if once else pairs
+    return measured(pairs, left, right).where(F.col("area_m2") > tolerance)
+
+
+def measured(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Shared area of given shape pairs (a, b), slice by slice."""
     sliced = pairs.join(_chunks(left, "a"), "a").join(_chunks(right, "b"), "b")
     met = sliced.where("alo < bhi and blo < ahi")
     area = overlay.overlap(F.col("ra"), F.col("rb"))
-    summed = met.groupBy("a", "b").agg((F.sum(area) * geo.AREA_SCALE).alias("area_m2"))
-    return summed.where(F.col("area_m2") > tolerance)
+    return met.groupBy("a", "b").agg((F.sum(area) * geo.AREA_SCALE).alias("area_m2"))
 
 
 def shape_contacts(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -268,3 +268,26 @@ def sequence_complete(batches: DataFrame, items: DataFrame) -> DataFrame:
         "lote_id",
         ((F.coalesce("recebidos", F.lit(0)) == F.col("esperados")) & (F.coalesce("abertos", F.lit(0)) == 0)).alias("completo"),
     )
+
+
+def item_outcome(source: Column, outcome: Column) -> Column:
+    """State of a batch item from the state of its import."""
+    kept = F.when((source != "sicar") & (outcome == "IGNORADO_DUPLICADO"), "IGNORADO_DUPLICADO")
+    return (
+        F.when(outcome == "CONCLUIDO", "CONCLUIDO")
+        .when(outcome == "INTERROMPIDO", "INTERROMPIDO")
+        .when(outcome == "AGUARDANDO_CONFIRMACAO_REDUCAO", "AGUARDANDO_CONFIRMACAO_SICOR")
+        .when(outcome.isin("IGNORADO_DUPLICADO", "SEM_ALTERACAO"), F.coalesce(kept, F.lit("SEM_ALTERACAO")))
+        .otherwise("FALHOU")
+    )
+
+
+def legacy_audit(stored: DataFrame, named: DataFrame) -> DataFrame:
+    """Stored dataset of old items against the one their file name tells."""
+    joined = stored.join(named.select("arquivo", F.col("dataset").alias("esperado")), "arquivo", "left")
+    verdict = (
+        F.when(F.col("esperado").isNull(), "SEM_REGRA")
+        .when(F.col("esperado") == F.col("dataset"), "CONFERE")
+        .otherwise("DIVERGENTE")
+    )
+    return joined.withColumn("auditoria", verdict)
