@@ -39,7 +39,7 @@ def _events(events: DataFrame) -> DataFrame:
     )
 
 
-@query("T3 T4 T9 T2", bench=True)
+@query("T3 T4 T9", bench=True)
 def subscription_states(spark: SparkSession, sf: str) -> DataFrame:
     """Fold of all billing events per profile; tested against the stream and by hand."""
     return billing.fold_subscriptions(_events(table(spark, sf, "events")))
@@ -341,7 +341,7 @@ def expired_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "P18 T1",
+    "P18",
     sql=f"""select event_id, '{{"id":"' || event_id::varchar || '","event":"PAYMENT_CONFIRMED","payment":{{"id":"p' || {_K}::varchar || '","status":"' || event_type || '"}}}}' as payload from events""",
 )
 def sanitized_payloads(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,7 +56,7 @@ flexible as (
 
 
 @query(
-    "P4 P5 P6 P23 F12 F19",
+    "P4 P5 P6 P23 F12",
     sql=f"""with {roles.MESSY_SQL}
     select o_orderkey,
       case when regexp_full_match(replace(trim(raw_price), ',', '.'), '[-+]?[0-9]+([.][0-9]+)?')
@@ -340,7 +340,7 @@ _FOLD = "regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')"
 
 
 @query(
-    "F1 F2 F4 F31 F33",
+    "F1 F2 F4 F31",
     sql=f"""with n as (select doc_id, text,
       trim(regexp_replace(lower({_FOLD.format("text")}), '[^a-z0-9]+', '_', 'g'), '_') as norm from documents)
     select doc_id, md5(norm) as norm_md5,
@@ -389,7 +389,7 @@ def status_and_alert_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "F9 F33 S14",
+    "F9",
     sql=f"""with {roles.PROPERTIES_SQL}, t as (
       select c_custkey, 'Imóvel ' || replace(cod_imovel, '-', '–') || ' e ' || lower(cod_imovel)
         || ' / ' || substr(cod_imovel, 1, 10) || ' - ' || substr(cod_imovel, 12) as txt from properties)

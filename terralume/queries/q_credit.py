@@ -337,7 +337,7 @@ def term_details(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "P15 P17 R7",
+    "P15 P17",
     sql="""select p_partkey as uc_id, p_size = 7 or upper(p_name) like '%PROTE%AMBIENTAL%' as apa,
       '{"nome_uc":"' || p_name || '"' || case when p_size = 7 then ',"sigla":"APA"' else '' end || '}' as registro from part""",
 )

@@ -104,7 +104,7 @@ def identity_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return identity.decide_identity(scores, wanted, compared)
 
 
-@query("D4 D6 D17")
+@query("D4 D6")
 def file_classification(spark: SparkSession, sf: str) -> DataFrame:
     """Files named after their type, or not, confirmed by their structure."""
     layers = _layers(spark, sf)
@@ -138,7 +138,7 @@ def header_classification(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "D7 U5 S6",
+    "D7 U5",
     sql="""with h as (select l_orderkey as layer, list(distinct l_linenumber) as f from lineitem group by 1)
     select layer, array_to_string(list_sort(list_filter([1, 2, 3], lambda x: not list_contains(f, x) and not list_contains(f, x + 3))), ',') as grupos_ausentes,
       array_to_string(list_sort(list_filter(f, lambda x: x > 5)), ',') as extras, array_to_string(list_sort(list_filter([1, 2, 3, 4, 5], lambda x: not list_contains(f, x))), ',') as faltantes from h""",

@@ -34,7 +34,7 @@ def read_delimited_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = o.select(line.alias("value")).repartition(4).mapInPandas(_with_header, "value string")
     rows.write.option("compression", "gzip").text(f"{folder}/SICOR_2015")
     path = f"{folder}/SICOR_2015"
-    fmt = delimited.detect_format("#REF_BACEN;CD_ESTADO;Obs.\n1;F;x\n".encode(), ["ref_bacen", "cd_estado"])
+    fmt = delimited.detect_format(delimited.read_head(spark, path), ["ref_bacen", "cd_estado"])
     read = delimited.read_delimited(spark, path, fmt)
     year = delimited.year_of_name(F.element_at(F.split(F.lit(path), "/"), -1))
     surplus = F.when(F.col("_excesso").isNotNull(), F.lit("x;y"))
@@ -204,9 +204,10 @@ def resource_discovery(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "D13 D19 D11 T10",
-    sql="""with f as (select page_id, md5(url) as h, sha256(html) as c from pages)
-    select left(h, 1) as pasta, count(*) as arquivos, sha256(string_agg('/' || left(h, 1) || '/' || page_id::varchar || ':' || c, chr(10) order by '/' || left(h, 1) || '/' || page_id::varchar || ':' || c)) as manifesto from f group by 1""",
+    "D13 D19 D11",
+    sql="""with f as (select left(md5(url), 1) as pasta, '/' || left(md5(url), 1) || '/' || page_id::varchar as path, sha256(html) as c from pages),
+    d as (select pasta, left(md5(path), 3) as p, sha256(string_agg(path || ':' || c, chr(10) order by path || ':' || c)) as d, count(*) as n from f group by 1, 2)
+    select pasta, sum(n)::bigint as arquivos, sha256(string_agg(p || ':' || d, chr(10) order by p || ':' || d)) as manifesto from d group by 1""",
 )
 def folder_manifests(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")

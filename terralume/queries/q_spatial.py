@@ -363,7 +363,7 @@ def invalid_geometry_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "G11 G16",
+    "G11",
     sql=f"""with {roles.UNITS_SQL}, u as (
       select uc_id, (x1 - x0) as w, (y1 - y0) as h from units where categoria_manejo in ('ECONOMY', 'STANDARD')),
     c as (select uc_id, w, h, categoria_manejo from units join u using (uc_id))

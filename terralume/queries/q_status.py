@@ -199,7 +199,7 @@ def daily_sync_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "R12 R9",
+    "R12",
     sql="""with j as (select o_orderkey as job_id, o_custkey % 1600 as lote_id, case when o_orderkey % 2 = 0 then 'ANALISE' else 'IMPORTACAO' end as fase from orders),
     b as (select c_custkey as lote_id, c_nationkey * 4 as progresso, case c_mktsegment when 'BUILDING' then 'CONCLUIDO' when 'MACHINERY' then 'AGUARDANDO_CONFIRMACAO' else 'PROCESSANDO' end as s,
         case when c_acctbal < 0 then 1 else 0 end as falhas, c_custkey % 2 as alterados from customer)

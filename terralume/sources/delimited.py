@@ -8,9 +8,10 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import identifier_text, normal_name_text
+from ..session import materialize
 
 # Encodings and delimiters in trial order, reserved column names,
 # the first year of the credit files, the operations file name.
@@ -19,7 +20,7 @@ DELIMITERS = (";", ",", "\t", "|")
 RESERVED = ("_id", "_numero_linha", "_ano_arquivo", "_arquivo_origem", "geom")
 FIRST_YEAR = 2013
 OPERATIONS_FILE = r"(?i)^SICOR_OPERACAO_BASICA_ESTADO_(\d{4})(?:\.(?:gz|csv))?$"
-HEAD_BYTES = 256 * 1024
+HEAD_LINES = 1000
 # Header of the operations file.
 OPERATIONS_HEADER = (
     "#REF_BACEN", "NU_ORDEM", "CNPJ_IF", "DT_EMISSAO", "DT_VENCIMENTO", "CD_INST_CREDITO",
@@ -34,7 +35,7 @@ OPERATIONS_HEADER = (
     "VL_JUROS_ENC_FINAN_POSFIX", "VL_PERC_CUSTO_EFET_TOTAL", "CD_CONTRATO_STN",
     "CD_CNPJ_CADASTRANTE", "VL_AREA_INFORMADA", "CD_CICLO_CULTIVAR", "CD_TIPO_SOLO", "PC_BONUS_CAR",
 )
-SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
 
 
 @dataclass(frozen=True)
@@ -85,18 +86,18 @@ def detect_format(head: bytes, known: Iterable[str] = ()) -> Format:
     return Format(encoding, best[1], tuple(str(v).strip() for v in best[2]), unique_headers(best[2]))
 
 
-def read_head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
-    """First bytes of one file, cut on an executor so that only the head travels."""
-    row = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .orderBy("path")
-        .select(F.substring("content", 1, size).alias("head"))
-        .first()
-    )
-    if row is None:
-        raise ValueError(f"no file at {path}")
-    return bytes(row["head"])
+def read_head(spark: SparkSession, path: str, lines: int = HEAD_LINES) -> bytes:
+    """First lines of one file as bytes; a bounded number of rows reaches the driver.
+
+    The text source keeps the bytes of a line as they are, so they are cast to
+    binary and decoded here, once the encoding is known. Only the start of the
+    file is read, gzip included.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
+    rows = raw.limit(lines).collect()
+    if not rows:
+        raise ValueError(f"no text at {path}")
+    return b"\n".join(bytes(r["value"]) for r in rows)
 
 
 def check_limits(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
@@ -106,6 +107,13 @@ def check_limits(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     )
 
 
+def _windows_text(text: Column) -> Column:
+    """Characters Windows-1252 has where Latin-1 has control codes."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    known = [(a, b) for a, b in pairs if b]
+    return F.translate(text, "".join(a for a, _ in known), "".join(b for _, b in known))
+
+
 def read_delimited(spark: SparkSession, path: str, fmt: Format, multiline: bool = False) -> DataFrame:
     """All fields as text, with file and year lineage; gzip is read as it is.
 
@@ -124,7 +132,9 @@ def read_delimited(spark: SparkSession, path: str, fmt: Format, multiline: bool
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    filled = raw.select(*[F.coalesce(h, F.lit("")).alias(h) for h in fmt.headers], "_excesso", "_metadata")
+    decoded = _windows_text if fmt.encoding == "cp1252" else lambda c: c
+    fields = [decoded(F.coalesce(h, F.lit(""))).alias(h) for h in fmt.headers]
+    filled = raw.select(*fields, "_excesso", "_metadata")
     return with_lineage(filled).drop("_metadata")
 
 
@@ -148,12 +158,12 @@ def split_rows(lines: DataFrame, text: str, delimiter: str, width: int) -> DataF
 def numbered(df: DataFrame, order: str, name: str = "_numero_linha", first: int = 2) -> DataFrame:
     """Consecutive line numbers in the order of a column, without one global sort task.
 
-    Rows are range-partitioned, numbered within their partition, and shifted by
-    the sizes of the partitions before; only those sizes are gathered.
+    Rows are range-partitioned and written with their partition number, ranked
+    within it, and shifted by the sizes of the partitions before; only those
+    sizes are put in one task.
     """
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    parts = materialize(ranged, "ranged")
     within = Window.partitionBy("_p").orderBy(order)
     ranked = parts.withColumn("_r", F.row_number().over(within))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
@@ -194,7 +204,7 @@ def require_header(fmt: Format, names: Sequence[str]) -> None:
 
 def read_operations(spark: SparkSession, path: str, names: Sequence[str] = OPERATIONS_HEADER) -> DataFrame:
     """Operations file with exactly the given header, `;` and UTF-8; anything else fails."""
-    text, encoding = decode_head(spark.read.text(path).first()["value"].encode())
+    text, encoding = decode_head(read_head(spark, path, 1))
     header = next(csv.reader(io.StringIO(text), delimiter=";"))
     fmt = Format(encoding, ";", tuple(header), unique_headers(header))
     require_header(fmt, names)

@@ -155,11 +155,21 @@ def resource_candidates(catalogues: DataFrame, document: str, wanted: DataFrame,
 
 
 def folder_manifest(files: DataFrame, folder: Column) -> DataFrame:
-    """Hash per folder over its sorted relative paths and content hashes."""
+    """Hash per folder over its sorted paths and content hashes.
+
+    Entries are folded per hash prefix of the path first, so a folder with very
+    many files is not gathered at once; the last step sorts one digest per
+    prefix.
+    """
     hashed = files.select(folder.alias("pasta"), "path", F.sha2("content", 256).alias("h"))
-    entries = F.array_sort(F.collect_list(F.concat_ws(":", "path", "h")))
-    return hashed.groupBy("pasta").agg(
-        F.count(F.lit(1)).alias("arquivos"), F.sha2(F.array_join(entries, "\n"), 256).alias("manifesto")
+    entry = F.concat_ws(":", "path", "h")
+    folded = hashed.groupBy("pasta", F.substring(F.md5("path"), 1, 3).alias("p")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("d"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    digests = F.array_sort(F.collect_list(F.concat_ws(":", "p", "d")))
+    return folded.groupBy("pasta").agg(
+        F.sum("n").alias("arquivos"), F.sha2(F.array_join(digests, "\n"), 256).alias("manifesto")
     )
 
 

@@ -24,9 +24,9 @@ def unique_stream(events: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def _dump(state: dict) -> str:
-    return json.dumps(
-        {**state, "seen": sorted(state["seen"]), "paid": sorted(state["paid"])}, default=str
-    )
+    """State as JSON; event ids are not kept, the input stream is already unique."""
+    kept = {k: v for k, v in state.items() if k != "seen"}
+    return json.dumps({**kept, "paid": sorted(state["paid"])}, default=str)
 
 
 def _load(text: str) -> dict:
@@ -36,7 +36,7 @@ def _load(text: str) -> dict:
         raw["sub"]["until"], raw["sub"]["end"] = day(raw["sub"]["until"]), day(raw["sub"]["end"])
     for event in raw["pending"]:
         event["day"], event["due"] = day(event["day"]), day(event["due"])
-    return {**raw, "seen": set(raw["seen"]), "paid": set(raw["paid"])}
+    return {**raw, "seen": set(), "paid": set(raw["paid"])}
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,7 +55,8 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 def subscription_stream(events: DataFrame) -> DataFrame:
     """Subscription state per profile, updated with every micro-batch.
 
-    Events that arrive before their checkout wait in the state.
+    Events that arrive before their checkout wait in the state. The input is
+    the table `unique_stream` writes, so no event id needs to be remembered here.
     """
     return events.groupBy("perfil").applyInPandasWithState(
         _advance,

@@ -107,3 +107,32 @@ def test_format_detection():
 def test_year_of_name(spark):
     rows = ["SICOR_2012_2020.csv", "x20201.csv", "arquivo"]
     assert values(spark, rows, delimited.year_of_name) == [2020, None, None]
+
+
+def test_head_is_read_as_bytes(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_bytes("código;nome\n1;São\n".encode("latin-1"))
+    head = delimited.read_head(spark, str(path))
+    assert delimited.detect_format(head).encoding == "cp1252"
+    assert head.startswith("código;nome".encode("latin-1"))
+    fmt = delimited.detect_format(head, ["codigo"])
+    rows = delimited.read_delimited(spark, str(path), fmt).collect()
+    assert [(r["codigo"], r["nome"]) for r in rows] == [("1", "São")]
+
+
+def test_wide_and_short_rows(spark, tmp_path):
+    path = tmp_path / "SICOR_2020.csv"
+    path.write_text("a;b;c\n1;2\n1;2;3;4\n")
+    fmt = delimited.detect_format(delimited.read_head(spark, str(path)))
+    df = delimited.read_delimited(spark, str(path), fmt)
+    assert {(r["c"], r["_ano_arquivo"]) for r in df.collect()} == {("", 2020), ("3", 2020)}
+    assert delimited.too_wide(df).count() == 1
+
+
+def test_operations_header_must_match(spark, tmp_path):
+    import pytest
+
+    path = tmp_path / "SICOR_OPERACAO_BASICA_ESTADO_2020.csv"
+    path.write_text("a;b\n1;2\n")
+    with pytest.raises(ValueError):
+        delimited.read_operations(spark, str(path))
