@@ -1,4 +1,4 @@
-"""The full confrontation: every property against every layer in one job."""
+"""The full comparison: every property against every layer in one job."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ class Layer:
 
 
 @dataclass(frozen=True)
-class Confrontation:
+class ConfrontResult:
     """Results per layer, layer states per property, and what describes a property."""
 
     results: dict[str, confront.LayerResult]
@@ -32,7 +32,7 @@ class Confrontation:
     properties: DataFrame
 
 
-def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool = True) -> Confrontation:
+def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool = True) -> ConfrontResult:
     """Overlaps, counts, areas and alert states.
 
     Each layer is joined as a set; the per-layer counts are then attached to
@@ -78,10 +78,10 @@ def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool =
         "uf",
         "municipio",
     )
-    return Confrontation(results, rows, states, described)
+    return ConfrontResult(results, rows, states, described)
 
 
-def resumed(result: Confrontation) -> DataFrame:
+def resumed(result: ConfrontResult) -> DataFrame:
     """One row per property: alert types and text, and the layer counts as JSON.
 
     Everything comes from one aggregation over the short layer list of a

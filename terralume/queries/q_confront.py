@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import alerts
-from ..plans.confront import Confrontation, Layer, confront_all, resumed
+from ..plans.confront import ConfrontResult, Layer, confront_all, resumed
 from . import roles
 from .q_spatial import box_m2
 from .registry import query
 
 
-def _run(spark: SparkSession, sf: str) -> Confrontation:
+def _run(spark: SparkSession, sf: str) -> ConfrontResult:
     layers = [
         Layer("prodes", roles.alerts_layer(spark, sf), "fid", alerts.restrictive_year(F.col("year"))),
         Layer("ibama", roles.embargo_layer(spark, sf), "seq_tad"),
@@ -49,7 +49,7 @@ _CTES = f"""{roles.PROPERTIES_SQL}, {roles.ALERTS_SQL}, {roles.EMBARGO_SQL}, {ro
     bench=True,
 )
 def confront_properties(spark: SparkSession, sf: str) -> DataFrame:
-    """Summary of the whole confrontation, one row per property."""
+    """Summary of the whole comparison, one row per property."""
     return resumed(_run(spark, sf))
 
 
