@@ -269,12 +269,19 @@ def edges_meet(a: Column, b: Column) -> Column:
     return boxes & (a1 * a2 <= 0) & (b1 * b2 <= 0)
 
 
-def intersects(geom_a: Column, geom_b: Column) -> Column:
-    """Share at least one point: an edge meets an edge, or one contains the other."""
-    ea, eb = edges(geom_a), edges(geom_b)
-    pa, pb = F.get(vertices(geom_a), F.lit(0)), F.get(vertices(geom_b), F.lit(0))
-    meet = F.exists(ea, lambda a: F.exists(eb, lambda b: edges_meet(a, b)))
-    return meet | covers_point(eb, pa["x"], pa["y"]) | covers_point(ea, pb["x"], pb["y"])
+def intersects(edges_a: Column, edges_b: Column) -> Column:
+    """Share at least one point: an edge meets an edge, or one contains the other.
+
+    Takes columns of edges, so that they are built once per geometry and not
+    once per edge of the other side.
+    """
+    first_a, first_b = F.get(edges_a, F.lit(0)), F.get(edges_b, F.lit(0))
+    meet = F.exists(edges_a, lambda a: F.exists(edges_b, lambda b: edges_meet(a, b)))
+    return (
+        meet
+        | covers_point(edges_b, first_a["x1"], first_a["y1"])
+        | covers_point(edges_a, first_b["x1"], first_b["y1"])
+    )
 
 
 def ring_closed(ring: Column) -> Column:
@@ -294,11 +301,13 @@ def self_crossing(geom: Column) -> Column:
         )
         return ~shared & edges_meet(a, b)
 
-    indexed = F.transform(es, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
-    return F.exists(
-        indexed,
-        lambda a: F.exists(indexed, lambda b: (b["i"] > a["i"]) & proper(a["e"], b["e"])),
-    )
+    def any_pair(indexed: Column) -> Column:
+        return F.exists(
+            indexed,
+            lambda a: F.exists(indexed, lambda b: (b["i"] > a["i"]) & proper(a["e"], b["e"])),
+        )
+
+    return bound(F.transform(es, lambda e, i: F.struct(i.alias("i"), e.alias("e"))), any_pair)
 
 
 def is_valid(geom: Column) -> Column:

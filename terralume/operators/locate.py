@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as geo, text as tx
 from . import spatial
+from .confront import Indexed
 
 # List sizes, zoom range of the view, extent allowed at zoom 12.
 PLACE_LIMIT = 20
@@ -32,9 +33,9 @@ def by_point(
     points: DataFrame, properties: DataFrame, point_key: str, limit: int = PLACE_LIMIT
 ) -> DataFrame:
     """Properties that contain a point, smallest first."""
-    props = spatial.with_shape(properties)
-    hits = spatial.points_in_shapes(points, spatial.shapes(props), point_key)
-    attributes = props.select("shape", "cod_imovel", "area_total_ha", "uf", "municipio")
+    known = Indexed.of(properties)
+    hits = spatial.points_in_shapes(points, known.shapes, point_key)
+    attributes = known.features.select("shape", "cod_imovel", "area_total_ha", "uf", "municipio")
     order = [F.col("area_total_ha").asc_nulls_last(), F.col("cod_imovel")]
     return top_per(hits.join(attributes, "shape"), [point_key], order, limit).drop("shape")
 
@@ -63,13 +64,12 @@ def by_view(
 ) -> DataFrame:
     """Properties touching each view box (west, south, east, north), by code."""
     box = geo.box_geometry(*[F.col(c) for c in ("west", "south", "east", "north")])
-    v = spatial.with_shape(views.withColumn("geometry", box))
-    p = spatial.with_shape(properties)
-    met = spatial.shape_contacts(spatial.shapes(v), spatial.shapes(p))
+    asked, known = Indexed.of(views.withColumn("geometry", box)), Indexed.of(properties)
+    met = spatial.shape_contacts(asked.shapes, known.shapes)
     rows = (
-        v.select(view_key, "excluded", F.col("shape").alias("a"))
+        asked.features.select(view_key, "excluded", F.col("shape").alias("a"))
         .join(met, "a")
-        .join(p.withColumnRenamed("shape", "b").drop("geometry"), "b")
+        .join(known.features.withColumnRenamed("shape", "b"), "b")
         .where(
             F.coalesce("excluded", F.lit("")).isin("")
             | (F.upper(F.trim("cod_imovel")) != F.upper(F.trim("excluded")))
@@ -82,13 +82,12 @@ def by_polygon(
     drawn: DataFrame, properties: DataFrame, drawn_key: str, limit: int = PLACE_LIMIT
 ) -> DataFrame:
     """Properties with real overlap of each drawn polygon, largest overlap first."""
-    d = spatial.with_shape(drawn)
-    p = spatial.with_shape(properties)
-    ds, ps = spatial.shapes(d), spatial.shapes(p)
-    met = spatial.shape_overlaps(ds, ps)
-    areas = spatial.shape_areas(ps).withColumnRenamed("shape", "b")
+    asked, known = Indexed.of(drawn), Indexed.of(properties)
+    met = spatial.shape_overlaps(asked.shapes, known.shapes)
+    areas = spatial.shape_areas(known.shapes).withColumnRenamed("shape", "b")
+    p = known.features
     rows = (
-        d.select(drawn_key, F.col("shape").alias("a"))
+        asked.features.select(drawn_key, F.col("shape").alias("a"))
         .join(met, "a")
         .join(areas, "b")
         .join(p.select(F.col("shape").alias("b"), "cod_imovel", "area_total_ha", "uf", "municipio"), "b")

@@ -65,9 +65,9 @@ def compare_counts(old: DataFrame, new: DataFrame, keep: Column | None = None) -
     """Decision row of the reduction guard: counts, difference, percent, reduced or not."""
     counted = F.count(F.lit(1)) if keep is None else F.count_if(keep)
     base = old.agg(counted.alias("registros_base_atual"))
-    fresh = new.agg(counted.alias("registros_nova_versao"))
+    fresh = new.agg(counted.alias("n"))
     b, n = F.col("registros_base_atual"), F.col("registros_nova_versao")
-    return base.join(F.broadcast(fresh)).withColumns(
+    return base.withColumn("registros_nova_versao", fresh.scalar()).withColumns(
         {
             "diferenca_registros": n - b,
             "diferenca_percentual": percent_change(b, n),

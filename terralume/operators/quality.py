@@ -50,34 +50,36 @@ def date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_flexible_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add `<column>_date`, ambiguous values read in the column's dominant order.
 
-    The profile is one row per column, so the broadcast has a fixed bound.
+    The profile (one short row per column) is read first, so the conversion is
+    a projection with constants.
     """
     profile = date_profile(df, columns).select("campo", "preferencia")
-    orders = profile.agg(F.map_from_entries(F.collect_list(F.struct("campo", "preferencia"))).alias("_order"))
-    split = casts.with_date_pieces(df, columns)
+    orders = {r["campo"]: r["preferencia"] for r in profile.collect()}
     dated = {
-        f"{c}_date": casts.to_flexible_date(F.col(f"_{c}"), F.try_element_at("_order", F.lit(c)))
+        f"{c}_date": casts.to_flexible_date(F.col(f"_{c}"), F.lit(orders[c]).cast("string"))
         for c in columns
     }
-    joined = split.join(F.broadcast(orders)).withColumns(dated)
-    return joined.drop("_order", *[f"_{c}" for c in columns])
+    split = casts.with_date_pieces(df, columns).withColumns(dated)
+    return split.drop(*[f"_{c}" for c in columns])
 
 
 def unconverted(df: DataFrame, raw: str, converted: Column, samples: int = 20) -> DataFrame:
     """How many meaningful values did not convert, and the first distinct ones.
 
     Values are counted per distinct text before they are ranked, and the top
-    list is a sort with limit, so no task holds all of them.
+    list is a sort with limit, so no task holds all of them. The test is part
+    of the aggregate: as a filter it would be pushed into the cast and repeat it.
     """
-    failed = (
-        df.where(casts.has_date_text(F.col(raw)) & converted.isNull())
-        .groupBy(F.trim(F.col(raw)).alias("valor"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    total = failed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nao_convertidos"))
+    lost = casts.has_date_text(F.col(raw)) & converted.isNull()
+    per_text = df.groupBy(F.trim(F.col(raw)).alias("valor")).agg(F.count_if(lost).alias("n"))
+    failed = per_text.where("n > 0")
     first = failed.orderBy("valor").limit(samples)
-    listed = first.agg(F.array_sort(F.collect_list("valor")).alias("amostras"))
-    return total.join(F.broadcast(listed))
+    counts = failed.select("n", F.lit(None).cast("string").alias("valor"))
+    shown = first.select(F.lit(0).cast("bigint").alias("n"), "valor")
+    return counts.unionByName(shown).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("nao_convertidos"),
+        F.array_sort(F.collect_list("valor")).alias("amostras"),
+    )
 
 
 def start_date(start_year: int | None = None) -> str:
@@ -198,13 +200,12 @@ def state_gate(df: DataFrame, code: str, admin_uf: str) -> DataFrame:
     The profile has at most one row per two-character prefix, so the final
     fold works on a bounded set.
     """
+    blank = F.coalesce(F.trim(F.col(code)), F.lit("")) == ""
+    empty = df.where(blank).agg(F.count(F.lit(1)).alias("n"))
     profile = state_profile(df, code)
-    empty = df.agg(
-        F.count(F.lit(1)).alias("registros_total"),
-        F.count_if(F.coalesce(F.trim(F.col(code)), F.lit("")) == "").alias("registros_sem_codigo"),
-    )
     good = F.when(F.col("uf_valida"), F.col("formato_ok")).otherwise(F.lit(0))
     folded = profile.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("_coded"),
         F.coalesce(F.sum(good), F.lit(0)).alias("registros_reconheciveis"),
         F.coalesce(F.sum(F.col("total") - good), F.lit(0)).alias("_malformed"),
         F.coalesce(F.max((F.col("prefixo") == admin_uf) & (good > 0)), F.lit(False)).alias("_found"),
@@ -216,8 +217,8 @@ def state_gate(df: DataFrame, code: str, admin_uf: str) -> DataFrame:
         ).alias("ufs_extras"),
     )
     fora = F.col("_malformed") + F.col("registros_sem_codigo")
-    return empty.join(F.broadcast(folded)).select(
-        "registros_total",
+    return folded.withColumn("registros_sem_codigo", empty.scalar()).select(
+        (F.col("_coded") + F.col("registros_sem_codigo")).alias("registros_total"),
         "registros_sem_codigo",
         "registros_reconheciveis",
         fora.alias("registros_fora_padrao"),
@@ -244,11 +245,11 @@ def key_quality(df: DataFrame, raw_key: str, limit_ratio: float = INVALID_KEY_RA
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("linhas_duplicadas"),
     )
     blank = keyed.where("key = ''")
-    bad = blank.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("registros_sem_chave"))
+    bad = blank.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     shown = (
         blank.select(F.trim(F.coalesce("raw", F.lit(""))).alias("v")).distinct().orderBy("v").limit(5)
-    ).agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("exemplos"))
-    row = good.join(F.broadcast(bad)).join(F.broadcast(shown))
+    ).agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("v"))
+    row = good.withColumns({"registros_sem_chave": bad.scalar(), "exemplos": shown.scalar()})
     total = F.col("registros_validos") + F.col("registros_sem_chave")
     ratio = F.try_divide(F.col("registros_sem_chave"), total)
     return row.withColumns(
@@ -319,8 +320,9 @@ def encoding_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def completeness(expected: DataFrame, written: DataFrame) -> DataFrame:
     """Expected and written row counts and whether they agree."""
     e = expected.agg(F.count(F.lit(1)).alias("esperados"))
-    w = written.agg(F.count(F.lit(1)).alias("gravados"))
-    return e.join(F.broadcast(w)).withColumn("completo", F.col("esperados") == F.col("gravados"))
+    w = written.agg(F.count(F.lit(1)).alias("n"))
+    both = e.withColumn("gravados", w.scalar())
+    return both.withColumn("completo", F.col("esperados") == F.col("gravados"))
 
 
 def earlier_same(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:

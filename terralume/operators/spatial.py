@@ -114,11 +114,13 @@ def shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     repeats one shape many times costs one overlay. Coordinates are lon/lat;
     other reference systems are moved at ingest and dropped here.
     """
-    known = F.col(geometry)["srid"].isin(*geo.GEOGRAPHIC_SRIDS)
+    # Filtered after the aggregation: before it, the test would be pushed into
+    # whatever expression built the geometry and repeat it.
+    known = F.col("geometry")["srid"].isin(*geo.GEOGRAPHIC_SRIDS)
     distinct = (
-        df.where(known & ~geo.is_empty(F.col(geometry)))
-        .groupBy("shape")
+        df.groupBy("shape")
         .agg(F.first(geometry).alias("geometry"), F.count(F.lit(1)).alias("copies"))
+        .where(known & ~geo.is_empty(F.col("geometry")))
     )
     turned = distinct.withColumn("geometry", geo.oriented(F.col("geometry")))
     return turned.withColumns(
@@ -177,11 +179,11 @@ def measured(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 def shape_contacts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Shape pairs that share at least one point, edge contact included."""
-    a = left.select(F.col("shape").alias("a"), "bbox", F.col("geometry").alias("ga"))
-    b = right.select(F.col("shape").alias("b"), "bbox", F.col("geometry").alias("gb"))
+    a = left.select(F.col("shape").alias("a"), "bbox", geo.edges(F.col("geometry")).alias("ea"))
+    b = right.select(F.col("shape").alias("b"), "bbox", geo.edges(F.col("geometry")).alias("eb"))
     pairs = candidate_pairs(a, b, "a", "b")
     both = pairs.join(a.drop("bbox"), "a").join(b.drop("bbox"), "b")
-    return both.where(geo.intersects(F.col("ga"), F.col("gb"))).select("a", "b")
+    return both.where(geo.intersects(F.col("ea"), F.col("eb"))).select("a", "b")
 
 
 def intersection_shapes(overlaps: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -199,13 +199,14 @@ def properties_at_points(spark: SparkSession, sf: str) -> DataFrame:
 def properties_in_views(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import locate
 
-    e = roles.embargo_layer(spark, sf).withColumn("b", geo.bbox(F.col("geometry")))
-    views = e.select(
+    e = roles.embargo_layer(spark, sf)
+    corners = e.select("seq_tad", F.inline(F.array(geo.bbox(F.col("geometry")))))
+    views = corners.select(
         "seq_tad",
-        F.col("b.xmin").alias("west"),
-        F.col("b.ymin").alias("south"),
-        (F.col("b.xmin") + 0.5).alias("east"),
-        (F.col("b.ymin") + 0.5).alias("north"),
+        F.col("xmin").alias("west"),
+        F.col("ymin").alias("south"),
+        (F.col("xmin") + 0.5).alias("east"),
+        (F.col("ymin") + 0.5).alias("north"),
         (12 + F.col("seq_tad") % 3).alias("zoom"),
         F.lit("").alias("excluded"),
     )

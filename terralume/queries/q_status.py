@@ -314,7 +314,8 @@ def quarantined_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "F26",
-    sql=None,
+    sql="""with f as (select l_orderkey, list_sort(list_distinct(list('"campo' || l_linenumber::varchar || ':' || l_returnflag || '"'))) as f from lineitem group by 1)
+    select l_orderkey, sha256('{"fields":[' || array_to_string(f, ',') || '],"geometry_type":"MultiPolygon","crs":"EPSG:4674"}') as assinatura from f""",
 )
 def structure_signatures(spark: SparkSession, sf: str) -> DataFrame:
     """Signature per order of its lines' fields and types."""

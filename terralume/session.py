@@ -16,6 +16,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Generated methods above 8000 bytes are never compiled by HotSpot; geometry
+    # expressions reach that size and run faster outside one fused method then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
