@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry as geo
 from ..operators import alerts, confront, credit
 from . import roles
-from .q_spatial import box_m2, pairs_sql, q_sql, _K
+from .q_spatial import box_m2, pairs_sql
 from .registry import query, table
 
 
