@@ -20,5 +20,36 @@ def op1_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_minhash_components,)}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import read_shards, write_shards
+
+    shards = write_shards(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return read_shards(shards).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import cut_pieces, pack
+
+    pieces = cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
+
+
+QUERIES: dict[str, QueryFn] = {
+    f.__name__: f
+    for f in (op1_minhash_components, op7_token_shards, op9_best_fit_packing, op10_token_counts)
+}
 SQL: dict[str, str] = {}
