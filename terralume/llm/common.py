@@ -29,8 +29,9 @@ def worker_state(name: str, build: Callable[[], Any]) -> Any:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    # Only a text without words leaves an empty one.
+    return F.array_remove(F.split(trimmed, r"[\x20\x09-\x0D]+"), "")
 
 
 def word_count(text: Column) -> Column:

@@ -26,6 +26,24 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mixed(docs)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    rows = judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *[
+        F.col(f"quality.{c}")
+        for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept")
+    ])
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import read_shards, write_shards
 
@@ -50,6 +68,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_minhash_components, op7_token_shards, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_minhash_components, op5_source_mix, op6_quality_rules, op7_token_shards, op9_best_fit_packing, op10_token_counts)
 }
 SQL: dict[str, str] = {}
