@@ -26,6 +26,26 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, formatted
+
+    control = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(control).alias("text"),
+    )
+    return digests(formatted(rows.unionByName(added)))
+
+
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -68,6 +88,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_minhash_components, op5_source_mix, op6_quality_rules, op7_token_shards, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_minhash_components, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op9_best_fit_packing, op10_token_counts)
 }
 SQL: dict[str, str] = {}
