@@ -67,7 +67,7 @@ def put_file(folder: str, name: str, parts: Iterator[bytes], attempt: str) -> st
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
     part, path = f"{root}/.{name}.{attempt}-{os.getpid()}", f"{root}/{name}"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         for data in parts:
             out.write(data)
     store.move(part, path)
@@ -76,5 +76,5 @@ def put_file(folder: str, name: str, parts: Iterator[bytes], attempt: str) -> st
 
 def get_file(folder: str, name: str) -> bytes:
     store, root = open_store(folder)
-    with store.open_input_stream(f"{root}/{name}") as source:
+    with store.open_input_stream(f"{root}/{name}", compression=None) as source:
         return source.read()

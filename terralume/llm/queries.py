@@ -26,6 +26,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages")))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, formatted
 
@@ -88,6 +94,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_minhash_components, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op9_best_fit_packing, op10_token_counts)
 }
 SQL: dict[str, str] = {}
