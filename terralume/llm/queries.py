@@ -79,6 +79,27 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, found_spans
+
+    rows = found_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    in_order = F.array_sort(
+        F.transform(
+            F.concat("base", "added"),
+            lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
+        )
+    )
+    return rows.select(
+        "doc_id",
+        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        written(in_order).alias("spans"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import cut_pieces, pack
 
@@ -94,6 +115,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts)
 }
 SQL: dict[str, str] = {}
