@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, free_name, worker_state
+from .tokens import batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -429,20 +430,27 @@ def found_spans(docs: DataFrame, text: str = "text", model: Model | None = None)
     model = model or trained()
     base, added = free_name(docs.columns, "base"), free_name(docs.columns, "added")
 
+    place = docs.columns.index(text)
+
     def work(frames: Iterator) -> Iterator:
-        from .tokens import batches
+        import pyarrow as pa
 
-        # A model has its own finder; the store of a worker is keyed by its weights.
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        # A worker keeps the finder of a model; the store is keyed by its weights.
         finder = worker_state(f"finder {hash(model.weights.tobytes())}", lambda: Finder(model))
+
+        def shown(spans: list) -> list[dict]:
+            return [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(spans)]
+
         for frame in frames:
-            texts, found = frame[text].tolist(), []
+            texts, found = frame.column(place).to_pylist(), []
             for low, high in batches(texts):
                 found += finder.batch(texts[low:high])
-            shown = lambda spans: [(KINDS[k], a, b) for k, a, b in sorted(spans)]
-            yield frame.assign(**{base: [shown(b) for b, _ in found], added: [shown(a) for _, a in found]})
+            columns = [*frame.columns, pa.array([shown(b) for b, _ in found], kind), pa.array([shown(a) for _, a in found], kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*frame.schema.names, base, added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(work, f"{fields}, `{base}` {SPAN}, `{added}` {SPAN}")
+    return docs.mapInArrow(work, f"{fields}, `{base}` {SPAN}, `{added}` {SPAN}")
 
 
 def masked(docs: DataFrame, text: str = "text", model: Model | None = None, mask: Callable[[str], str] = lambda kind: f"[{kind.upper()}]") -> DataFrame:

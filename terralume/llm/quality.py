@@ -33,8 +33,17 @@ def window_codes(words: Column, bits: Column) -> Column:
     return F.sort_array(F.transform(places, lambda i: code(i).bitwiseOR(i.cast("long"))))
 
 
-def repeated_words(words: Column, codes: Column, mask: Column) -> Column:
-    """Words that lie in windows found twice or more.
+def repeated_words(words: Column) -> Column:
+    """Words of an array that lie in windows found twice or more."""
+    bits = F.ceil(F.log2(F.size(words) + 1)).cast("int")
+    # Bound, as the optimizer may copy a column into the lambdas that use it.
+    given = F.struct(words.alias("words"), bits.alias("bits"), (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("mask"))
+    found = bind(given, lambda g: bind(window_codes(g["words"], g["bits"]), lambda codes: _covered(g["words"], codes, g["mask"])))
+    return F.when(F.size(words) > WINDOW, found).otherwise(F.lit(0).cast("long"))
+
+
+def _covered(words: Column, codes: Column, mask: Column) -> Column:
+    """Words that lie in repeated windows.
 
     Equal windows are neighbours in ``codes``, so those whose upper bits equal a neighbour's are
     taken and compared word by word; their places in order give the words covered.
@@ -86,19 +95,15 @@ def judged(docs: DataFrame, text: str = "text", least_left: int = LEAST_LEFT) ->
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.withColumn(f"{p}words", words_of(F.col(f"`{text}`")))
     words = F.col(f"{p}words")
-    rows = rows.withColumn(f"{p}bits", F.ceil(F.log2(F.size(words) + 1)).cast("int"))
-    bits = F.col(f"{p}bits")
-    rows = rows.withColumns({
-        f"{p}mask": F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1,
-        f"{p}codes": F.when(F.size(words) > WINDOW, window_codes(words, bits)),
-        f"{p}counted": F.transform(F.split(whole, "\n", -1), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"))),
-    })
-    counted, codes = F.col(f"{p}counted"), F.col(f"{p}codes")
+    rows = rows.withColumn(
+        f"{p}counted", F.transform(F.split(whole, "\n", -1), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    )
+    counted = F.col(f"{p}counted")
     stay = F.filter(counted, lambda x: (x["n"] == 0) | line_verdict(x["line"], x["n"]).isNull())
     with_words = F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: x["line"])
     rows = rows.withColumns({
         f"{p}n": F.size(words).cast("long"),
-        f"{p}repeat": F.coalesce(repeated_words(words, codes, F.col(f"{p}mask")), F.lit(0)).cast("long"),
+        f"{p}repeat": repeated_words(words),
         f"{p}stay": stay,
         f"{p}dup": bind(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
@@ -117,3 +122,12 @@ def judged(docs: DataFrame, text: str = "text", least_left: int = LEAST_LEFT) ->
         (~failed & (100 * left >= least_left * n)).alias("kept"),
     )
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], made.alias(name))
+
+
+def kept_rows(docs: DataFrame, text: str = "text", least_left: int = LEAST_LEFT) -> DataFrame:
+    """The rows of ``judged`` that are kept."""
+    rows = judged(docs, text, least_left)
+    verdict, barrier = rows.columns[-1], free_name(rows.columns, "judged_row")
+    # The number of a row keeps the filter above the rules, which would run twice otherwise.
+    numbered = rows.withColumn(barrier, F.monotonically_increasing_id())
+    return numbered.where(F.col(f"`{verdict}`.kept") & (F.col(barrier) >= 0)).drop(barrier)

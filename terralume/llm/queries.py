@@ -113,8 +113,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts, pipeline)
 }
 SQL: dict[str, str] = {}

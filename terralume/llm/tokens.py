@@ -16,9 +16,12 @@ from itertools import chain
 
 from .common import worker_state
 
-KEPT_PIECES = 300_000  # pieces of each of two generations that a worker keeps
+KEPT_PIECES = 600_000  # pieces of each of two generations that a worker keeps
 KEPT_LENGTH = 64  # longer pieces are encoded each time
 JOINED_PIECES = 4000  # new pieces in one call
+MARKS = ".,;:!?"
+# White space but blank and line feed, and the separators that some libraries count as white space.
+OTHER_SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
 class Encoder:
@@ -38,8 +41,8 @@ class Encoder:
             and cut.get("use_regex", True)
             and not cut.get("add_prefix_space", True)
         )
-        whole = [r"[^\S \n]", "[\x1c-\x1f]", *(re.escape(t["content"]) for t in settings.get("added_tokens", []))]
-        self.needs_whole = re.compile("|".join(whole) if by_pieces else "").search
+        self.by_pieces = by_pieces
+        self.added = [t["content"] for t in settings.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -49,27 +52,53 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Add the ids of ``pieces``; those too long to keep are returned."""
-        import numpy as np
+        """Add the ids of ``pieces``; those too long to keep are returned.
 
-        new, long = [], {}
+        A word and the marks behind it are different chunks, so only the word may be new.
+        """
+        known, older = self.known, self.older
+        words, marked, others, long = {}, [], [], {}
         for p in pieces:
-            ids = self.older.get(p)
+            ids = older.get(p)
             if ids is not None:
-                self.known[p] = ids
-            elif len(p) > KEPT_LENGTH:
+                known[p] = ids
+                continue
+            if len(p) > KEPT_LENGTH:
                 long[p] = self.whole(p if p[0] == "\n" else " " + p)
-            else:
-                new.append(p)
+                continue
+            stem = p.rstrip(MARKS)
+            if not stem.isalpha():
+                others.append(p)
+                continue
+            if stem not in known:
+                if stem in older:
+                    known[stem] = older[stem]
+                else:
+                    words[stem] = None
+            if stem is not p:
+                marked.append((p, stem))
+        self._learn_joined(list(words), lambda found: found.word_ids, 1)
+        self._learn_joined(others, lambda found: [b for b, _ in found.offsets], 0)
+        marks = {}
+        for p, stem in marked:
+            tail = p[len(stem) :]
+            if tail not in marks:
+                marks[tail] = self.whole(tail)
+            known[p] = known[stem] + marks[tail]
+        return long
+
+    def _learn_joined(self, new: list[str], places, each: int) -> None:
+        """Encode many pieces in one call; ``places`` tells each id's word (``each`` is 1) or character."""
+        import numpy as np
+
         for k in range(0, len(new), JOINED_PIECES):
             part = new[k : k + JOINED_PIECES]
             joined = [p if p[0] == "\n" else " " + p for p in part]
             found = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-            begins = np.cumsum([0, *map(len, joined)])
-            at = np.searchsorted([b for b, _ in found.offsets], begins).tolist()
+            begins = np.arange(len(part) + 1) if each else np.cumsum([0, *map(len, joined)])
+            at = np.searchsorted(np.array(places(found), np.int64), begins).tolist()
             ids = np.array(found.ids, dtype="<u4").tobytes()
             self.known.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(part, at, at[1:], strict=False))
-        return long
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, 4 bytes each; a null text has none."""
@@ -78,7 +107,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if self.needs_whole(text):
+            if not self.by_pieces or OTHER_SPACES(text) or any(t in text for t in self.added):
                 out[k] = self.whole(text)
                 continue
             pieces = text.replace("\n", " \n").split(" ")
