@@ -131,15 +131,15 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     other columns are ignored, an empty table gives none.
     """
 
-    def work(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
         counter = worker_state(f"counter {path}", lambda: Counter(path))
-        for frame in frames:
-            counts = [counter.text(t) for t in frame["text"]]
-            yield pd.DataFrame({"key": frame["key"], "n_bytes": frame["n_bytes"], "n_tokens": counts})
+        for batch in batches:
+            counts = [counter.text(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    made = rows.mapInPandas(work, f"key {kind}, n_bytes long, n_tokens long")
+    made = rows.mapInArrow(work, f"key {kind}, n_bytes long, n_tokens long")
     return made.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

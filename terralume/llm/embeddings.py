@@ -60,16 +60,17 @@ def unit_rows(vectors):
     return out, rows
 
 
-def _to_units(frames: Iterator) -> Iterator:
-    import numpy as np
-    import pandas as pd
+def _to_units(batches: Iterator) -> Iterator:
+    import pyarrow as pa
 
-    for frame in frames:
-        units, rows = unit_rows(frame["vector"])
-        made = pd.DataFrame({"unit": [u.astype("<f8").tobytes() for u in units]}, index=rows)
-        made.insert(0, "key", frame["key"].iloc[rows].to_numpy() if len(rows) else np.array([], frame["key"].dtype))
-        made["dims"] = [len(u) for u in units]
-        yield made[["key", "dims", "unit"]]
+    for batch in batches:
+        units, rows = unit_rows(batch.column(1).to_pandas())
+        columns = [
+            batch.column(0).take(pa.array(rows, pa.int32())),
+            pa.array([len(u) for u in units], pa.int32()),
+            pa.array([u.astype("<f8").tobytes() for u in units], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "dims", "unit"])
 
 
 def _to_cells(pivots: dict, radius: float):
@@ -157,7 +158,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     kind = rows.schema[key].dataType.simpleString()
     plain = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    units = materialize(plain.mapInPandas(_to_units, f"key {kind}, dims int, unit binary"), "units")
+    units = materialize(plain.mapInArrow(_to_units, f"key {kind}, dims int, unit binary"), "units")
     # One representative of equal unit vectors; ``key`` is the smallest of the group.
     groups = units.where("key is not null").groupBy("dims", "unit").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     groups = materialize(groups, "vectors")

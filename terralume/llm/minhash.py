@@ -78,14 +78,13 @@ def shingle_set(text: str | None, width: int = SHINGLE_WORDS):
 def _signatures(symbols: int) -> Callable[[Iterator], Iterator]:
     def work(frames):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         import xxhash
 
         rng = np.random.default_rng(20240229)
         factors = rng.integers(0, 2**62, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         shifts = rng.integers(0, 2**63, symbols, dtype=np.uint64)
         for frame in frames:
-            text = frame.pop("text")
             rows, sets, held = [], [], 0
             out = []
 
@@ -103,7 +102,7 @@ def _signatures(symbols: int) -> Callable[[Iterator], Iterator]:
                 rows.clear()
                 sets.clear()
 
-            for i, t in enumerate(text):
+            for i, t in enumerate(frame.column(1).to_pylist()):
                 found = shingle_set(t)
                 if len(found) == 0:
                     out.append((i, 0, None, None))
@@ -115,9 +114,9 @@ def _signatures(symbols: int) -> Callable[[Iterator], Iterator]:
                     flush()
                     held = 0
             flush()
-            made = pd.DataFrame(out, columns=["_at", "n_shingles", "node", "signature"]).set_index("_at").sort_index()
-            made.index = frame.index
-            yield pd.concat([frame, made], axis=1)
+            _, sizes, nodes, signs = zip(*sorted(out), strict=True) if out else ((),) * 4
+            columns = [frame.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_shingles", "node", "signature"])
 
     return work
 
@@ -126,7 +125,7 @@ def signed(docs: DataFrame, key: str, text: str, chunks: int) -> DataFrame:
     """``key``, ``n_shingles``, ``node`` (digest of the set, null for an empty one), ``signature``."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(_signatures(4 * chunks), f"key {kind}, n_shingles long, node binary, signature binary")
+    return rows.mapInArrow(_signatures(4 * chunks), f"key {kind}, n_shingles long, node binary, signature binary")
 
 
 def _roots(parent, at):

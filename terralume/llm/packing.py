@@ -46,28 +46,24 @@ def cut_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """
 
     def work(frames: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        end = np.array([end_id], "<u4").tobytes()
+        end = end_id.to_bytes(4, "little")
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts = frame.column(1).to_pylist()
             for low, high in batches(texts):
-                at, rows = [], []
+                rows = []
                 for i, ids in enumerate(encoder(path).batch(texts[low:high]), low):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
-                    for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        at.append(i)
-                        rows.append((piece, a, b - a, ids[4 * a : 4 * b]))
-                made = pd.DataFrame(rows, columns=["piece", "start", "length", "ids"])
-                made.insert(0, "key", frame["key"].iloc[at].reset_index(drop=True))
-                yield made
+                    rows += [(i, piece, a, b - a, ids[4 * a : 4 * b]) for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                at, *made = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True))
+                yield pa.RecordBatch.from_arrays([frame.column(0).take(at), *made], names=["key", "piece", "start", "length", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(work, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(work, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)
 
 
 def best_fill(value, capacity: int):

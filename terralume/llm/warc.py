@@ -130,7 +130,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     rows = rows.select("page", "url", "payload", "payload_digest", "refers_to").sortWithinPartitions("page", "payload_digest")
 
     def work(frames: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -147,25 +147,26 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
                     yield part
 
             name = put_file(folder, f"{task.partitionId():06d}-{number:06d}.warc.zst", counted(), f"{task.taskAttemptId()}")
-            row = (folder, name, len(records), size)
+            row = dict(folder=folder, file=name, records=len(records), bytes=size)
             records.clear()
             number, held = number + 1, 0
             return row
 
-        whole = lambda x: None if pd.isna(x) else int(x)
         for frame in frames:
             done = []
-            for page, link, payload, digest, refers in zip(*(frame[c] for c in frame.columns), strict=True):
-                records.append(record_bytes(whole(page), link, bytes(payload), digest, whole(refers)))
+            for row in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                records.append(record_bytes(*row))
                 held += len(records[-1])
                 if held >= ARCHIVE_BYTES:
                     done.append(close())
-            yield pd.DataFrame(done, columns=LISTED)
+            yield pa.RecordBatch.from_pylist(done, schema=LISTED)
         if records:
-            yield pd.DataFrame([close()], columns=LISTED)
+            yield pa.RecordBatch.from_pylist([close()], schema=LISTED)
 
-    LISTED = ["folder", "file", "records", "bytes"]
-    return materialize(rows.mapInPandas(work, "folder string, file string, records long, bytes long"), "archives")
+    import pyarrow as pa
+
+    LISTED = pa.schema([("folder", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+    return materialize(rows.mapInArrow(work, "folder string, file string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -179,10 +180,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
         return int(digits) if digits else None
 
     def work(frames: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         for frame in frames:
-            for folder, name in zip(frame["folder"], frame["file"], strict=True):
+            for folder, name in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
                 rows = []
                 for fields, block in read_archive(get_file(folder, name)):
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -194,9 +195,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     refers = None if response else number(fields["WARC-Refers-To"])
                     rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, digest, fields["WARC-Type"], refers))
-                made = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("folder", "file").repartition("file").mapInPandas(
+    return archives.select("folder", "file").repartition("file").mapInArrow(
         work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )

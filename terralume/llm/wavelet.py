@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     dealt = rows.repartitionByRange(F.col("key").asc_nulls_first(), tie).sortWithinPartitions(F.col("key").asc_nulls_first(), tie)
 
     def work(frames: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -191,14 +191,14 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             nonlocal held, number
             data = shard_bytes(keys, [len(x) // 4 for x in found], b"".join(found), bits)
             name = put_file(folder, f"{part:06d}-{number:06d}.wm", iter([data]), f"{task.taskAttemptId()}")
-            row = (folder, name, part, number, held, len(keys))
+            row = dict(folder=folder, file=name, part=part, number=number, tokens=held, documents=len(keys))
             keys.clear()
             found.clear()
             held, number = 0, number + 1
             return row
 
         for frame in frames:
-            texts, names, done = frame["text"].tolist(), frame["key"].astype(object).where(frame["key"].notna(), None).tolist(), []
+            names, texts, done = frame.column(0).to_pylist(), frame.column(1).to_pylist(), []
             for low, high in batches(texts):
                 for name, ids in zip(names[low:high], encoder(path).batch(texts[low:high]), strict=True):
                     keys.append(name)
@@ -206,12 +206,16 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                     held += len(ids) // 4 + 1
                     if held >= SHARD_TOKENS:
                         done.append(close())
-            yield pd.DataFrame(done, columns=LISTED)
+            yield pa.RecordBatch.from_pylist(done, schema=LISTED)
         if keys:
-            yield pd.DataFrame([close()], columns=LISTED)
+            yield pa.RecordBatch.from_pylist([close()], schema=LISTED)
 
-    LISTED = ["folder", "file", "part", "number", "tokens", "documents"]
-    return materialize(dealt.mapInPandas(work, "folder string, file string, part int, number int, tokens long, documents long"), "shards")
+    import pyarrow as pa
+
+    LISTED = pa.schema([
+        ("folder", pa.string()), ("file", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("tokens", pa.int64()), ("documents", pa.int64()),
+    ])
+    return materialize(dealt.mapInArrow(work, "folder string, file string, part int, number int, tokens long, documents long"), "shards")
 
 
 def read_shards(shards: DataFrame, kind: str = "long") -> DataFrame:
@@ -224,17 +228,22 @@ def read_shards(shards: DataFrame, kind: str = "long") -> DataFrame:
         "folder", "file", (F.col("_base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("base")
     )
 
-    def work(frames: Iterator) -> Iterator:
+    def work(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in frames:
-            for folder, name, base in frame.itertuples(index=False):
-                keys, lengths, matrix = open_shard(get_file(folder, name))
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, lengths, matrix = open_shard(get_file(row["folder"], row["file"]))
                 values = matrix.values().astype("<u4")
                 ends = np.cumsum(lengths, dtype=np.int64)
                 ids = [values[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
-                column = pd.Series(keys, dtype="Int64") if kind in ("long", "bigint", "int") else pd.Series(keys, dtype=object)
-                yield pd.DataFrame({"key": column, "start": base + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids": ids})
-
-    return placed.repartition("file").mapInPandas(work, f"key {kind}, start long, n_tokens long, ids binary")
+                columns = [
+                    pa.array(keys, pa.int64() if kind in ("long", "bigint") else None),
+                    pa.array(row["base"] + ends - lengths, pa.int64()),
+                    pa.array(lengths, pa.int64()),
+                    pa.array(ids, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids"])
+
+    return placed.repartition("file").mapInArrow(work, f"key {kind}, start long, n_tokens long, ids binary")
