@@ -26,29 +26,50 @@ class Indexed:
     def of(cls, df: DataFrame) -> Indexed:
         """The shape table is read by the cell join, the overlay and the areas, so it is written once."""
         features = spatial.with_shape(df)
-        shapes = materialize(spatial.shapes(features), "shapes")
+        shapes = materialize(spatial.valid_shapes(features), "shapes")
         return cls(features.drop("geometry"), shapes)
 
 
-def other_properties(properties: Indexed, limit: int = OTHER_LIMIT) -> DataFrame:
-    """Overlaps with other properties, both percentages, largest first.
+def other_pairs(properties: Indexed) -> DataFrame:
+    """Shared area of all ordered pairs of shapes of properties, in the shared folder.
 
     Each unordered pair of shapes is measured once and mirrored. Properties
     that share one shape overlap each other completely; that pair is added per
-    shape. A shape's members are cut to the first limit + 1 by code, which is
-    all any list of this length can hold besides the property itself.
+    shape.
     """
     side = properties.shapes
-    areas = spatial.shape_areas(side)
     half = materialize(spatial.shape_overlaps(side, side, once=True), "pairs")
     mirrored = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "area_m2")
     same = (
         side.where("copies > 1")
         .select("shape")
-        .join(areas, "shape")
+        .join(spatial.shape_areas(side), "shape")
         .select(F.col("shape").alias("a"), F.col("shape").alias("b"), F.col("m2").alias("area_m2"))
     )
-    pairs = half.unionByName(mirrored).unionByName(same)
+    return half.unionByName(mirrored).unionByName(same)
+
+
+def other_counts(properties: Indexed, pairs: DataFrame, limit: int = OTHER_LIMIT) -> DataFrame:
+    """How many other properties overlap each one, their shared area, and whether the list is cut."""
+    mine = properties.features.select("cod_imovel", "shape")
+    return spatial.overlap_counts(mine, pairs, properties.shapes, "cod_imovel", itself=True).select(
+        "cod_imovel",
+        "quantidade",
+        (F.col("quantidade") > limit).alias("truncada"),
+        (F.col("soma_m2") / 10000).alias("area_soma_ha"),
+    )
+
+
+def other_properties(
+    properties: Indexed, limit: int = OTHER_LIMIT, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Overlaps with other properties, both percentages, largest first.
+
+    A shape's members are cut to the first limit + 1 by code, which is all any
+    list of this length can hold besides the property itself.
+    """
+    areas = spatial.shape_areas(properties.shapes)
+    pairs = other_pairs(properties) if pairs is None else pairs
     mine = properties.features.select("cod_imovel", "shape")
     theirs = mine.withColumnRenamed("cod_imovel", "outro")
     rows = spatial.member_overlaps(mine, theirs, pairs, "cod_imovel", "outro", limit, itself=True)
@@ -84,6 +105,8 @@ def external_layer(
 ) -> LayerResult:
     """Ranked overlaps, counts with truncation flag and sum, clipped shapes and union area.
 
+    `limit` is the length of the ranked list alone; counts, sums and the union cover everything.
+
     The pair table is written once; every result is a plan over it, so only
     what is used is computed.
     """
@@ -105,7 +128,7 @@ def external_layer(
     )
     counts = spatial.overlap_counts(mine, pairs, fs, "cod_imovel").select(
         "cod_imovel",
-        F.least("quantidade", F.lit(limit)).alias("quantidade"),
+        "quantidade",
         (F.col("quantidade") > limit).alias("truncada"),
         (F.col("soma_m2") / 10000).alias("area_soma_ha"),
     )
@@ -131,7 +154,7 @@ def own_layers(
     return properties.select("cod_imovel").join(per, "cod_imovel").select(
         "cod_imovel",
         "camada",
-        F.least("n", F.lit(limit)).alias("quantidade"),
+        F.col("n").alias("quantidade"),
         F.col("total").cast("double").alias("total_area_ha"),
         (F.col("n") > limit).alias("truncada"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import casts, geometry as geo, text as tx
+from ..functions import casts, geometry as geo, overlay, text as tx
 
 # Temporal cut-off of the alert layer, coordinate ranges of plot points,
 # share of rows without key that is still accepted.
@@ -268,17 +268,14 @@ def geometry_profile(df: DataFrame, column: str) -> DataFrame:
         geom.isNull().alias("null"),
         (geom.isNotNull() & geo.is_empty(geom)).alias("empty"),
         (~geo.is_empty(geom) & ~geo.is_valid(geom)).alias("invalid"),
-        F.exists(
-            F.coalesce(F.transform(geo.rings(geom), geo.planar_ring_area), F.array(F.lit(0.0))),
-            lambda a: a != 0,
-        ).alias("has_area"),
+        overlay.made_valid(geom).isNotNull().alias("repairable"),
     )
     return flags.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("null").alias("nulas"),
         F.count_if("empty").alias("vazias"),
         F.count_if("invalid").alias("invalidas"),
-        F.count_if(F.col("invalid") & F.col("has_area")).alias("reparaveis"),
+        F.count_if(F.col("invalid") & F.col("repairable")).alias("reparaveis"),
     )
 
 

@@ -40,8 +40,16 @@ def _own_level(box: Column) -> Column:
     return level.otherwise(LEVELS - 1)
 
 
-def _cells(df: DataFrame, key: str, box: str, own_tag: int) -> DataFrame:
-    """Cell rows of one side: its own level, and every level it may be found at.
+def _levels(df: DataFrame, box: str) -> list[int]:
+    """Levels that objects of a side live at; at most LEVELS rows reach the driver."""
+    return sorted(r[0] for r in df.select(_own_level(F.col(box))).distinct().collect())
+
+
+def _cells(df: DataFrame, key: str, box: str, own_tag: int, others: Sequence[int]) -> DataFrame:
+    """Cell rows of one side: its own level, and those it may be found at by the other side.
+
+    `others` are the levels of the other side's objects; a level without any
+    gets no rows.
 
     Rows tagged 1 join left objects at their own level with right objects of
     that level or finer; rows tagged 2 join the rest. Only one side of a tag
@@ -52,11 +60,12 @@ def _cells(df: DataFrame, key: str, box: str, own_tag: int) -> DataFrame:
     own = F.col("_own")
     first = own if own_tag == 2 else own + 1
     row = lambda level, tag: F.struct(level.cast("int").alias("l"), F.lit(tag).alias("t"))
-    found = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda n: n >= first),
-        lambda n: row(n, 3 - own_tag),
-    )
-    rows = F.explode(F.concat(F.array(row(own, own_tag)), found))
+    levels = F.array(*map(F.lit, others)).cast("array<int>")
+    found = F.transform(F.filter(levels, lambda n: n >= first), lambda n: row(n, 3 - own_tag))
+    # The own level serves objects of the other side that are finer, or as fine where it is first.
+    finer = own >= min(others, default=LEVELS) if own_tag == 1 else own > min(others, default=LEVELS)
+    at_home = F.when(finer, F.array(row(own, own_tag))).otherwise(F.array().cast("array<struct<l:int,t:int>>"))
+    rows = F.explode(F.concat(at_home, found))
     leveled = df.withColumn("_own", _own_level(F.col(box))).withColumn("_r", rows)
     leveled = leveled.select(
         key, box, F.col("_r.l").alias("_level"), F.col("_r.t").alias("_tag"),
@@ -86,8 +95,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """
     a = left.where("bbox is not null").select(F.col(left_key).alias("_a"), F.col("bbox").alias("_abox"))
     b = right.where("bbox is not null").select(F.col(right_key).alias("_b"), F.col("bbox").alias("_bbox"))
-    met = _cells(a, "_a", "_abox", 1).join(
-        _cells(b, "_b", "_bbox", 2), ["_tag", "_level", "_cx", "_cy", "_salt"]
+    met = _cells(a, "_a", "_abox", 1, _levels(b, "_bbox")).join(
+        _cells(b, "_b", "_bbox", 2, _levels(a, "_abox")), ["_tag", "_level", "_cx", "_cy", "_salt"]
     )
     side = _cell_side(F.col("_level"))
     x0 = F.greatest("_abox.xmin", "_bbox.xmin")
@@ -107,12 +116,14 @@ def with_shape(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.withColumn("shape", F.when(parts.isNotNull(), both))
 
 
-def shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+def shapes(df: DataFrame, geometry: str = "geometry", repair: bool = False) -> DataFrame:
     """One row per distinct shape with what joins and overlays need.
 
     Copies of a geometry collapse before any pair is built, so a layer that
     repeats one shape many times costs one overlay. Coordinates are lon/lat;
-    other reference systems are moved at ingest and dropped here.
+    other reference systems are moved at ingest and dropped here. With
+    `repair` invalid shapes are repaired once each; what has no area left
+    meets nothing, as its box is NULL.
     """
     # Filtered after the aggregation: before it, the test would be pushed into
     # whatever expression built the geometry and repeat it.
@@ -122,7 +133,8 @@ def shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
         .agg(F.first(geometry).alias("geometry"), F.count(F.lit(1)).alias("copies"))
         .where(known & ~geo.is_empty(F.col("geometry")))
     )
-    turned = distinct.withColumn("geometry", geo.oriented(F.col("geometry")))
+    whole = overlay.made_valid(F.col("geometry")) if repair else geo.oriented(F.col("geometry"))
+    turned = distinct.withColumn("geometry", whole)
     return turned.withColumns(
         {
             "bbox": geo.bbox(F.col("geometry")),
@@ -132,9 +144,8 @@ def shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 
 def valid_shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """`shapes` with invalid geometries repaired first."""
-    fixed = df.withColumn(geometry, overlay.made_valid(F.col(geometry)))
-    return shapes(fixed.where(F.col(geometry).isNotNull()), geometry)
+    """`shapes` with invalid geometries repaired."""
+    return shapes(df, geometry, repair=True)
 
 
 def _chunks(side: DataFrame, name: str) -> DataFrame:
@@ -241,14 +252,19 @@ def member_overlaps(
     return ranked.where(F.col("ordem") <= limit)
 
 
-def overlap_counts(left: DataFrame, overlaps: DataFrame, right: DataFrame, left_key: str) -> DataFrame:
+def overlap_counts(
+    left: DataFrame, overlaps: DataFrame, right: DataFrame, left_key: str, itself: bool = False
+) -> DataFrame:
     """Per left feature: how many right features overlap and their summed area.
 
-    Works on shapes and copies, so nothing is expanded to count it.
+    Works on shapes and copies, so nothing is expanded to count it. With
+    `itself` both sides are the same features and none counts for itself.
     """
     weights = right.select(F.col("shape").alias("b"), "copies")
+    others = F.col("copies") - F.when(F.col("a") == F.col("b"), 1).otherwise(0) if itself else F.col("copies")
     per_shape = (
         overlaps.join(weights, "b")
+        .withColumn("copies", others)
         .groupBy("a")
         .agg(F.sum("copies").alias("quantidade"), F.sum(F.col("area_m2") * F.col("copies")).alias("soma_m2"))
     )

@@ -48,12 +48,9 @@ def confront_all(properties: DataFrame, layers: Sequence[Layer], others: bool =
         results[layer.name] = result
         summaries.append(result.counts.withColumn("camada", F.lit(layer.name)))
     if others:
-        rows = confront.other_properties(indexed)
-        summaries.append(
-            rows.groupBy("cod_imovel").agg(
-                F.count(F.lit(1)).alias("quantidade"), F.sum("area_sobreposta_ha").alias("area_soma_ha")
-            ).withColumn("camada", F.lit("outros_cars"))
-        )
+        pairs = confront.other_pairs(indexed)
+        rows = confront.other_properties(indexed, pairs=pairs)
+        summaries.append(confront.other_counts(indexed, pairs).withColumn("camada", F.lit("outros_cars")))
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), summaries)
     offered = [(layer.name, layer.table is not None) for layer in layers]
     offered += [("outros_cars", True)] if others else []

@@ -44,7 +44,7 @@ _CTES = f"""{roles.PROPERTIES_SQL}, {roles.ALERTS_SQL}, {roles.EMBARGO_SQL}, {ro
       (outros > 0)::int + (apa > 0)::int + (prodes > 0)::int + (ibama > 0)::int as quantidade,
       concat_ws(' • ', case when outros > 0 then 'Sobreposição com outro CAR' end, case when apa > 0 then 'Sobreposição com APA' end,
         case when prodes > 0 then 'Ocorrência PRODES' end, case when ibama > 0 then 'Embargo IBAMA' end) as resumo,
-      '{{"apa":' || least(apa, 2000)::varchar || ',"funai":0,"ibama":' || least(ibama, 2000)::varchar || ',"outros_cars":' || least(outros, 1000)::varchar || ',"prodes":' || least(prodes, 2000)::varchar || '}}' as camadas
+      '{{"apa":' || apa::varchar || ',"funai":0,"ibama":' || ibama::varchar || ',"outros_cars":' || outros::varchar || ',"prodes":' || prodes::varchar || '}}' as camadas
     from counts""",
     bench=True,
 )
@@ -55,7 +55,7 @@ def confront_properties(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "R1 R4 S15",
-    sql=f"""with {_CTES}, l as (select cod_imovel, unnest([{{'c': 'prodes', 'n': least(prodes, 2000)}}, {{'c': 'ibama', 'n': least(ibama, 2000)}}, {{'c': 'apa', 'n': least(apa, 2000)}}, {{'c': 'funai', 'n': 0}}, {{'c': 'outros_cars', 'n': least(outros, 1000)}}]) as e from counts)
+    sql=f"""with {_CTES}, l as (select cod_imovel, unnest([{{'c': 'prodes', 'n': prodes}}, {{'c': 'ibama', 'n': ibama}}, {{'c': 'apa', 'n': apa}}, {{'c': 'funai', 'n': 0}}, {{'c': 'outros_cars', 'n': outros}}]) as e from counts)
     select cod_imovel, e.c as camada, e.n as quantidade, case when e.c = 'funai' then 'nao_verificado' when e.n = 0 then 'ok' when e.c = 'ibama' then 'atencao' else 'alerta' end as estado,
       case when e.c = 'funai' then 'Não verificado' when e.n > 0 then 'Identificado' when e.c = 'ibama' then 'Sem indício espacial' else 'Não identificado' end as status, e.c <> 'outros_cars' as visivel from l""",
 )

@@ -37,8 +37,7 @@ def read_delimited_files(spark: SparkSession, sf: str) -> DataFrame:
     fmt = delimited.detect_format(delimited.read_head(spark, path), ["ref_bacen", "cd_estado"])
     read = delimited.read_delimited(spark, path, fmt)
     year = delimited.year_of_name(F.element_at(F.split(F.lit(path), "/"), -1))
-    surplus = F.when(F.col("_excesso").isNotNull(), F.lit("x;y"))
-    return read.select("ref_bacen", "cd_estado", "obs", year.alias("ano"), surplus.alias("excesso"))
+    return read.select("ref_bacen", "cd_estado", "obs", year.alias("ano"), F.col("_excesso").alias("excesso"))
 
 
 def _with_header(batches):

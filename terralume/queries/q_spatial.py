@@ -341,11 +341,12 @@ def validity_and_repair(spark: SparkSession, sf: str) -> DataFrame:
     "A1 A2",
     sql=f"""with {roles.UNITS_SQL}
     select count(*) as total, 0 as nulas, 0 as vazias,
-      count(*) filter (categoria_manejo not in ('ECONOMY', 'STANDARD')) as invalidas, 0 as reparaveis
+      count(*) filter (categoria_manejo not in ('ECONOMY', 'STANDARD')) as invalidas,
+      count(*) filter (categoria_manejo not in ('ECONOMY', 'STANDARD')) as reparaveis
     from units""",
 )
 def geometry_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """A bow-tie of a box has no net area, so the ring test finds none repairable."""
+    """A bow-tie is invalid and is repaired to two triangles."""
     from ..operators import quality
 
     return quality.geometry_profile(_shaped(spark, sf), "geometry")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import csv
-import io
 import re
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +20,6 @@ DELIMITERS = (";", ",", "\t", "|")
 RESERVED = ("_id", "_numero_linha", "_ano_arquivo", "_arquivo_origem", "geom")
 FIRST_YEAR = 2013
 OPERATIONS_FILE = r"(?i)^SICOR_OPERACAO_BASICA_ESTADO_(\d{4})(?:\.(?:gz|csv))?$"
-HEAD_LINES = 1000
 # Header of the operations file.
 OPERATIONS_HEADER = (
     "#REF_BACEN", "NU_ORDEM", "CNPJ_IF", "DT_EMISSAO", "DT_VENCIMENTO", "CD_INST_CREDITO",
@@ -35,8 +34,6 @@ OPERATIONS_HEADER = (
     "VL_JUROS_ENC_FINAN_POSFIX", "VL_PERC_CUSTO_EFET_TOTAL", "CD_CONTRATO_STN",
     "CD_CNPJ_CADASTRANTE", "VL_AREA_INFORMADA", "CD_CICLO_CULTIVAR", "CD_TIPO_SOLO", "PC_BONUS_CAR",
 )
-SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
-
 
 @dataclass(frozen=True)
 class Format:
@@ -48,56 +45,54 @@ class Format:
 
 def unique_headers(names: Iterable[str]) -> tuple[str, ...]:
     """Identifiers in order; repeats and reserved names get `_2`, `_3` and so on."""
-    used, result = set(RESERVED), []
-    for position, name in enumerate(names, start=1):
-        base = identifier_text(str(name or "").strip(), prefix="campo") if str(name or "").strip() else f"campo_{position}"
-        chosen, n = base, 2
-        while chosen in used:
-            chosen = f"{base[: 63 - len(f'_{n}')]}_{n}"
-            n += 1
-        used.add(chosen)
-        result.append(chosen)
-    return tuple(result)
+    stripped = [str(name or "").strip() for name in names]
+    wanted = [identifier_text(n, prefix="campo") if n else f"campo_{i}" for i, n in enumerate(stripped, 1)]
+    taken, uses = set(RESERVED), Counter(RESERVED)
+
+    def free(base: str) -> str:
+        """The base or its next numbered form; numbers go on where the last use of the base ended."""
+        name = base
+        while name in taken:
+            uses[base] += 1
+            tail = f"_{max(uses[base], 2)}"
+            name = base[: 63 - len(tail)] + tail
+        taken.add(name)
+        uses[base] = max(uses[base], 1)
+        return name
+
+    return tuple(free(base) for base in wanted)
 
 
 def decode_head(head: bytes) -> tuple[str, str]:
-    """Text and the first encoding that reads it."""
-    for encoding in ENCODINGS:
-        try:
-            return head.decode(encoding), encoding
-        except UnicodeDecodeError:
-            continue
-    return head.decode("utf-8", errors="replace"), "utf-8"
+    """Text of a header line and its encoding: UTF-8 where it is valid, else Windows-1252 or Latin-1."""
+    if b"\x81" not in head and b"\x8d" not in head and b"\x8f" not in head and b"\x90" not in head and b"\x9d" not in head:
+        single = "cp1252"
+    else:
+        single = "latin-1"  # bytes that Windows-1252 leaves undefined
+    encoding = "utf-8-sig" if head.decode("utf-8", "ignore").encode() == head else single
+    return head.decode(encoding), encoding
 
 
 def detect_format(head: bytes, known: Iterable[str] = ()) -> Format:
-    """Delimiter with the most known headers (100 each) and then the widest header."""
+    """Delimiter whose header has the most known names, then the most columns, then stands first in the list."""
     text, encoding = decode_head(head)
     expected = {identifier_text(name, prefix="campo") for name in known}
-    best: tuple[int, str, list[str]] | None = None
-    for delimiter in DELIMITERS:
-        row = next(csv.reader(io.StringIO(text), delimiter=delimiter), [])
-        hits = sum(1 for h in unique_headers(row) if h in expected)
-        score = hits * 100 + len(row)
-        if best is None or score > best[0]:
-            best = (score, delimiter, row)
-    if best is None or len(best[2]) < 2:
+    lines = text.splitlines()
+    split = {d: next(csv.reader(lines, delimiter=d), []) for d in DELIMITERS}
+    hits = {d: len(expected.intersection(unique_headers(row))) for d, row in split.items()}
+    chosen = max(DELIMITERS, key=lambda d: 100 * hits[d] + len(split[d]))
+    if len(split[chosen]) < 2:
         raise ValueError("no header with two or more columns")
-    return Format(encoding, best[1], tuple(str(v).strip() for v in best[2]), unique_headers(best[2]))
-
+    return Format(encoding, chosen, tuple(str(v).strip() for v in split[chosen]), unique_headers(split[chosen]))
 
-def read_head(spark: SparkSession, path: str, lines: int = HEAD_LINES) -> bytes:
-    """First lines of one file as bytes; a bounded number of rows reaches the driver.
 
-    The text source keeps the bytes of a line as they are, so they are cast to
-    binary and decoded here, once the encoding is known. Only the start of the
-    file is read, gzip included.
-    """
+def read_head(spark: SparkSession, path: str) -> bytes:
+    """Header line of one file as bytes; only the start of the file is read, gzip included."""
     raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
-    rows = raw.limit(lines).collect()
-    if not rows:
+    row = raw.first()
+    if row is None:
         raise ValueError(f"no text at {path}")
-    return b"\n".join(bytes(r["value"]) for r in rows)
+    return bytes(row["value"])
 
 
 def check_limits(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
@@ -114,28 +109,54 @@ def _windows_text(text: Column) -> Column:
     return F.translate(text, "".join(a for a, _ in known), "".join(b for _, b in known))
 
 
-def read_delimited(spark: SparkSession, path: str, fmt: Format, multiline: bool = False) -> DataFrame:
+def _decoded(value: Column, strict: bool = False) -> Column:
+    """A value read byte by byte: UTF-8 where its bytes are valid, else Windows-1252, or an error if strict."""
+    utf8 = F.encode(value, "ISO-8859-1").cast("string")
+    other = F.raise_error(F.lit("text is not UTF-8")).cast("string") if strict else _windows_text(value)
+    return F.when(value.isNull() | F.is_valid_utf8(utf8), utf8).otherwise(other)
+
+
+def _surplus(line: Column, delimiter: str, width: int) -> Column:
+    """What follows the first `width` fields of a line, else NULL."""
+    sep = re.escape(delimiter)
+    pattern = rf'^(?>(?:"(?:[^"]|"")*+"|[^{sep}]*+){sep}){{{width}}}([\s\S]*)$'
+    return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
+
+
+def read_delimited(
+    spark: SparkSession, path: str, fmt: Format, multiline: bool = False, strict: bool = False
+) -> DataFrame:
     """All fields as text, with file and year lineage; gzip is read as it is.
 
-    Short rows are padded with '' and rows that are too wide carry the surplus
-    in `_excesso`, which `too_wide` reports.
+    Bytes are read as they are and each value is decoded by itself, so no part
+    of a file decides for the rest. Short rows are padded with '', and the
+    whole surplus of rows that are too wide is kept in `_excesso`, which
+    `too_wide` reports. With `strict` every file's header must equal the
+    format's names and every value must be UTF-8, else the job fails.
     """
-    schema = ", ".join([f"`{h}` string" for h in fmt.headers] + ["`_excesso` string"])
+    names = fmt.original if strict else fmt.headers
+    schema = ", ".join([f"`{h}` string" for h in names] + ["`_linha` string"])
     raw = (
         spark.read.schema(schema)
         .option("sep", fmt.delimiter)
-        .option("encoding", SPARK_CHARSETS[fmt.encoding])
+        .option("encoding", "ISO-8859-1")
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", not strict)
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_linha")
+        .option("columnPruning", False)
         .csv(path)
     )
-    decoded = _windows_text if fmt.encoding == "cp1252" else lambda c: c
-    fields = [decoded(F.coalesce(h, F.lit(""))).alias(h) for h in fmt.headers]
-    filled = raw.select(*fields, "_excesso", "_metadata")
-    return with_lineage(filled).drop("_metadata")
+    fields = [
+        _decoded(F.coalesce(F.col(f"`{n}`"), F.lit("")), strict).alias(h)
+        for n, h in zip(names, fmt.headers, strict=True)
+    ]
+    # Always true; Spark refuses plans that read nothing but the raw line.
+    read = F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) >= ""
+    surplus = F.when(read, _decoded(_surplus(F.col("_linha"), fmt.delimiter, len(names)), strict)).alias("_excesso")
+    return with_lineage(raw.select(*fields, surplus, "_metadata")).drop("_metadata")
 
 
 def with_lineage(df: DataFrame) -> DataFrame:
@@ -196,19 +217,13 @@ def year_hint(name: Column) -> Column:
     return F.try_element_at(chosen, F.lit(-1)).try_cast("int")
 
 
-def require_header(fmt: Format, names: Sequence[str]) -> None:
-    """The header must equal the given names exactly, in order."""
-    if fmt.original != tuple(names):
-        raise ValueError("header differs from the expected one")
-
-
 def read_operations(spark: SparkSession, path: str, names: Sequence[str] = OPERATIONS_HEADER) -> DataFrame:
-    """Operations file with exactly the given header, `;` and UTF-8; anything else fails."""
-    text, encoding = decode_head(read_head(spark, path, 1))
-    header = next(csv.reader(io.StringIO(text), delimiter=";"))
-    fmt = Format(encoding, ";", tuple(header), unique_headers(header))
-    require_header(fmt, names)
-    return read_delimited(spark, path, fmt)
+    """Operations files with exactly the given header, `;` and UTF-8, each of them; anything else fails."""
+    first = next(csv.reader([read_head(spark, path).decode("utf-8", "replace")], delimiter=";"))
+    if tuple(first) != tuple(names):
+        raise ValueError("header differs from the expected one")
+    fmt = Format("utf-8", ";", tuple(names), unique_headers(names))
+    return read_delimited(spark, path, fmt, strict=True)
 
 
 def domain_header(name: str) -> str:

@@ -122,11 +122,42 @@ def test_head_is_read_as_bytes(spark, tmp_path):
 
 def test_wide_and_short_rows(spark, tmp_path):
     path = tmp_path / "SICOR_2020.csv"
-    path.write_text("a;b;c\n1;2\n1;2;3;4\n")
+    path.write_text('a;b;c\n1;2\n1;2;3;4\n"x;""y";2;3;4;"5;6"\n')
     fmt = delimited.detect_format(delimited.read_head(spark, str(path)))
     df = delimited.read_delimited(spark, str(path), fmt)
-    assert {(r["c"], r["_ano_arquivo"]) for r in df.collect()} == {("", 2020), ("3", 2020)}
-    assert delimited.too_wide(df).count() == 1
+    assert {(r["a"], r["c"], r["_excesso"], r["_ano_arquivo"]) for r in df.collect()} == {
+        ("1", "", None, 2020), ("1", "3", "4", 2020), ('x;"y', "3", '4;"5;6"', 2020),
+    }
+    assert delimited.too_wide(df).count() == 2
+
+
+def test_late_accents_in_any_file(spark, tmp_path):
+    lines = "codigo;nome\n" + "1;Goias\n" * 3000
+    (tmp_path / "a.csv").write_bytes(lines.encode() + "2;Goiás\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes(lines.encode() + "3;Goiás – sul\n".encode())
+    fmt = delimited.detect_format(delimited.read_head(spark, str(tmp_path)))
+    rows = delimited.read_delimited(spark, str(tmp_path), fmt).where("codigo <> '1'").collect()
+    assert {(r["codigo"], r["nome"]) for r in rows} == {("2", "Goiás"), ("3", "Goiás – sul")}
+
+
+def test_strict_files_are_checked_each(spark, tmp_path):
+    import pytest
+
+    header = ";".join(delimited.OPERATIONS_HEADER)
+    row = ";".join("x" for _ in delimited.OPERATIONS_HEADER)
+    folder = tmp_path / "ok"
+    folder.mkdir()
+    (folder / "a.csv").write_text(f"{header}\n{row}\n")
+    assert delimited.read_operations(spark, str(folder)).count() == 1
+    (folder / "b.csv").write_bytes(f"{header}\n{row}\n".replace("x;x", "é;x", 1).encode("latin-1"))
+    with pytest.raises(Exception, match="UTF-8"):
+        delimited.read_operations(spark, str(folder)).collect()
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "a.csv").write_text(f"{header}\n{row}\n")
+    (other / "b.csv").write_text(f"{header.replace('CD_ESTADO', 'UF')}\n{row}\n")
+    with pytest.raises(Exception):
+        delimited.read_operations(spark, str(other)).collect()
 
 
 def test_operations_header_must_match(spark, tmp_path):
