@@ -8,7 +8,7 @@ import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space of every word rule here: space, tab, line feed, vertical tab, form feed, return.
@@ -51,6 +51,15 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def dealt(files: DataFrame, name: str) -> DataFrame:
+    """A list of files over as many tasks as a shuffle has.
+
+    The list is small, so that without a number it would be put into one task.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, name)
+
+
 def open_store(folder: str):
     """The file system of a shared folder and the folder's path in it, for tasks that write own formats."""
     from pyarrow import fs

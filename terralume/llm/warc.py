@@ -16,47 +16,38 @@ from pyspark.sql import functions as F
 
 from terralume.session import materialize, shared_folder
 
-from .common import get_file, put_file
+from .common import dealt, get_file, put_file
 
 SKIPPABLE = 0x184D2A5D  # fixed value: magic number of the frame that carries the dictionary
 ARCHIVE_BYTES = 24 << 20  # records of an archive before compression; a longer record has its own archive
 SAMPLE_BYTES = 1 << 20  # records a dictionary is built from, spread evenly over its archive
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 32 digits of 5 bits."""
-    digits = F.sha1(data)
-    # Five hexadecimal digits are four base32 digits.
-    parts = [F.conv(F.substring(digits, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)]
-    value = [F.call_function("shiftright", p, F.lit(s)).bitwiseAND(31) for p in parts for s in (15, 10, 5, 0)]
-    return F.concat(*(F.substr(F.lit(BASE32), v + 1, F.lit(1)) for v in value))
 
 
 def marked(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """``pages`` with ``payload``, ``payload_digest`` and ``refers_to``, the key of the response for revisits.
+    """``pages`` with ``payload``, ``payload_sha1`` (hexadecimal) and ``refers_to``, the key of the response for revisits.
 
     Of rows with equal payloads of at least ``least`` bytes the smallest key is the response; payloads
     are equal when SHA-1 and length are. A row that repeats that key is a response too, as are rows
     with a null key.
     """
     payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
-    rows = pages.withColumns({"payload": payload, "payload_digest": base32_sha1(payload)})
+    rows = pages.withColumns({"payload": payload, "payload_sha1": F.sha1(payload)})
     known = rows.where(F.octet_length("payload") >= least).select(
-        F.col(f"`{key}`").alias("_key"), F.col("payload_digest").alias("_digest"), F.octet_length("payload").alias("_size")
+        F.col(f"`{key}`").alias("_key"), F.col("payload_sha1").alias("_digest"), F.octet_length("payload").alias("_size")
     )
     first = known.groupBy("_digest", "_size").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = known.join(first, ["_digest", "_size"]).where("_key > _first").select("_key", F.col("_digest").alias("_of"), F.col("_first").alias("refers_to")).distinct()
-    found = rows.join(later, (rows[key] == later["_key"]) & (rows["payload_digest"] == later["_of"]), "left")
+    found = rows.join(later, (rows[key] == later["_key"]) & (rows["payload_sha1"] == later["_of"]), "left")
     return found.select(*rows.columns, "refers_to")
 
 
-def record_bytes(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. The block is an HTTP answer; a revisit has its header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
+    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -127,7 +118,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
     folder = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = marked(pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("html")), "page", "html", least)
-    rows = rows.select("page", "url", "payload", "payload_digest", "refers_to").sortWithinPartitions("page", "payload_digest")
+    rows = rows.select("page", "url", "payload", "payload_sha1", "refers_to").sortWithinPartitions("page", "payload_sha1")
 
     def work(frames: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,6 +190,6 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("folder", "file").repartition("file").mapInArrow(
+    return dealt(archives.select("folder", "file"), "file").mapInArrow(
         work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from terralume.session import materialize, shared_folder
 
-from .common import get_file, put_file
+from .common import dealt, get_file, put_file
 from .tokens import batches, encoder
 
 MAGIC = b"WVMATRX1"
@@ -175,7 +175,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(F.col("key").asc_nulls_first(), tie).sortWithinPartitions(F.col("key").asc_nulls_first(), tie)
+    ranged = rows.repartitionByRange(F.col("key").asc_nulls_first(), tie).sortWithinPartitions(F.col("key").asc_nulls_first(), tie)
 
     def work(frames: Iterator) -> Iterator:
         import pyarrow as pa
@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     LISTED = pa.schema([
         ("folder", pa.string()), ("file", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("tokens", pa.int64()), ("documents", pa.int64()),
     ])
-    return materialize(dealt.mapInArrow(work, "folder string, file string, part int, number int, tokens long, documents long"), "shards")
+    return materialize(ranged.mapInArrow(work, "folder string, file string, part int, number int, tokens long, documents long"), "shards")
 
 
 def read_shards(shards: DataFrame, kind: str = "long") -> DataFrame:
@@ -246,4 +246,4 @@ def read_shards(shards: DataFrame, kind: str = "long") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids"])
 
-    return placed.repartition("file").mapInArrow(work, f"key {kind}, start long, n_tokens long, ids binary")
+    return dealt(placed, "file").mapInArrow(work, f"key {kind}, start long, n_tokens long, ids binary")

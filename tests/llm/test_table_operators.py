@@ -43,7 +43,7 @@ def test_archives_come_back(spark):
 
 
 def test_each_record_is_a_frame_behind_the_dictionary():
-    records = [warc.record_bytes(i, f"u{i}", b"<html>body %d</html>" % i * 20, "D", None) for i in range(200)]
+    records = [warc.record_bytes(i, f"u{i}", b"<html>body %d</html>" % i * 20, "00" * 20, None) for i in range(200)]
     for part in (records, records[:1]):
         parts = list(warc.archive_bytes(part))
         assert len(parts) == len(part) + 1 and int.from_bytes(parts[0][:4], "little") == warc.SKIPPABLE
