@@ -64,9 +64,11 @@ def has_phrase(text: Column, token: Column) -> Column:
 
 
 def score_layers(layers: DataFrame, specs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Evidence of every (layer, dataset) that shares at least one field.
+    """Evidence of every (layer, dataset) that shares at least one field or signal.
 
-    A pair without a common field cannot reach any threshold and gets no row.
+    Geometry alone is below every threshold, so a pair that shares neither gets
+    no row. Signals need not be fields of the dataset; they match by the same
+    rule as fields, so cut names count.
     """
     sizes = specs.groupBy("dataset").agg(
         F.count_distinct("campo").alias("campos_total"),
@@ -79,20 +81,22 @@ def score_layers(layers: DataFrame, specs: DataFrame, profiles: DataFrame) -> Da
         .groupBy("layer", "dataset")
         .agg(F.count(F.lit(1)).alias("mapeados"), F.count("_o").alias("obrigatorios_ok"))
     )
+    signal = profiles.select("dataset", F.explode("sinais").alias("campo")).withColumn("alias", F.col("campo"))
+    signals = matched_fields(layers, signal).groupBy("layer", "dataset").agg(F.count(F.lit(1)).alias("sinais_ok"))
+    evidence = mapped.join(signals, ["layer", "dataset"], "full").na.fill(
+        0, ["mapeados", "obrigatorios_ok", "sinais_ok"]
+    )
     full = (
-        mapped.join(sizes, "dataset")
+        evidence.join(sizes, "dataset")
         .join(profiles, "dataset")
-        .join(layers.select("layer", "nome", "geometria", "assinatura", _names(F.col("campos")).alias("_f")), "layer")
-    )
-    signals = F.size(
-        F.filter(_names(F.col("sinais")), lambda s: F.exists(F.col("_f"), lambda f: f == s))
+        .join(layers.select("layer", "nome", "geometria", "assinatura"), "layer")
     )
     tokens = F.size(F.filter("tokens", lambda t: has_phrase(F.col("nome"), t)))
     scored = full.withColumns(
         {
             "geometria_ok": F.array_contains("familias", geo.family(F.col("geometria"))),
             "obrigatorio_ok": (F.col("obrigatorios") == F.col("obrigatorios_ok")),
-            "sinais_ok": signals,
+            "sinais_ok": F.col("sinais_ok").cast("int"),
             "tokens_ok": tokens,
         }
     )

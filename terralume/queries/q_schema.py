@@ -50,11 +50,16 @@ specs as (select p_type as dataset, p_name as campo, lower(replace(trim(case whe
 hits as (select distinct layer, dataset, campo, req from lf join specs on h = w or (least(length(h), length(w)) >= 8 and (starts_with(h, w) or starts_with(w, h)))),
 sizes as (select dataset, count(*) as total, count(*) filter (req) as need, lower(replace(min(campo), ' ', '_')) as s1, lower(replace(max(campo), ' ', '_')) as s2 from specs group by 1),
 mapped as (select layer, dataset, count(*) as m, count(*) filter (req) as r from hits group by 1, 2),
-scored as (select layer, dataset, geo, r = need as req_ok, m, (layer, s1) in (select layer, h from lf) as a, (layer, s2) in (select layer, h from lf) as b,
-    s1 = s2 as same, contains('_' || trim(regexp_replace(lower(nome), '[^a-z0-9]+', '_', 'g'), '_') || '_', '_' || lower(dataset) || '_') as tok, total, need
-  from mapped join sizes using (dataset) join layers using (layer)),
-scores as (select layer, dataset, geo as geometria_ok, req_ok as obrigatorio_ok, m as mapeados, a::int + b::int as sinais_ok, tok::int as tokens_ok,
-    case when geo then 3 else 0 end + case when req_ok and need > 0 then 3 else 0 end + least(m, 4) + a::int + b::int as estrutura, total from scored)
+signals as (select dataset, s1 as s from sizes union select dataset, s2 from sizes),
+shits as (select distinct layer, dataset, s from lf join signals on h = s or (least(length(h), length(s)) >= 8 and (starts_with(h, s) or starts_with(s, h)))),
+sm as (select layer, dataset, count(*) as k from shits group by 1, 2),
+evidence as (select coalesce(mapped.layer, sm.layer) as layer, coalesce(mapped.dataset, sm.dataset) as dataset, coalesce(m, 0) as m, coalesce(r, 0) as r, coalesce(k, 0) as k
+  from mapped full join sm on mapped.layer = sm.layer and mapped.dataset = sm.dataset),
+scored as (select layer, dataset, geo, r = need as req_ok, m, k,
+    contains('_' || trim(regexp_replace(lower(nome), '[^a-z0-9]+', '_', 'g'), '_') || '_', '_' || lower(dataset) || '_') as tok, total, need
+  from evidence join sizes using (dataset) join layers using (layer)),
+scores as (select layer, dataset, geo as geometria_ok, req_ok as obrigatorio_ok, m as mapeados, k::int as sinais_ok, tok::int as tokens_ok,
+    case when geo then 3 else 0 end + case when req_ok and need > 0 then 3 else 0 end + least(m, 4) + least(k, 3) as estrutura, total from scored)
 """
 
 
