@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,7 +31,7 @@ def _tokenizer(name: str) -> str:
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
-    return read_archives(write_archives(_table(spark, sf_dir, "pages")))
+    return read_archives(write_archives(_table(spark, sf_dir, "pages"))).drop("url")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +123,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules, op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts, pipeline)
+    for f in (
+        op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules,
+        op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts, pipeline,
+    )
+}
+# The others have no SQL: their samples, tokens, trained spans and packings are tested against brute force.
+SQL: dict[str, str] = {
+    "op1_minhash_components": sql.OP1,
+    "op2_warc_archives": sql.OP2,
+    "op3_chat_format": sql.OP3,
+    "op4_embedding_links": sql.OP4,
+    "op6_quality_rules": sql.OP6,
 }
-SQL: dict[str, str] = {}
