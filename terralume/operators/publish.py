@@ -46,9 +46,13 @@ def replace_partition(old: DataFrame, new: DataFrame, values: Mapping[str, objec
 
 
 def write_partitions(df: DataFrame, path: str, partition: Sequence[str]) -> None:
-    """Overwrite only the partitions present in `df`, one shuffle per partition value."""
+    """Overwrite only the partitions present in `df`.
+
+    Rows of a partition are brought together, and one that is too large for a
+    task is split over several, each with its own file.
+    """
     (
-        df.repartition(*partition)
+        df.hint("rebalance", *partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition)

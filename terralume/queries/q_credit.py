@@ -146,10 +146,10 @@ def single_source_area(spark: SparkSession, sf: str) -> DataFrame:
       select l_orderkey as k, l_linenumber as i, count(*) over (partition by l_orderkey) as n, l_quantity as alt from lineitem),
     s as (select k, count(*) as qtd_pontos, count(distinct i) as qtd_indices, min(i) as indice_min, max(i) as indice_max,
         min(alt) as altitude_min, max(alt) as altitude_max from pts group by 1)
-    select *, not (qtd_pontos between 4 and 100 and qtd_indices = qtd_pontos and indice_max - indice_min + 1 = qtd_pontos) as estrutura_pendente,
-      case when qtd_pontos between 4 and 100 and qtd_indices = qtd_pontos and indice_max - indice_min + 1 = qtd_pontos then
+    select *, not (qtd_pontos between 5 and 100 and qtd_indices = qtd_pontos and indice_max - indice_min + 1 = qtd_pontos) as estrutura_pendente,
+      case when qtd_pontos between 5 and 100 and qtd_indices = qtd_pontos and indice_max - indice_min + 1 = qtd_pontos then
         round({box_m2("-50.0::double", "-10.0::double", "-49.5::double", "-9.5::double")} / 10000, 2) end as area_ha
-    from s where qtd_pontos <> 4""",
+    from s""",
 )
 def assemble_plots(spark: SparkSession, sf: str) -> DataFrame:
     """Sound plots of five to seven corners close into one square; four corners stay open."""
@@ -166,15 +166,10 @@ def assemble_plots(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("k"), i.alias("indice"), lon.alias("lon"), lat.alias("lat"),
         F.col("l_quantity").alias("altitude"), "_n",
     )
-    plots = credit.assemble_plots(pts, ["k"]).where("qtd_pontos <> 4")
-    sound = (
-        F.col("qtd_pontos").between(4, 100)
-        & (F.col("qtd_indices") == F.col("qtd_pontos"))
-        & (F.col("indice_max") - F.col("indice_min") + 1 == F.col("qtd_pontos"))
-    )
+    plots = credit.assemble_plots(pts, ["k"])
     return plots.select(
         "k", "qtd_pontos", "qtd_indices", "indice_min", "indice_max", "altitude_min", "altitude_max",
-        (~sound).alias("estrutura_pendente"),
+        "estrutura_pendente",
         F.round("area_ha_calculada", 2).alias("area_ha"),
     )
 
