@@ -47,11 +47,17 @@ def subscription_states(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T1 T3 T4")
 def subscription_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same states from a stream drained with availableNow."""
-    schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    states = live.subscription_stream(_events(raw))
+    """The same states from streams drained with availableNow: unique events first, then the fold.
+
+    Every event comes twice; ids are remembered across micro-batches by the first stream.
+    """
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    twice = raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     folder = f"{shared_folder(spark)}/sub-{uuid.uuid4().hex}"
+    once = live.unique_stream(twice.drop("copy"), "60 days")
+    live.drain(once, f"{folder}/unique", f"{folder}/cp-unique")
+    unique = spark.readStream.schema(once.schema).parquet(f"{folder}/unique")
+    states = live.subscription_stream(_events(unique))
     live.write_updates(states, f"{folder}/out", f"{folder}/cp")
     return live.latest_updates(spark, f"{folder}/out", "perfil")
 
