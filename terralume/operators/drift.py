@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as tx
+from ..functions import geometry as geo, text as tx
 
 # Weight of name and position, least similarity, change labels in report order.
 NAME_WEIGHT = 0.75
@@ -113,6 +113,75 @@ def _similar_pairs(gone: DataFrame, come: DataFrame) -> DataFrame:
     return ranked.where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def _one_per_change(df: DataFrame, changes: list[tuple[str, str, Column, str, str]]) -> DataFrame:
+    """Rows of layer, kind, old and new value and severity for every condition that holds."""
+    rows = [
+        F.when(
+            F.coalesce(holds, F.lit(False)),
+            F.struct(
+                F.lit(kind).alias("tipo"), F.col(a).cast("string").alias("de"), F.col(b).cast("string").alias("para"),
+                F.lit(level).alias("severidade"),
+            ),
+        )
+        for kind, level, holds, a, b in changes
+    ]
+    return df.select("layer", F.inline(F.array_compact(F.array(*rows))))
+
+
+def layer_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes of a layer as a whole: its name, its file, its geometry type, its reference system.
+
+    Both tables have layer, nome_camada, arquivo, geometria, epsg and crs.
+    Values unknown on either side don't count as changed. A geometry type of
+    another family is critical. Codes decide about the reference system; its
+    text does where the old version has no code.
+    """
+    names = ("nome_camada", "arquivo", "geometria", "epsg", "crs")
+    side = lambda df, mark: df.select("layer", *[F.col(n).alias(f"{mark}_{n}") for n in names])
+    both = side(old, "a").join(side(new, "b"), "layer")
+    known = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("")) != ""
+    other = lambda n: known(f"a_{n}") & ~F.col(f"a_{n}").eqNullSafe(F.col(f"b_{n}"))
+    a, b = F.col("a_geometria"), F.col("b_geometria")
+    shape = known("a_geometria") & known("b_geometria") & (tx.normal_name(a) != tx.normal_name(b))
+    alike = geo.family(a) == geo.family(b)
+    code = other("epsg") & known("b_epsg")
+    text = ~known("a_epsg") & other("crs") & known("b_crs")
+    return _one_per_change(
+        both,
+        [
+            ("LAYER_RENAMED", "WARNING", other("nome_camada"), "a_nome_camada", "b_nome_camada"),
+            ("DATASET_FILE_RENAMED", "INFO", other("arquivo"), "a_arquivo", "b_arquivo"),
+            ("GEOMETRY_TYPE_CHANGED", "WARNING", shape & alike, "a_geometria", "b_geometria"),
+            ("GEOMETRY_TYPE_CHANGED", "CRITICAL", shape & ~alike, "a_geometria", "b_geometria"),
+            ("CRS_CHANGED", "WARNING", code, "a_epsg", "b_epsg"),
+            ("CRS_CHANGED", "WARNING", text, "a_crs", "b_crs"),
+        ],
+    )
+
+
+def dictionary_notes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes of a dictionary's reference systems and character sets, and its conflict with the layer.
+
+    Both tables have layer, srids, charsets (arrays) and epsg, the code of the
+    layer itself; that code has priority where the dictionary names others.
+    """
+    side = lambda df, mark: df.select(
+        "layer", F.col("epsg").alias(f"{mark}_epsg"),
+        *[F.coalesce(n, F.array()).cast("array<string>").alias(f"{mark}_{n}") for n in ("srids", "charsets")],
+    )
+    both = side(new, "b").join(side(old, "a").withColumn("_old", F.lit(True)), "layer", "left")
+    before = F.col("_old").isNotNull()
+    conflict = (F.size("b_srids") > 0) & ~F.array_contains("b_srids", F.col("b_epsg").cast("string"))
+    return _one_per_change(
+        both,
+        [
+            ("DICTIONARY_SRID_CHANGED", "INFO", before & (F.col("a_srids") != F.col("b_srids")), "a_srids", "b_srids"),
+            ("DICTIONARY_CHARSET_CHANGED", "INFO", before & (F.col("a_charsets") != F.col("b_charsets")), "a_charsets", "b_charsets"),
+            ("DICTIONARY_CRS_DIVERGENCE", "WARNING", conflict, "b_epsg", "b_srids"),
+        ],
+    )
+
+
 def drift_summary(changes: DataFrame) -> DataFrame:
     """Per layer: highest severity and the count per kind of change as text."""
     level = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severidade"))

@@ -205,6 +205,72 @@ def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
     return drift.drift_summary(drift.field_changes(*_field_versions(spark, sf)))
 
 
+_LAYERS = """l as (select s_suppkey as layer, 'camada_' || s_nationkey as a_nome, case when s_suppkey % 3 = 0 then 'camada_' || s_name else 'camada_' || s_nationkey end as b_nome,
+  'arq_' || s_nationkey as a_arquivo, case when s_acctbal < 0 then null else 'arq_' || s_nationkey end as b_arquivo,
+  case s_suppkey % 4 when 0 then 'Polygon' when 1 then 'MultiPolygon' when 2 then 'Point' else '' end as a_geo,
+  case s_suppkey % 5 when 0 then 'Polygon' when 1 then 'MULTIPOLYGON' when 2 then 'LineString' when 3 then 'Polygon' end as b_geo,
+  case when s_suppkey % 6 > 0 then 4674 end as a_epsg, case when s_suppkey % 7 > 1 then 4674 when s_suppkey % 7 = 1 then 4326 end as b_epsg,
+  'SIRGAS' as a_crs, case when s_acctbal > 5000 then 'WGS' else 'SIRGAS' end as b_crs from supplier)"""
+
+
+def _layer_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, sf, "supplier")
+    k, nation = F.col("s_suppkey"), F.concat(F.lit("camada_"), F.col("s_nationkey").cast("string"))
+    file = F.concat(F.lit("arq_"), F.col("s_nationkey").cast("string"))
+    kind = lambda n, names: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    old = s.select(
+        k.alias("layer"), nation.alias("nome_camada"), file.alias("arquivo"),
+        kind(4, ["Polygon", "MultiPolygon", "Point", ""]).alias("geometria"),
+        F.when(k % 6 > 0, 4674).alias("epsg"), F.lit("SIRGAS").alias("crs"),
+    )
+    new = s.select(
+        k.alias("layer"),
+        F.when(k % 3 == 0, F.concat(F.lit("camada_"), "s_name")).otherwise(nation).alias("nome_camada"),
+        F.when(F.col("s_acctbal") >= 0, file).alias("arquivo"),
+        kind(5, ["Polygon", "MULTIPOLYGON", "LineString", "Polygon", None]).alias("geometria"),
+        F.when(k % 7 > 1, 4674).when(k % 7 == 1, 4326).alias("epsg"),
+        F.when(F.col("s_acctbal") > 5000, "WGS").otherwise("SIRGAS").alias("crs"),
+    )
+    return old, new
+
+
+_FAMILY = "case when contains(lower({0}), 'polygon') then 'polygon' else lower({0}) end"
+
+
+@query(
+    "D8",
+    sql=f"""with {_LAYERS}
+    select layer, 'LAYER_RENAMED' as tipo, a_nome as de, b_nome as para, 'WARNING' as severidade from l where a_nome <> b_nome
+    union all select layer, 'DATASET_FILE_RENAMED', a_arquivo, b_arquivo, 'INFO' from l where a_arquivo is distinct from b_arquivo
+    union all select layer, 'GEOMETRY_TYPE_CHANGED', a_geo, b_geo, case when {_FAMILY.format("a_geo")} = {_FAMILY.format("b_geo")} then 'WARNING' else 'CRITICAL' end
+      from l where a_geo <> '' and b_geo is not null and lower(a_geo) <> lower(b_geo)
+    union all select layer, 'CRS_CHANGED', a_epsg::varchar, b_epsg::varchar, 'WARNING' from l where a_epsg <> b_epsg
+    union all select layer, 'CRS_CHANGED', a_crs, b_crs, 'WARNING' from l where a_epsg is null and a_crs <> b_crs""",
+)
+def layer_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Name, file, geometry type and reference system of a layer between two versions."""
+    return drift.layer_changes(*_layer_versions(spark, sf))
+
+
+@query(
+    "J22 D9 J21",
+    sql="""with d as (select p_partkey as layer, case p_partkey % 3 when 0 then [4674] when 1 then [4326, 4674] else [] end as a, case p_partkey % 4 when 0 then [4674] when 1 then [4326, 4674] else [] end as b,
+        ['UTF-8'] as ca, case when p_size > 25 then ['latin1'] else ['UTF-8'] end as cb, case when p_size > 10 then 4674 else 31982 end as epsg from part)
+      select layer, 'DICTIONARY_SRID_CHANGED' as tipo, a::varchar as de, b::varchar as para, 'INFO' as severidade from d where a <> b
+      union all select layer, 'DICTIONARY_CHARSET_CHANGED', ca::varchar, cb::varchar, 'INFO' from d where ca <> cb
+      union all select layer, 'DICTIONARY_CRS_DIVERGENCE', epsg::varchar, b::varchar, 'WARNING' from d where len(b) > 0 and not list_contains(b, epsg)""",
+)
+def dictionary_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Reference systems and character sets of a dictionary, and its conflict with the layer."""
+    p = table(spark, sf, "part")
+    k, epsg = F.col("p_partkey"), F.when(F.col("p_size") > 10, 4674).otherwise(31982).alias("epsg")
+    none = F.array().cast("array<int>")
+    srids = lambda n: F.when(k % n == 0, F.array(F.lit(4674))).when(k % n == 1, F.array(F.lit(4326), F.lit(4674))).otherwise(none)
+    old = p.select(k.alias("layer"), srids(3).alias("srids"), F.array(F.lit("UTF-8")).alias("charsets"), epsg)
+    changed = F.when(F.col("p_size") > 25, F.array(F.lit("latin1"))).otherwise(F.array(F.lit("UTF-8")))
+    return drift.dictionary_notes(old, p.select(k.alias("layer"), srids(4).alias("srids"), changed.alias("charsets"), epsg))
+
+
 @query(
     "D9 J21",
     sql=f"""with {_VERSIONS}
