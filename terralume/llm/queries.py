@@ -94,9 +94,10 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
         )
     )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         written(in_order).alias("spans"),
     )

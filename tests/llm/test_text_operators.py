@@ -221,3 +221,14 @@ def test_token_counts_of_odd_rows(spark):
     rows = sorted(map(tuple, token_counts(table, public_tokenizers.path("word_bpe_49k.json")).collect()), key=str)
     assert rows[:2] == [(2**60 + 1, 3, 2, False), (3, 0, 0, False)] or len(rows) == 4
     assert (None, 0, 0, False) in rows and any(r[0] == 2**60 + 1 for r in rows)
+
+
+def test_queries_of_whole_tables(spark, tmp_path):
+    from terralume.llm.queries import QUERIES
+
+    rows = [(1, "a@b.example.com 10.0.0.1 4111111111111111 +1 (171) 555-2028"), (2, None), (3, "x +1 (826) 555-4081 190.137.223.204")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_pii_spans"](spark, str(tmp_path)).collect()}
+    assert [tuple(got[k])[1:5] for k in (1, 2, 3)] == [(1, 1, 1, 1), (0, 0, 0, 0), (0, 1, 0, 0)]
+    assert got[1].spans == "email:0:17,ip:18:26,card:27:43,phone:44:61" and got[2].spans == ""
+    assert got[3].spans == "ip:20:35,phone:2:19"
