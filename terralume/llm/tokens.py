@@ -28,6 +28,7 @@ class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,6 +44,10 @@ class Encoder:
         )
         self.by_pieces = by_pieces
         self.added = [t["content"] for t in settings.get("added_tokens", [])]
+        # Byte-level vocabularies write each byte as one character.
+        self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.id_bytes[number] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -77,8 +82,8 @@ class Encoder:
                     words[stem] = None
             if stem is not p:
                 marked.append((p, stem))
-        self._learn_joined(list(words), lambda found: found.word_ids, 1)
-        self._learn_joined(others, lambda found: [b for b, _ in found.offsets], 0)
+        self._learn_joined(list(words))
+        self._learn_joined(others)
         marks = {}
         for p, stem in marked:
             tail = p[len(stem) :]
@@ -87,18 +92,19 @@ class Encoder:
             known[p] = known[stem] + marks[tail]
         return long
 
-    def _learn_joined(self, new: list[str], places, each: int) -> None:
-        """Encode many pieces in one call; ``places`` tells each id's word (``each`` is 1) or character."""
+    def _learn_joined(self, new: list[str]) -> None:
+        """Encode many pieces in one call; the bytes that the ids stand for tell where a piece ends."""
         import numpy as np
 
         for k in range(0, len(new), JOINED_PIECES):
             part = new[k : k + JOINED_PIECES]
             joined = [p if p[0] == "\n" else " " + p for p in part]
-            found = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-            begins = np.arange(len(part) + 1) if each else np.cumsum([0, *map(len, joined)])
-            at = np.searchsorted(np.array(places(found), np.int64), begins).tolist()
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            self.known.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(part, at, at[1:], strict=False))
+            found = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.cumsum(self.id_bytes[ids])
+            at = [0, *(np.searchsorted(ends, np.cumsum([len(p.encode()) for p in joined])) + 1).tolist()]
+            data = ids.tobytes()
+            self.known.update((p, data[4 * a : 4 * b]) for p, a, b in zip(part, at, at[1:], strict=False))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, 4 bytes each; a null text has none."""
