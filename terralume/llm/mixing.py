@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralume.session import materialize
+
 from .common import free_name, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -68,7 +70,8 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     })
 
     cells = rows.groupBy(F.col(f"{p}source").alias("source"), F.col(f"{p}class").alias("class"), F.col(f"{p}bucket").alias("bucket"))
-    cells = cells.agg(F.count("*").alias("n"), F.sum(f"{p}size").alias("size"))
+    # Written once: at most BUCKETS rows for each size class of a source, read by every sum below.
+    cells = materialize(cells.agg(F.count("*").alias("n"), F.sum(f"{p}size").alias("size")), "cells")
     goal = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     # Two prefix sums: buckets within a class, classes within a source.
     earlier = Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
