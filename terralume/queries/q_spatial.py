@@ -367,17 +367,17 @@ def invalid_geometry_samples(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "G11",
     sql=f"""with {roles.UNITS_SQL}, u as (
-      select uc_id, (x1 - x0) as w, (y1 - y0) as h from units where categoria_manejo in ('ECONOMY', 'STANDARD')),
+      select uc_id, (x1 - x0) as w, (y1 - y0) as h from units),
     c as (select uc_id, w, h, categoria_manejo from units join u using (uc_id))
     select uc_id,
-      case categoria_manejo when 'ECONOMY' then w * h * 3 / 8 else w * h / 2 end as inter,
+      case categoria_manejo when 'ECONOMY' then w * h * 3 / 8 when 'STANDARD' then w * h / 2 else w * h / 4 end as inter,
       case categoria_manejo when 'ECONOMY' then w * h / 8 else w * h / 4 end as diff,
       case categoria_manejo when 'ECONOMY' then w * h * 5 / 8 else w * h * 3 / 4 end as uni
     from c""",
 )
 def overlay_areas(spark: SparkSession, sf: str) -> DataFrame:
-    """Triangles and L-shapes against the left half of their box."""
-    s = _shaped(spark, sf).where(F.col("categoria_manejo").isin("ECONOMY", "STANDARD"))
+    """Triangles, L-shapes and repaired bow-ties against the left half of their box."""
+    s = _shaped(spark, sf).withColumn("geometry", overlay.made_valid(F.col("geometry")))
     b = F.col("b")
     half = geo.box_geometry(b["xmin"], b["ymin"], (b["xmin"] + b["xmax"]) / 2, b["ymax"])
     s = s.withColumn("b", geo.bbox(F.col("geometry"))).withColumn("half", half)

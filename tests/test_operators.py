@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from terralume.operators import alerts, conform, credit, drift, identity, publish, quality, status
+from terralume.operators import alerts, conform, confront, credit, drift, identity, publish, quality, status
 from terralume.specs import Dataset, parse_fields
 
 
@@ -189,3 +189,32 @@ def test_batch_status_rules(spark):
     done = status.batch_status(F.lit("IMPORTACAO"), F.lit(False), F.lit(False), F.lit(0))
     got = {r["lote_id"]: (r["s"], r["p"]) for r in status.batch_counts(items).select("lote_id", done.alias("s"), status.batch_progress().alias("p")).collect()}
     assert got == {1: ("CONCLUIDO_COM_PENDENCIAS", 70), 2: ("PROCESSANDO", 10), 3: ("CONCLUIDO", 100)}
+
+
+def test_bow_tie_meets_a_covering_box(spark):
+    from terralume.functions import geometry as geo
+
+    p = geo.point
+    lit = lambda x, y: p(F.lit(float(x)), F.lit(float(y)))
+    bow = F.array(lit(-50, -10), lit(-49, -9), lit(-49, -10), lit(-50, -9), lit(-50, -10))
+    box = geo.box_geometry(*map(F.lit, (-51.0, -11.0, -48.0, -8.0)))
+    one = spark.range(1)
+    properties = one.select(F.lit("A").alias("cod_imovel"), geo.geometry(F.array(F.array(bow))).alias("geometry"))
+    layer = spark.range(3).select(F.col("id").alias("fid"), box.alias("geometry"))
+    result = confront.external_layer(confront.Indexed.of(properties), layer, "fid", limit=2)
+    records = result.records.collect()
+    assert [round(r["percentual_car"], 6) for r in records] == [100.0, 100.0]
+    assert 600_000 < records[0]["area_sobreposta_ha"] < 620_000
+    counts = result.counts.first()
+    assert (counts["quantidade"], counts["truncada"]) == (3, True)
+
+
+def test_cells_of_levels_that_exist(spark):
+    from terralume.operators import spatial
+
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 1e-5), ("ymax", 1e-5))])
+    tiny = spark.range(1).select(F.col("id").alias("k"), box.alias("box"))
+    assert spatial._levels(tiny, "box") == [0]
+    assert spatial._cells(tiny, "k", "box", 1, [0]).count() == 1
+    assert spatial._cells(tiny, "k", "box", 1, [3]).count() == 1
+    assert spatial._cells(tiny, "k", "box", 2, []).count() == 0
