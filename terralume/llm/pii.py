@@ -2,7 +2,7 @@
 
 The conditional random field reads word shapes: a word's own shape, its digits and marks, and the
 coarse class of its neighbours. It is trained from a small labelled table when a job is planned and
-decoded by Viterbi over batches of lines in numpy. Base spans always stay; a span of the field is
+decoded by Viterbi over whole lines, in batches in numpy. Base spans always stay; a span of the field is
 added where it touches none of them and is plausible for its kind.
 """
 
@@ -20,7 +20,7 @@ from .tokens import batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-LINE_WORDS = 128  # a longer line is decoded in parts of this many words
+GROUP_WORDS = 1 << 20  # runs of like length are decoded together up to this many words
 
 # Labelled lines for training: {kind:value}. They show formats, not people.
 EXAMPLES = (
@@ -265,39 +265,66 @@ class Tagger:
         for p, step, room in (("p", -1, place), ("q", -2, place), ("f", 1, left), ("g", 2, left)):
             near = np.where(room >= abs(step), np.roll(which, -step), 0)
             score += context[p][near]
-        out = [None] * len(lines)
-        order = np.argsort(sizes, kind="stable")
-        for low in range(0, len(order), 512):
-            part = order[low : low + 512]
-            part = part[sizes[part] > 0]
-            if len(part):
-                for r, tags in zip(part, self._viterbi(score, begins[part], sizes[part]), strict=True):
-                    out[r] = tags
-        return out
+        tags = np.zeros(len(flat), np.int8)
+        # Words that are surely outside part a line into runs, which don't depend on each other.
+        unsure = ~self._outside(score)
+        begins_run = np.flatnonzero(unsure & ((place == 0) | ~np.roll(unsure, 1)))
+        ends_run = np.flatnonzero(unsure & ((left == 0) | ~np.roll(unsure, -1))) + 1
+        order = np.argsort(ends_run - begins_run, kind="stable")
+        begins_run, ends_run = begins_run[order], ends_run[order]
+        long = ends_run - begins_run
+        low = 0
+        while low < len(long):
+            fits = np.flatnonzero(long[low : low + GROUP_WORDS] * np.arange(1, len(long[low : low + GROUP_WORDS]) + 1) <= GROUP_WORDS)
+            high = low + max(1, len(fits))
+            part = begins_run[low:high]
+            first = np.where((place[part] == 0)[:, None], self.starts, self.steps[0])
+            last = np.where((left[ends_run[low:high] - 1] == 0)[:, None], 0.0, self.steps_t[0])
+            self._viterbi(score, part, long[low:high], first, last, tags)
+            low = high
+        return [tags[b:e] if e > b else None for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+    def _outside(self, score):
+        """Words that are O on every best path: each span over them scores less than O in its place.
+
+        The bound of a span is its best start up to the word and its best end behind it, both as running
+        maxima over sums; it may take the dearest neighbours and cross the ends of lines.
+        """
+        import numpy as np
 
-    def _viterbi(self, score, begins, sizes) -> list:
+        steps, free = self.steps, [i for i, x in enumerate(LABELS) if x[0] != "I"]
+        sure = np.ones(len(score), bool)
+        for b in range(1, len(LABELS), 2):  # B- of a kind, its I- is the next label
+            before = max(0.0, (steps[:, b] - steps[:, 0]).max())
+            behind = max(0.0, (steps[b : b + 2, free] - steps[0, free]).max())
+            start = score[:, b] - score[:, 0] + before
+            total = np.cumsum(score[:, b + 1] - score[:, 0] + (steps[b : b + 2, b + 1].max() - steps[0, 0]))
+            left = total + np.maximum.accumulate(start - total)
+            right = np.maximum.accumulate(total[::-1])[::-1] - total
+            sure &= left + right + behind < -1e-4
+        return sure
+
+    def _viterbi(self, score, begins, sizes, first, last, tags) -> None:
+        """Write the labels of runs, shortest first, into ``tags``; ``first`` and ``last`` score their ends."""
         import numpy as np
 
-        n, longest = len(LABELS), int(sizes.max())
-        best = score[begins] + self.starts
+        n, longest = len(LABELS), int(sizes[-1])
+        best = score[begins] + first
         back = np.empty((longest, len(begins), n), np.int8)
-        stays = np.broadcast_to(np.arange(n, dtype=np.int8), best.shape)
+        live = np.searchsorted(sizes, np.arange(longest), side="right")
         for t in range(1, longest):
-            live = t < sizes
-            routes = best[:, None, :] + self.steps_t[None]
-            came = routes.argmax(2).astype(np.int8)
-            moved = np.take_along_axis(routes, came[:, :, None].astype(np.int64), 2)[:, :, 0]
-            moved += score[np.minimum(begins + t, len(score) - 1)]
-            best = np.where(live[:, None], moved, best)
-            back[t] = np.where(live[:, None], came, stays)
-        tags = np.empty((len(begins), longest), np.int8)
-        now = best.argmax(1)
+            k = live[t]
+            routes = best[k:, None, :] + self.steps_t[None]
+            came = routes.argmax(2)
+            back[t, k:] = came
+            best[k:] = np.take_along_axis(routes, came[:, :, None], 2)[:, :, 0] + score[begins[k:] + t]
+        now = (best + last).argmax(1)
         rows = np.arange(len(begins))
         for t in range(longest - 1, -1, -1):
-            tags[:, t] = now
+            k = live[t]
+            tags[begins[k:] + t] = now[k:]
             if t:
-                now = back[t][rows, now]
-        return [tags[r, :s] for r, s in enumerate(sizes)]
+                now[k:] = back[t, rows[k:], now[k:]]
 
 
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -371,10 +398,8 @@ class Finder:
         lines, at = [], []
         for k, text in enumerate(texts):
             for line in (text or "").split("\n"):
-                words = _WORD.findall(line)
-                for low in range(0, max(1, len(words)), LINE_WORDS):
-                    lines.append(words[low : low + LINE_WORDS])
-                    at.append(k)
+                lines.append(_WORD.findall(line))
+                at.append(k)
         labels = self.tagger.labels(lines) if any(lines) else [None] * len(lines)
         marked: dict[int, list[int]] = {}
         for k, words, tags in zip(at, lines, labels, strict=True):

@@ -197,6 +197,41 @@ def test_held_out_lines():
     assert sum(right) >= 3 and not labels[-1].any()
 
 
+def test_a_value_is_found_wherever_it_stands_in_a_line():
+    finder = pii.Finder(pii.trained())
+    for value in ("(212) 555-0147", "bob at example dot com"):
+        for n in range(118, 137):
+            text = " ".join(["the"] * n + ["reach", value, "for"] + ["the"] * 150)
+            (_, added), = finder.batch([text])
+            assert [text[a:b] for _, a, b in added] == [value]
+
+
+def plain_labels(tagger, words):
+    """Viterbi word by word over a whole line."""
+    scores = [tagger._sum(found) for found in pii.all_features(words)]
+    best, back = scores[0] + tagger.starts, []
+    for score in scores[1:]:
+        routes = best[:, None] + tagger.steps
+        back.append(routes.argmax(0))
+        best = routes.max(0) + score
+    tags = [int(best.argmax())]
+    for came in reversed(back):
+        tags.append(int(came[tags[-1]]))
+    return tags[::-1]
+
+
+@pytest.mark.parametrize("group", [1, 500, pii.GROUP_WORDS])
+def test_lines_are_decoded_whole(monkeypatch, group):
+    monkeypatch.setattr(pii, "GROUP_WORDS", group)
+    rng = random.Random(4)
+    tagger = pii.Tagger(pii.trained())
+    labelled = [w for words, _ in pii.labelled_lines() for w in words]
+    parts = ["(212)", "555-0147", "+1", "12", "(at)", "bob", "at", "dot", "com", "1.2.3.4", "4929348385146306", "the"]
+    lines = [[]] + [[rng.choice(pool) for _ in range(rng.choice((1, 2, 5, 40, 300)))] for pool in (labelled, parts) for _ in range(60)]
+    for words, tags in zip(lines, tagger.labels(lines), strict=True):
+        assert (tags is None) if not words else tags.tolist() == plain_labels(tagger, words)
+
+
 TEXTS = ["", "a", " a  b\n\nc \n", "it's we'LL", "don't <|endoftext|> stop<|startoftext|>", "Σας ΣΣ İ ẞ", "x" * 3000, "1234 ½ é́ \U0001f600\x1c\x85a", "\ttab nbsp"]
 
 
