@@ -331,10 +331,19 @@ def family(name: Column) -> Column:
 
 # ---- text encodings -------------------------------------------------------
 
-def from_wkt(text: Column, srid: int = 4326) -> Column:
-    """POLYGON / MULTIPOLYGON text, Z and M dropped; NULL when it is neither."""
+_NUMBERS = r"[-+0-9.E\s,]"
+_Z = r"\s*+(?:ZM|Z|M)?+\s*+"
+_POLYGON = rf"\((?:\s*+\({_NUMBERS}*+\)\s*+,?+)++\s*+\)"
+_AREAS = rf"(?<![A-Z])(?:POLYGON{_Z}{_POLYGON}|MULTIPOLYGON{_Z}\((?:\s*+{_POLYGON}\s*+,?+)++\s*+\))"
+_OTHERS = (
+    rf"(?<![A-Z])(?:(?:(?:MULTI)?+(?:POINT|LINESTRING)|LINEARRING){_Z}\((?:{_NUMBERS}++|\({_NUMBERS}*+\))*+\)"
+    rf"|(?:(?:MULTI)?+(?:POINT|LINESTRING|POLYGON)|LINEARRING|GEOMETRYCOLLECTION){_Z}EMPTY)"
+)
+
+
+def _wkt_parts(trimmed: Column) -> Column:
+    """Parts of POLYGON / MULTIPOLYGON text in upper case; NULL when it is neither."""
     number = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
-    trimmed = F.regexp_replace(F.upper(F.trim(text)), r"^SRID=[0-9]+;", "")
     kind = F.regexp_extract(trimmed, r"^(MULTIPOLYGON|POLYGON)\s*(?:ZM|Z|M)?\s*\(", 1)
     body = F.regexp_replace(trimmed, r"^(MULTIPOLYGON|POLYGON)\s*(?:ZM|Z|M)?\s*", "")
     shaped = body.rlike(r"^[-+0-9.E\s,()]+$")
@@ -351,7 +360,24 @@ def from_wkt(text: Column, srid: int = 4326) -> Column:
         F.flatten(F.flatten(parts)), lambda p: p["x"].isNotNull() & p["y"].isNotNull()
     )
     ok = shaped & (kind != "") & parts.isNotNull() & F.coalesce(sound, F.lit(False))
-    return F.when(ok, geometry(parts, srid=srid))
+    return F.when(ok, parts)
+
+
+def wkt_members(text: Column) -> Column:
+    """Parts of each polygonal member: one for POLYGON / MULTIPOLYGON text, and those of a GEOMETRYCOLLECTION at
+    any depth; NULL when there is none or one is broken."""
+    trimmed = F.regexp_replace(F.upper(F.trim(text)), r"^SRID=[0-9]+;", "")
+    frame = F.regexp_replace(F.regexp_replace(trimmed, _AREAS, "@"), _OTHERS, "@")
+    closed = F.regexp_count(frame, F.lit(r"\(")) == F.regexp_count(frame, F.lit(r"\)"))
+    shaped = frame.rlike(rf"^(?:GEOMETRYCOLLECTION{_Z}\(|[@,)\s])++$") & closed
+    found = F.transform(F.regexp_extract_all(trimmed, F.lit(_AREAS), F.lit(0)), _wkt_parts)
+    members = F.when(trimmed.startswith("GEOMETRYCOLLECTION"), F.when(shaped, found)).otherwise(F.array(_wkt_parts(trimmed)))
+    return bound(members, lambda ms: F.when((F.size(ms) > 0) & F.forall(ms, lambda m: m.isNotNull()), ms))
+
+
+def from_wkt(text: Column, srid: int = 4326) -> Column:
+    """POLYGON / MULTIPOLYGON text, or the polygons of a GEOMETRYCOLLECTION, Z and M dropped; NULL when it is neither."""
+    return bound(wkt_members(text), lambda ms: F.when(ms.isNotNull(), geometry(F.flatten(ms), srid=srid)))
 
 
 def from_geojson(text: Column, srid: int = 4326) -> Column:

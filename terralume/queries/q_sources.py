@@ -111,7 +111,13 @@ def read_wkt_answers(spark: SparkSession, sf: str) -> DataFrame:
     u = roles.units_layer(spark, sf)
     wkt = geo.to_wkt(F.col("geometry"))
     state = F.col("uc_id") % 10
-    text = F.when(state == 0, F.lit("POLYGON ((broken))")).when(state == 1, F.lit("")).otherwise(wkt)
+    # Collections with the unit among other members, once nested and once with a copy.
+    mixed = F.concat(F.lit("GEOMETRYCOLLECTION (POINT (0 0), "), wkt, F.lit(", LINESTRING (0 0, 1 1))"))
+    twice = F.concat(F.lit("GEOMETRYCOLLECTION ("), wkt, F.lit(", GEOMETRYCOLLECTION (POLYGON EMPTY, "), wkt, F.lit("))"))
+    text = (
+        F.when(state == 0, F.lit("POLYGON ((broken))")).when(state == 1, F.lit(""))
+        .when(state == 2, mixed).when(state == 3, twice).otherwise(wkt)
+    )
     answer = F.to_json(F.struct(F.struct(text.alias("wkt")).alias("outro"), F.lit("x").alias("nome")))
     found = u.select("uc_id", shapes_text.wkt_in_json(answer).alias("wkt"))
     read = shapes_text.read_wkt(found, "wkt")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralume.functions import geometry as geo, overlay
 from terralume.operators import credit, spatial
 from terralume.operators.confront import Indexed, external_layer, other_properties
+from terralume.sources import shapes_text
 
 
 def wkt(points):
@@ -128,6 +129,33 @@ def test_wkt_parsing(spark):
     assert all(n in (None, -1) for n in sizes[2:])
 
 
+def test_wkt_collections_keep_their_polygons(spark):
+    a, b = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))", "MULTIPOLYGON (((5 0, 6 0, 6 1, 5 1, 5 0)), ((7 0, 8 0, 8 1, 7 1, 7 0)))"
+    bow_tie = "POLYGON ((10 0, 12 2, 12 0, 10 2, 10 0))"
+    many = ", ".join(f"POLYGON (({i} 0, {i + 1} 0, {i + 1} 1, {i} 1, {i} 0))" for i in range(0, 100, 2))
+    wide = "POLYGON ((" + ", ".join(["0 0", *[f"{i / 1000} 1" for i in range(20_000)], "20 0", "0 0"]) + "))"
+    texts = {
+        f"GEOMETRYCOLLECTION ({a})": 15,
+        f"GeometryCollection(Point(1 1),{a}, LINESTRING Z (0 0 1, 1 1 1), {b},MULTIPOINT ((1 1), (2 2)))": 17,
+        f"SRID=4674;GEOMETRYCOLLECTION Z (GEOMETRYCOLLECTION (POLYGON EMPTY, {b}), GEOMETRYCOLLECTION EMPTY, {a})": 17,
+        f"GEOMETRYCOLLECTION ({a}, POLYGON ((3 0, 5 0, 5 4, 3 4, 3 0)), {a})": 19,
+        f"GEOMETRYCOLLECTION ({a}, {bow_tie})": 17,
+        f"GEOMETRYCOLLECTION ({many})": 50,
+        f"GEOMETRYCOLLECTION (POINT (1 1), {wide})": None,
+        f"GEOMETRYCOLLECTION ({a}, POLYGON ((broken)))": "WKT inválido",
+        f"GEOMETRYCOLLECTION ({a}, POLYGON ((1 1, 2)))": "WKT inválido",
+        f"GEOMETRYCOLLECTION ({a}": "WKT inválido",
+        "GEOMETRYCOLLECTION (POINT (1 1))": "WKT inválido",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    members = df.select("i", F.size(geo.vertices(geo.from_wkt(F.col("t")))).alias("n"))
+    assert {r["i"]: r["n"] for r in members.collect()}[6] == 20_003
+    read = shapes_text.read_wkt(df.where("i <> 6"), "t").select("i", "motivo", geo.planar_area(F.col("geometry")).alias("area"))
+    for r in read.collect():
+        want = list(texts.values())[r["i"]]
+        assert r["motivo"] == want if isinstance(want, str) else (r["motivo"], r["area"]) == (None, pytest.approx(want))
+
+
 def boxes(spark, rows):
     rows = [(r[0], *map(float, r[1:])) for r in rows]
     df = spark.createDataFrame(rows, "id string, x0 double, y0 double, x1 double, y1 double")
