@@ -116,6 +116,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import aligned
+
+    rows = aligned(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return rows.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), support=10, longest=3, percent=50, most=2000)
+
+
+def op13_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_groups
+
+    return exact_groups(_table(spark, sf_dir, "documents"), hash_unique=True).withColumnRenamed("text_hash", "text_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,7 +146,8 @@ QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in (
         op1_minhash_components, op2_warc_archives, op3_chat_format, op4_embedding_links, op5_source_mix, op6_quality_rules,
-        op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts, pipeline,
+        op7_token_shards, op8_pii_spans, op9_best_fit_packing, op10_token_counts,
+        op11_token_alignment, op12_collocations, op13_exact_groups, pipeline,
     )
 }
 # The others have no SQL: their samples, tokens, trained spans and packings are tested against brute force.
@@ -136,4 +157,6 @@ SQL: dict[str, str] = {
     "op3_chat_format": sql.OP3,
     "op4_embedding_links": sql.OP4,
     "op6_quality_rules": sql.OP6,
+    "op12_collocations": sql.OP12,
+    "op13_exact_groups": sql.OP13,
 }

@@ -66,3 +66,23 @@ all_of as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, '
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed, n_left,
   not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words) and 100 * n_left >= {LEAST_LEFT} * n_words as kept from all_of"""
+
+
+OP12 = r"""with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+counts as (select lang, phrase, length, count(*) as f from (select lang, k as length, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as phrase
+  from words, (values (1), (2), (3)) as t(k)) group by all),
+totals as (select lang, sum(len(w))::bigint as n from words group by 1),
+cuts as (select lang, phrase, length, f as a, unnest(range(1, length)) as k, string_split(phrase, ' ') as w from counts where length > 1 and f >= 10),
+met as (select c.*, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score from cuts c
+  join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[:c.k], ' ') join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best as (select lang, phrase, a, length, w, arg_min(l, (score, k)) as l, arg_min(r, (score, k)) as r, min(score) as score from met group by all),
+held as (select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as more from best, (values (1), (2)) as t(i) where length = 3 group by all),
+kept as (select b.* from best b left join held h using (lang, phrase) where more is null or 100 * more < 50 * a),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from placed join totals using (lang) where rank <= 2000"""
+
+OP13 = """with d as (select doc_id, regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over w as keep_id, (count(*) over w)::bigint as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
+from d window w as (partition by t)"""

@@ -25,13 +25,17 @@ OTHER_SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers."""
+    """Texts to ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    With ``plain`` the strings of added tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as source:
             settings = json.load(source)
         cut = settings.get("pre_tokenizer") or {}
@@ -43,7 +47,7 @@ class Encoder:
             and not cut.get("add_prefix_space", True)
         )
         self.by_pieces = by_pieces
-        self.added = [t["content"] for t in settings.get("added_tokens", [])]
+        self.added = [] if plain else [t["content"] for t in settings.get("added_tokens", [])]
         # Byte-level vocabularies write each byte as one character.
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, number in self.tokenizer.get_vocab().items():
@@ -135,8 +139,8 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    return worker_state(f"encoder {path}", lambda: Encoder(path))
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return worker_state(f"encoder {path} {plain}", lambda: Encoder(path, plain))
 
 
 def batches(texts: list[str | None], chars: int = 1_000_000) -> Iterable[tuple[int, int]]:
