@@ -50,7 +50,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hash_
     )
     read = whole.select("_key", "_text", *marks)
     same = read["_key"].eqNullSafe(left["_key"]) & (read["_length"] == left["_length"]) & (read["_prefix"] == left["_prefix"])
-    met = read.join(left, same, "left").select(
+    # The same join at every size: texts are dealt by key, however few keys are left.
+    met = read.join(left.hint("merge"), same, "left").select(
         read["_key"].alias("_key"),
         F.coalesce("_left", F.lit(False)).alias("_left"),
         F.when(F.lit(hash_unique) | F.col("_left"), F.sha2(F.col("_text").cast("binary"), 256)).alias("text_hash"),
