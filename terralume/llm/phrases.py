@@ -1,10 +1,10 @@
 """Phrases of a few words that occur together more often than their parts, by partitioned mining.
 
-The corpus is cut into a few shards, each a set of scan tasks, so that a shard grows with the corpus
-and is mined by many tasks. A phrase with enough occurrences in the corpus must reach its
-proportional share in at least one shard, so every shard is mined completely, by length, at a support
-lowered to its share of a language's words; what is frequent in any shard is a candidate. A last
-scan counts all candidates exactly over the whole corpus.
+The corpus is cut into shards by a hash of the text. A shard grows with the corpus and is mined by many
+tasks, so few shards do, and few lower the support least. A phrase with enough occurrences in the
+corpus must reach its proportional share in at least one shard, so every shard is mined completely,
+by length, at a support lowered to its share of a language's words; what is frequent in any shard
+is a candidate. A last scan counts all candidates exactly over the whole corpus.
 
 Tasks count a block of texts at a time in numpy. Mining works on 64-bit hashes of phrases: two
 phrases of one hash only add a candidate. Longer phrases are looked for only where both shorter ones
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from terralume.session import materialize
 
-SHARDS = 4  # with a support of 10 a phrase must occur 3 times in one of them
-BLOCK_BYTES = 16 << 20  # text that a task counts at a time; a longer text is a block of its own
+SHARDS = 2  # with a support of 10 a phrase must occur 5 times in one of them
+BLOCK_BYTES = 4 << 20  # text that a task counts at a time; a longer text is a block of its own
+ROWS = 256  # rows of a batch that are Python objects at a time
 FILTER_BYTES = 32 << 20  # most of the filter that all tasks get
 SEGMENT_BYTES = 1 << 13  # a hash has its bits in one segment of the filter
 PROBES = 4
 UNKNOWN = "und"
 # Bytes to bytes: upper case to lower, a tab to a blank, marks and line ends to a line feed.
 MARKS = b".,;:!?\n\x0b\x0c\r"
+WORDS = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 _BYTES = bytes(10 if b in MARKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -45,10 +47,10 @@ def remixed(values, seed: int = 0):
 class Block:
     """The words of some texts of one language, as numbers into their distinct words.
 
-    Pieces are set apart by a number below 0.
+    Pieces are set apart by a number below 0. ``seed`` stands for the language in hashes.
     """
 
-    def __init__(self, lang: str, texts: list[bytes]):
+    def __init__(self, seed: int, texts: list[bytes]):
         import numpy as np
         import pyarrow as pa
         import xxhash
@@ -62,23 +64,22 @@ class Block:
         place = {w: k for k, w in enumerate(self.names)}
         if b"" in place:
             ids = ids[ids != place[b""]]
-        mark = place.get(b"\n", -1)
-        self.ids = np.where(ids == mark, -1, ids)
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        self.ids = np.where(ids == place.get(b"\n", -1), -1, ids)
+        seed &= 0xFFFFFFFFFFFFFFFF
         own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.names), np.uint64, len(self.names))
         self.word_hash = own[ids] if len(ids) else np.zeros(0, np.uint64)
-        self.n_words = int((self.ids >= 0).sum())
 
-    def hashes(self, length: int):
-        """Hashes of the runs of ``length`` words from each place, and where such a run lies within a piece."""
+    def runs(self, longest: int) -> Iterator[tuple]:
+        """For 1 to ``longest`` words: hashes of the runs from each place, and where such a run lies within a piece."""
         import numpy as np
 
         whole = self.ids >= 0
         found, inside = remixed(self.word_hash), whole
-        for k in range(1, length):
+        yield found, inside
+        for k in range(1, longest):
             found = remixed(found[:-1] * np.uint64(0x9DDFEA08EB382D69) ^ self.word_hash[k:], k)
             inside = inside[:-1] & whole[k:]
-        return found, inside
+            yield found, inside
 
     def phrase(self, at: int, length: int) -> bytes:
         return b" ".join([self.names[i] for i in self.ids[at : at + length].tolist()])
@@ -145,27 +146,31 @@ def filter_of(hashes: DataFrame) -> Filter:
     return Filter(bytes(whole))
 
 
-def blocks_of(frames: Iterator) -> Iterator[tuple[str, list[bytes]]]:
-    """Texts (second column) by language (first), in blocks of bounded size."""
-    held: dict[str, list[bytes]] = {}
+def blocks_of(frames: Iterator) -> Iterator[tuple]:
+    """Texts (first column) by the values of the others, in blocks of bounded size."""
+    held: dict[tuple, list[bytes]] = {}
     size = 0
     for frame in frames:
-        for lang, text in zip(frame.column(0).to_pylist(), frame.column(1).cast("binary").to_pylist(), strict=True):
-            if text:
-                held.setdefault(lang, []).append(text)
+        for k in range(0, frame.num_rows, ROWS):
+            text, *others = frame.slice(k, ROWS).columns
+            for text, *of in zip(text.cast("binary").to_pylist(), *(c.to_pylist() for c in others), strict=True):
+                held.setdefault(tuple(of), []).append(text)
                 size += len(text)
-            if size >= BLOCK_BYTES:
-                yield from held.items()
-                held, size = {}, 0
+                if size >= BLOCK_BYTES:
+                    yield from held.items()
+                    held, size = {}, 0
     yield from held.items()
 
 
-def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
+    """Texts with the language, its number (a hash), and the shard."""
+    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
+    number = F.xxhash64(F.lit("lang"), "lang").alias("number")
+    return rows.select("text", "lang", number, F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard")).where("text <> ''")
 
 
-def _mined(rows: DataFrame, lengths: list[int], shorter: Filter | None, shards: int, name: str) -> DataFrame:
-    """``shard``, ``lang``, ``h``, ``count`` of phrases; a row with a null hash has the number of words.
+def _mined(rows: DataFrame, lengths: list[int], shorter: Filter | None) -> DataFrame:
+    """``h``, ``number``, ``shard``, ``count`` of the phrases of each shard and language.
 
     With ``shorter`` only phrases whose two shorter ones pass are counted.
     """
@@ -174,45 +179,33 @@ def _mined(rows: DataFrame, lengths: list[int], shorter: Filter | None, shards:
     def work(frames: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
         kept = Filter(shared.value) if shared.value else None
-        shard = TaskContext.get().partitionId() % shards
-
-        def batch(lang, hashes, counts):
-            n = len(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard, np.int32)), pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), hashes, pa.array(counts.astype(np.int64))],
-                names=["shard", "lang", "h", "count"],
-            )
-
-        for lang, texts in blocks_of(frames):
-            block = Block(lang, texts)
-            if kept is None:
-                yield batch(lang, pa.nulls(1, pa.int64()), np.array([block.n_words]))
-            for length in lengths:
-                hashes, inside = block.hashes(length)
-                if kept is not None:
-                    short, _ = block.hashes(length - 1)
+        for (number, shard), texts in blocks_of(frames):
+            short = None
+            for length, (hashes, inside) in enumerate(Block(number, texts).runs(max(lengths)), 1):
+                if length in lengths:
                     place = np.flatnonzero(inside)
-                    passed = kept.has(short[:-1][place])
-                    place = place[passed]
-                    place = place[kept.has(short[1:][place])]
-                    hashes = hashes[place]
-                else:
-                    hashes = hashes[inside]
-                found, counts = np.unique(hashes, return_counts=True)
-                for k in range(0, len(found), 1 << 17):
-                    yield batch(lang, pa.array(found[k : k + (1 << 17)].view(np.int64)), counts[k : k + (1 << 17)])
-
-    found = rows.mapInArrow(work, "shard int, lang string, h long, count long")
-    return materialize(found.groupBy("shard", "lang", "h").agg(F.sum("count").alias("count")), name)
+                    if kept is not None:
+                        place = place[kept.has(short[place])]
+                        place = place[kept.has(short[place + 1])]
+                    found, counts = np.unique(hashes[place], return_counts=True)
+                    # Shards and languages share a table, so that rows have one key.
+                    of = np.array([number], np.int64)
+                    for k in range(0, len(found), 1 << 17):
+                        part, n = found[k : k + (1 << 17)], counts[k : k + (1 << 17)]
+                        columns = [part.view(np.int64), np.repeat(of, len(n)), np.full(len(n), shard, np.int32), n.astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "number", "shard", "count"])
+                short = hashes
+
+    found = rows.select("text", "number", "shard").mapInArrow(work, "h long, number long, shard int, count long")
+    return found.groupBy("h", "number", "shard").agg(F.sum("count").alias("count"))
 
 
 def _frequent(mined: DataFrame, sizes: DataFrame, support: int) -> DataFrame:
     """Hashes that reach the share of the support that a shard's share of the words asks for."""
     least = F.ceil(F.lit(support).cast("decimal(18,0)") * F.col("words") / F.col("n"))
-    return mined.where("h is not null").join(sizes, ["shard", "lang"]).where(F.col("count") >= least).select("h")
+    return mined.join(sizes.select("number", "shard", least.alias("_least")), ["number", "shard"]).where("count >= _least").select("h")
 
 
 def _counted(rows: DataFrame, longest: int, candidates: Filter) -> DataFrame:
@@ -224,14 +217,13 @@ def _counted(rows: DataFrame, longest: int, candidates: Filter) -> DataFrame:
         import pyarrow as pa
 
         kept = Filter(shared.value)
-        for lang, texts in blocks_of(frames):
-            block = Block(lang, texts)
-            for length in range(1, longest + 1):
-                hashes, inside = block.hashes(length)
+        for (number, lang), texts in blocks_of(frames):
+            block = Block(number, texts)
+            for length, (hashes, inside) in enumerate(block.runs(longest), 1):
                 place = np.flatnonzero(inside)
                 place = place[kept.has(hashes[place])]
                 order = place[np.argsort(hashes[place], kind="stable")]
-                ids = np.stack([block.ids[order + k] for k in range(length)], 1) if len(order) else np.zeros((0, length), np.int64)
+                ids = np.stack([block.ids[order + k] for k in range(length)], 1)
                 # Of equal hashes, equal words: a collision within a block splits the run or repeats a phrase.
                 first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)])) if len(order) else order
                 counts = np.diff(np.append(first, len(order)))
@@ -240,11 +232,12 @@ def _counted(rows: DataFrame, longest: int, candidates: Filter) -> DataFrame:
                     names = [block.phrase(at, length) for at in order[part].tolist()]
                     yield pa.RecordBatch.from_pydict({
                         "lang": pa.array([lang] * len(part), pa.string()), "phrase": pa.array(names, pa.binary()).cast(pa.string()),
-                        "length": pa.array([length] * len(part), pa.int32()), "count": pa.array(counts[k : k + (1 << 16)], pa.int64()),
+                        "count": pa.array(counts[k : k + (1 << 16)], pa.int64()),
                     })
 
-    found = rows.mapInArrow(work, "lang string, phrase string, length int, count long")
-    return found.groupBy("lang", "phrase", "length").agg(F.sum("count").alias("count"))
+    found = rows.select("text", "number", "lang").mapInArrow(work, "lang string, phrase string, count long")
+    counted = found.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+    return counted.select("lang", "phrase", (F.regexp_count("phrase", F.lit(" ")) + 1).alias("length"), "count")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 10, longest: int = 3, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -252,17 +245,18 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
 
     The first table has ``lang``, ``phrase``, ``length``, ``count``, the second ``lang``, ``n``.
     """
-    rows = _texts(docs, text, lang)
-    mined = _mined(rows, [1, 2] if longest > 1 else [1], None, shards, "mined")
-    words = mined.where("h is null").select("shard", "lang", F.col("count").alias("words"))
-    totals = words.groupBy("lang").agg(F.sum("words").cast("long").alias("n"))
-    sizes = materialize(words.join(totals, "lang"), "shard-sizes")
-    frequent = materialize(_frequent(mined, sizes, support).distinct(), "frequent")
+    rows = _texts(docs, text, lang, shards)
+    words = materialize(rows.groupBy("lang", "number", "shard").agg(F.sum(F.regexp_count("text", F.lit(WORDS))).cast("long").alias("words")), "shard-words")
+    totals = words.groupBy("lang").agg(F.sum("words").alias("n"))
+    # Two languages of one number would share the lower support.
+    sizes = words.join(totals, "lang").groupBy("number", "shard").agg(F.min(F.struct(F.col("words") / F.col("n"), "words", "n")).alias("_of")).select("number", "shard", "_of.words", "_of.n")
+    sizes = materialize(sizes.where("words > 0"), "shard-sizes")
+    frequent = materialize(_frequent(_mined(rows, [1, 2][:longest], None), sizes, support).distinct(), "frequent")
     for length in range(3, longest + 1):
-        more = _mined(rows, [length], filter_of(frequent), shards, "mined")
-        frequent = materialize(frequent.unionByName(_frequent(more, sizes, support)).distinct(), "frequent")
+        more = _frequent(_mined(rows, [length], filter_of(frequent)), sizes, support)
+        frequent = materialize(frequent.unionByName(more).distinct(), "frequent")
     counted = _counted(rows, longest, filter_of(frequent)).where(F.col("count") >= support)
-    return materialize(counted, "phrases"), sizes.select("lang", "n").distinct()
+    return materialize(counted, "phrases"), totals
 
 
 def scored(phrases: DataFrame) -> DataFrame:
