@@ -81,9 +81,6 @@ class Block:
             inside = inside[:-1] & whole[k:]
             yield found, inside
 
-    def phrase(self, at: int, length: int) -> bytes:
-        return b" ".join([self.names[i] for i in self.ids[at : at + length].tolist()])
-
 
 class Filter:
     """A blocked Bloom filter over hashes: a hash sets ``PROBES`` bits of one segment."""
@@ -215,10 +212,12 @@ def _counted(rows: DataFrame, longest: int, candidates: Filter) -> DataFrame:
     def work(frames: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         kept = Filter(shared.value)
         for (number, lang), texts in blocks_of(frames):
             block = Block(number, texts)
+            words = pa.array(block.names, pa.binary()).cast(pa.string())
             for length, (hashes, inside) in enumerate(block.runs(longest), 1):
                 place = np.flatnonzero(inside)
                 place = place[kept.has(hashes[place])]
@@ -228,12 +227,10 @@ def _counted(rows: DataFrame, longest: int, candidates: Filter) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)])) if len(order) else order
                 counts = np.diff(np.append(first, len(order)))
                 for k in range(0, len(first), 1 << 16):
-                    part = first[k : k + (1 << 16)]
-                    names = [block.phrase(at, length) for at in order[part].tolist()]
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([lang] * len(part), pa.string()), "phrase": pa.array(names, pa.binary()).cast(pa.string()),
-                        "count": pa.array(counts[k : k + (1 << 16)], pa.int64()),
-                    })
+                    part = ids[first[k : k + (1 << 16)]]
+                    phrases = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in part.T], " ")
+                    columns = [pa.array([lang] * len(part), pa.string()), phrases, pa.array(counts[k : k + (1 << 16)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "count"])
 
     found = rows.select("text", "number", "lang").mapInArrow(work, "lang string, phrase string, count long")
     counted = found.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
