@@ -6,8 +6,8 @@ select, so one file gives the token at a place, the number of times a token occu
 and the places where it occurs, without decoding the rest.
 
 File: 8 bytes magic, length of the header (little-endian 32-bit), header (JSON: tokens, documents,
-bits, zeros and compressed size per plane, sizes of the two columns), then Zstandard blocks: keys as
-JSON, tokens per document (unsigned 32-bit), and the planes with their counts.
+bits, zeros and compressed size per plane, sizes of the two columns), then Zstandard blocks: keys as an
+Arrow stream, so that they may be of any type, tokens per document (unsigned 32-bit), and the planes with their counts.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from terralume.session import materialize, shared_folder
 from .common import dealt, get_file, put_file
 from .tokens import batches, encoder
 
-MAGIC = b"WVMATRX1"
+MAGIC = b"WVMATRX2"
 SHARD_TOKENS = 1 << 20  # a shard is closed at this many ids; a longer document has its own
 BLOCK_BITS = 512
+RUN = 1 << 16  # values that are parted at a time
 
 
 class WaveletMatrix:
@@ -39,18 +40,31 @@ class WaveletMatrix:
     def build(cls, values, bits: int) -> WaveletMatrix:
         import numpy as np
 
+        if len(values) and int(values.max()) >> bits:
+            raise ValueError(f"token {int(values.max())} does not fit in {bits} bits")
         zeros, planes, counts = [], [], []
         for level in range(bits - 1, -1, -1):
-            ones = (values >> level & 1).astype(bool)
+            ones = (values & values.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             padded = np.zeros(-(-len(values) // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
             padded[: len(packed)] = packed
             each = np.bitwise_count(padded.view("<u8")).reshape(-1, BLOCK_BITS // 64).sum(1, dtype=np.uint32)
             planes.append(padded)
             counts.append(np.concatenate([[0], np.cumsum(each)]).astype("<u4"))
-            low = values[~ones]
-            zeros.append(len(low))
-            values = np.concatenate([low, values[ones]])
+            zeros.append(len(values) - int(np.count_nonzero(ones)))
+            moved, low, high = np.empty_like(values), 0, zeros[-1]
+            for at in range(0, len(values), RUN):
+                part, set_ = values[at : at + RUN], ones[at : at + RUN]
+                # Places first: taking by a random mask costs several times as much.
+                for bit in (False, True):
+                    found = part.take(np.flatnonzero(set_ == bit))
+                    if bit:
+                        moved[high : high + len(found)] = found
+                        high += len(found)
+                    else:
+                        moved[low : low + len(found)] = found
+                        low += len(found)
+            values = moved
         return cls(sum(zeros[:1]) + int(counts[0][-1]) if bits else 0, zeros, planes, counts)
 
     def _ones(self, level: int, at: int) -> int:
@@ -122,21 +136,28 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], bitorder="little", count=self.size).view(bool)
             back = np.empty_like(out)
-            back[~ones] = out[: self.zeros[level]]
-            back[ones] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~ones)] = out[: self.zeros[level]]
+            back[np.flatnonzero(ones)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
             out = back
         return out
 
 
-def shard_bytes(keys: list, lengths: list[int], ids: bytes, bits: int) -> bytes:
-    """One shard file."""
+def shard_bytes(keys, lengths: list[int], ids: bytes, bits: int) -> bytes:
+    """One shard file; ``keys`` is an Arrow array or a list."""
     import numpy as np
+    import pyarrow as pa
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     values = np.frombuffer(ids, "<u4")
+    if len(values) and int(values.max()) >> bits:
+        raise ValueError(f"token {int(values.max())} does not fit in {bits} bits")
     matrix = WaveletMatrix.build(values.astype("<u2") if bits <= 16 else values, bits)
-    parts = [pack(json.dumps(keys).encode()), pack(np.array(lengths, "<u4").tobytes())]
+    table = pa.table({"key": keys})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    parts = [pack(sink.getvalue()), pack(np.array(lengths, "<u4").tobytes())]
     parts += [pack(c.tobytes() + p.tobytes()) for p, c in zip(matrix.planes, matrix.counts, strict=True)]
     head = {"tokens": len(values), "documents": len(keys), "bits": bits, "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}
     written = json.dumps(head).encode()
@@ -144,8 +165,9 @@ def shard_bytes(keys: list, lengths: list[int], ids: bytes, bits: int) -> bytes:
 
 
 def open_shard(data: bytes):
-    """Keys, tokens per document and the matrix of a shard file."""
+    """Keys (an Arrow array), tokens per document and the matrix of a shard file."""
     import numpy as np
+    import pyarrow as pa
     import zstandard
 
     if data[:8] != MAGIC:
@@ -159,15 +181,17 @@ def open_shard(data: bytes):
     blocks = -(-head["tokens"] // BLOCK_BITS) + 1
     planes = [np.frombuffer(p, np.uint8, offset=4 * blocks) for p in parts[2:]]
     counts = [np.frombuffer(p, "<u4", count=blocks) for p in parts[2:]]
-    return json.loads(parts[0]), np.frombuffer(parts[1], "<u4"), WaveletMatrix(head["tokens"], head["zeros"], planes, counts)
+    keys = pa.ipc.open_stream(parts[0]).read_all().column("key").combine_chunks()
+    return keys, np.frombuffer(parts[1], "<u4"), WaveletMatrix(head["tokens"], head["zeros"], planes, counts)
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None, end_id: int = 0, bits: int = 16) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None, end_id: int = 0, bits: int | None = None) -> DataFrame:
     """Write the ids of all documents in ascending order of ``key`` and list the files.
 
     Returns ``folder``, ``file``, ``part``, ``number``, ``tokens``, ``documents``, in order of ``part`` and ``number``. ``end_id``
     follows every document; a null or empty text is ``end_id`` alone. Null keys come first, rows with
-    equal keys lie side by side. A repeated task writes the same files again.
+    equal keys lie side by side. Keys may be of any type that can be ordered. ``bits`` are those of the largest id of the vocabulary
+    unless given; an id that needs more is an error. A repeated task writes the same files again.
     """
     import uuid
 
@@ -182,14 +206,15 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, number = task.partitionId(), 0
+        part, number, kind = task.partitionId(), 0, None
+        size = bits or max(end_id, encoder(path).tokenizer.get_vocab_size() - 1).bit_length()
         keys: list = []
         found: list[bytes] = []
         held = 0
 
         def close():
             nonlocal held, number
-            data = shard_bytes(keys, [len(x) // 4 for x in found], b"".join(found), bits)
+            data = shard_bytes(pa.array(keys, kind), [len(x) // 4 for x in found], b"".join(found), size)
             name = put_file(folder, f"{part:06d}-{number:06d}.wm", iter([data]), f"{task.taskAttemptId()}")
             row = dict(folder=folder, file=name, part=part, number=number, tokens=held, documents=len(keys))
             keys.clear()
@@ -198,6 +223,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             return row
 
         for frame in frames:
+            kind = frame.schema.field(0).type
             names, texts, done = frame.column(0).to_pylist(), frame.column(1).to_pylist(), []
             for low, high in batches(texts):
                 for name, ids in zip(names[low:high], encoder(path).batch(texts[low:high]), strict=True):
@@ -219,7 +245,10 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
 
 def read_shards(shards: DataFrame, kind: str = "long") -> DataFrame:
-    """``key``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` of every document, from the files."""
+    """``key``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` of every document, from the files.
+
+    ``kind`` is the type of the keys.
+    """
     of_part = shards.groupBy("part").agg(F.sum("tokens").alias("_all"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each writing task
     parts = of_part.select("part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
@@ -239,7 +268,7 @@ def read_shards(shards: DataFrame, kind: str = "long") -> DataFrame:
                 ends = np.cumsum(lengths, dtype=np.int64)
                 ids = [values[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
                 columns = [
-                    pa.array(keys, pa.int64() if kind in ("long", "bigint") else None),
+                    keys,
                     pa.array(row["base"] + ends - lengths, pa.int64()),
                     pa.array(lengths, pa.int64()),
                     pa.array(ids, pa.binary()),

@@ -2,6 +2,8 @@
 
 import base64
 import collections
+import datetime
+import decimal
 import hashlib
 import math
 import random
@@ -17,7 +19,7 @@ from terralume.llm import packing, warc
 from terralume.llm.chat import digests, formatted
 from terralume.llm.embeddings import near_vectors
 from terralume.llm.mixing import mixed, sampled
-from terralume.llm.wavelet import WaveletMatrix, read_shards, write_shards
+from terralume.llm.wavelet import WaveletMatrix, open_shard, read_shards, shard_bytes, write_shards
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BIG = 2**60 + 1
@@ -158,6 +160,20 @@ def test_wavelet_matrix_answers():
             assert matrix.occurrence(token, nth) == (places[nth] if nth < len(places) else -1)
 
 
+def test_wide_ids_and_odd_keys(spark, tmp_path):
+    values = np.array([0, 70_000, 131_071, 5] * 400, "<u4")
+    keys, lengths, matrix = open_shard(shard_bytes([datetime.date(2020, 1, 1), None], [900, 700], values.tobytes(), 17))
+    assert keys.to_pylist() == [datetime.date(2020, 1, 1), None] and lengths.tolist() == [900, 700]
+    assert matrix.values().tolist() == values.tolist() and matrix.count(70_000) == 400
+    with pytest.raises(ValueError):
+        shard_bytes([1], [1600], values.tobytes(), 16)
+    for kind, first, second in (("decimal(30,2)", "1.50", "-2.25"), ("binary", b"\xff\x00", b"\x01"), ("date", datetime.date(2020, 1, 2), None)):
+        first, second = (decimal.Decimal(x) if kind[:3] == "dec" else x for x in (first, second))
+        table = spark.createDataFrame([(first, "one text"), (second, None)], f"key {kind}, text string")
+        got = {r["key"]: r["n_tokens"] for r in read_shards(write_shards(table, BYTE_BPE, key="key"), kind).collect()}
+        assert {k if kind != "binary" else bytes(k): n for k, n in got.items()} == {first: 3, second: 1}
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
