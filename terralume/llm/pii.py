@@ -469,7 +469,7 @@ def found_spans(docs: DataFrame, text: str = "text", model: Model | None = None)
 
         for frame in frames:
             texts, found = frame.column(place).to_pylist(), []
-            for low, high in batches(texts):
+            for low, high in batches(texts, 1_000_000):
                 found += finder.batch(texts[low:high])
             columns = [*frame.columns, pa.array([shown(b) for b, _ in found], kind), pa.array([shown(a) for _, a in found], kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*frame.schema.names, base, added])
