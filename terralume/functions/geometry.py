@@ -240,15 +240,30 @@ def on_edge(x: Column, y: Column, e: Column) -> Column:
     )
 
 
-def covers_point(edge_list: Column, x: Column, y: Column) -> Column:
-    """Even-odd test over the edges; the boundary counts as inside."""
+def passes_right(e: Column, x: Column, y: Column) -> Column:
+    """The edge crosses the level line through a point, to the right of it."""
+    spans = (e["y1"] > y) != (e["y2"] > y)
+    at = e["x1"] + (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) * (e["x2"] - e["x1"])
+    return F.coalesce(spans & (x < at), F.lit(False))
+
+
+def part_covers(part: Column, x: Column, y: Column) -> Column:
+    """In or on the shell of a part and not inside one of its holes."""
 
-    def passes(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = e["x1"] + (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) * (e["x2"] - e["x1"])
-        return spans & (x < at)
+    def strictly(ring: Column) -> Column:
+        return bound(
+            ring_edges(ring),
+            lambda es: (F.size(F.filter(es, lambda e: passes_right(e, x, y))) % 2 == 1)
+            & ~F.exists(es, lambda e: on_edge(x, y, e)),
+        )
+
+    shell = bound(ring_edges(F.get(part, F.lit(0))), lambda es: covers_point(es, x, y))
+    return shell & ~F.exists(F.slice(part, F.lit(2), F.size(part)), strictly)
 
-    crossings = F.size(F.filter(edge_list, passes))
+
+def covers_point(edge_list: Column, x: Column, y: Column) -> Column:
+    """Even-odd test over the edges; the boundary counts as inside."""
+    crossings = F.size(F.filter(edge_list, lambda e: passes_right(e, x, y)))
     return (crossings % 2 == 1) | F.exists(edge_list, lambda e: on_edge(x, y, e))
 
 
@@ -269,21 +284,6 @@ def edges_meet(a: Column, b: Column) -> Column:
     return boxes & (a1 * a2 <= 0) & (b1 * b2 <= 0)
 
 
-def intersects(edges_a: Column, edges_b: Column) -> Column:
-    """Share at least one point: an edge meets an edge, or one contains the other.
-
-    Takes columns of edges, so that they are built once per geometry and not
-    once per edge of the other side.
-    """
-    first_a, first_b = F.get(edges_a, F.lit(0)), F.get(edges_b, F.lit(0))
-    meet = F.exists(edges_a, lambda a: F.exists(edges_b, lambda b: edges_meet(a, b)))
-    return (
-        meet
-        | covers_point(edges_b, first_a["x1"], first_a["y1"])
-        | covers_point(edges_a, first_b["x1"], first_b["y1"])
-    )
-
-
 def ring_closed(ring: Column) -> Column:
     return F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, functions as F
 from . import geometry as geo
 from .geometry import bound
 
+RINGS = 4096  # sides of a part; a part with more rings shares numbers with the next
 RUN = "struct<x0:double,y0:double,x1:double,y1:double,s:int>"
 RISE = "struct<side:int,w:int,x0:double,y0:double,x1:double,y1:double>"
 
@@ -165,9 +166,17 @@ def _winding(active: Column, upto: Column, side: int) -> Column:
     )
 
 
-def _parity(active: Column, upto: Column, side: int) -> Column:
-    seen = F.filter(F.slice(active, F.lit(1), upto + 1), lambda e: e["side"] == side)
-    return F.size(seen) % 2
+def _within_parts(active: Column, upto: Column) -> Column:
+    """In the shell of a part and in none of its holes; sides number rings, `RINGS` to a part."""
+    seen = F.transform(F.slice(active, F.lit(1), upto + 1), lambda e: e["side"])
+    odd = F.filter(F.array_distinct(seen), lambda s: F.size(F.filter(seen, lambda t: t == s)) % 2 == 1)
+    part = lambda s: F.floor(s / RINGS)
+    return bound(
+        odd,
+        lambda held: F.exists(
+            held, lambda s: (s % RINGS == 0) & ~F.exists(held, lambda h: (h % RINGS > 0) & (part(h) == part(s)))
+        ),
+    )
 
 
 def _slab_strips(rise_list: Column, ys: Column, keep: Callable[[Column, Column], Column]) -> Column:
@@ -239,15 +248,35 @@ def union(rises_all: Column) -> Column:
     return geo.geometry(_swept(as_side(rises_all, 0), lambda act, i: _inside(act, i, 0)))
 
 
+def _ring_rises(geom: Column) -> Column:
+    """Rises with a side for each ring."""
+    one = lambda ring, side: F.transform(
+        rises(geo.geometry(F.array(F.array(ring)))), lambda e: e.withField("side", side.cast("int"))
+    )
+    return F.flatten(
+        F.transform(geom["parts"], lambda part, p: F.flatten(F.transform(part, lambda ring, r: one(ring, p * RINGS + r))))
+    )
+
+
 def repaired(geom: Column) -> Column:
-    """Even-odd re-noding: a bow-tie becomes two triangles."""
-    parts = _swept(rises(geom), lambda act, i: _parity(act, i, 0) == 1)
+    """What lies in a shell and in none of its holes: a bow-tie becomes two triangles, a nested part goes.
+
+    Strips of one row; `topology.repaired` rebuilds rings for tables of shapes.
+    """
+    parts = _swept(_ring_rises(geom), _within_parts)
     return geo.geometry(parts, srid=geom["srid"])
 
 
+def _plainly_nested(geom: Column) -> Column:
+    """Rings that don't cross are nested as they should be when their signed areas add up to the area covered."""
+    covered = geo.planar_area(geo.geometry(_swept(_ring_rises(geom), _within_parts)))
+    return F.abs(covered - geo.planar_area(geom)) <= 1e-9 * covered
+
+
 def made_valid(geom: Column) -> Column:
     """The geometry as it is when valid, else repaired; NULL when nothing is left."""
-    fixed = F.when(geo.is_valid(geom), geo.oriented(geom)).otherwise(repaired(geom))
+    valid = geo.is_valid(geom) & ((F.size(geo.rings(geom)) <= 1) | _plainly_nested(geom))
+    fixed = F.when(valid, geo.oriented(geom)).otherwise(repaired(geom))
     return F.when(F.size(fixed["parts"]) > 0, fixed)
 
 

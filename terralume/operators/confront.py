@@ -24,10 +24,9 @@ class Indexed:
 
     @classmethod
     def of(cls, df: DataFrame) -> Indexed:
-        """The shape table is read by the cell join, the overlay and the areas, so it is written once."""
+        """The shape table is read by the cell join, the overlay and the areas; `valid_shapes` writes it once."""
         features = spatial.with_shape(df)
-        shapes = materialize(spatial.valid_shapes(features), "shapes")
-        return cls(features.drop("geometry"), shapes)
+        return cls(features.drop("geometry"), spatial.valid_shapes(features))
 
 
 def other_pairs(properties: Indexed) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as geo, text as tx
+from ..session import materialize
 from . import spatial
 from .confront import Indexed
 
@@ -33,9 +34,12 @@ def by_point(
     points: DataFrame, properties: DataFrame, point_key: str, limit: int = PLACE_LIMIT
 ) -> DataFrame:
     """Properties that contain a point, smallest first."""
-    known = Indexed.of(properties)
-    hits = spatial.points_in_shapes(points, known.shapes, point_key)
-    attributes = known.features.select("shape", "cod_imovel", "area_total_ha", "uf", "municipio")
+    features = spatial.with_shape(properties)
+    # Only outlines are needed: no runs, and no repair.
+    shapes = spatial.distinct_shapes(features).withColumn("bbox", geo.bbox(F.col("geometry")))
+    shapes = materialize(shapes.select("shape", "geometry", "bbox"), "outlines")
+    hits = spatial.points_in_shapes(points, shapes, point_key)
+    attributes = features.select("shape", "cod_imovel", "area_total_ha", "uf", "municipio")
     order = [F.col("area_total_ha").asc_nulls_last(), F.col("cod_imovel")]
     return top_per(hits.join(attributes, "shape"), [point_key], order, limit).drop("shape")
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as geo, overlay
+from ..session import materialize
+from . import topology
 
 FINEST = 1 / 1024
 LEVELS = 10
@@ -24,6 +26,8 @@ SALTED_LEVEL = 5
 SALTS = 16
 # Edges of one slice of a shape.
 CHUNK = 256
+# Edges a band of a large shape has for each crossing, about.
+BAND_EDGES = 8
 # Side of a union tile in typical piece sizes.
 TILE_PIECES = 4
 
@@ -86,9 +90,13 @@ def _cells(df: DataFrame, key: str, box: str, own_tag: int, others: Sequence[int
     )
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def candidate_pairs(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_levels: list[int] | None = None
+) -> DataFrame:
     """Key pairs whose boxes touch, each pair once.
 
+    `left_levels` saves the job that finds the levels of the left side where they are known.
+
     Both inputs need `bbox`. Only keys and boxes travel through the join. A
     pair found in several cells is kept in the one that holds the lower-left
     corner of the common box, so no distinct is needed.
@@ -96,7 +104,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     a = left.where("bbox is not null").select(F.col(left_key).alias("_a"), F.col("bbox").alias("_abox"))
     b = right.where("bbox is not null").select(F.col(right_key).alias("_b"), F.col("bbox").alias("_bbox"))
     met = _cells(a, "_a", "_abox", 1, _levels(b, "_bbox")).join(
-        _cells(b, "_b", "_bbox", 2, _levels(a, "_abox")), ["_tag", "_level", "_cx", "_cy", "_salt"]
+        _cells(b, "_b", "_bbox", 2, _levels(a, "_abox") if left_levels is None else left_levels), ["_tag", "_level", "_cx", "_cy", "_salt"]
     )
     side = _cell_side(F.col("_level"))
     x0 = F.greatest("_abox.xmin", "_bbox.xmin")
@@ -116,26 +124,25 @@ def with_shape(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.withColumn("shape", F.when(parts.isNotNull(), both))
 
 
-def shapes(df: DataFrame, geometry: str = "geometry", repair: bool = False) -> DataFrame:
-    """One row per distinct shape with what joins and overlays need.
+def distinct_shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """``shape``, ``geometry``, ``copies``: one row per distinct shape that has coordinates.
 
     Copies of a geometry collapse before any pair is built, so a layer that
     repeats one shape many times costs one overlay. Coordinates are lon/lat;
-    other reference systems are moved at ingest and dropped here. With
-    `repair` invalid shapes are repaired once each; what has no area left
-    meets nothing, as its box is NULL.
+    other reference systems are moved at ingest and dropped here.
     """
     # Filtered after the aggregation: before it, the test would be pushed into
     # whatever expression built the geometry and repeat it.
     known = F.col("geometry")["srid"].isin(*geo.GEOGRAPHIC_SRIDS)
-    distinct = (
+    return (
         df.groupBy("shape")
         .agg(F.first(geometry).alias("geometry"), F.count(F.lit(1)).alias("copies"))
         .where(known & ~geo.is_empty(F.col("geometry")))
     )
-    whole = overlay.made_valid(F.col("geometry")) if repair else geo.oriented(F.col("geometry"))
-    turned = distinct.withColumn("geometry", whole)
-    return turned.withColumns(
+
+
+def _measured_shapes(distinct: DataFrame) -> DataFrame:
+    return distinct.withColumns(
         {
             "bbox": geo.bbox(F.col("geometry")),
             "runs": overlay.runs(geo.equal_area(F.col("geometry"))),
@@ -143,9 +150,28 @@ def shapes(df: DataFrame, geometry: str = "geometry", repair: bool = False) -> D
     )
 
 
+def shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """One row per distinct shape with what joins and overlays need; shapes are taken to be valid."""
+    return _measured_shapes(distinct_shapes(df, geometry).withColumn("geometry", geo.oriented(F.col("geometry"))))
+
+
 def valid_shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """`shapes` with invalid geometries repaired."""
-    return shapes(df, geometry, repair=True)
+    """`shapes` with invalid geometries repaired once each; what has no area left is dropped.
+
+    Written once: edges of doubtful shapes are joined only if there are any.
+    """
+    distinct = distinct_shapes(df, geometry)
+    sure = topology.surely_valid(F.col("geometry"))
+    # What costs most is done once a shape, before the test splits the table.
+    first = _measured_shapes(distinct.withColumn("_sure", sure).withColumn("geometry", geo.oriented(F.col("geometry"))))
+    first = materialize(first, "shapes")
+    doubtful = first.where("not _sure")
+    if doubtful.isEmpty():
+        return first.drop("_sure")
+    fixed = topology.repaired(doubtful.select("shape", "geometry"), "shape").drop("fault")
+    again = _measured_shapes(doubtful.select("shape", "copies").join(fixed, "shape"))
+    names = ["shape", "geometry", "copies", "bbox", "runs"]
+    return materialize(first.where("_sure").select(*names).unionByName(again.select(*names)), "shapes")
 
 
 def _chunks(side: DataFrame, name: str) -> DataFrame:
@@ -189,12 +215,39 @@ def measured(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def shape_contacts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Shape pairs that share at least one point, edge contact included."""
-    a = left.select(F.col("shape").alias("a"), "bbox", geo.edges(F.col("geometry")).alias("ea"))
-    b = right.select(F.col("shape").alias("b"), "bbox", geo.edges(F.col("geometry")).alias("eb"))
-    pairs = candidate_pairs(a, b, "a", "b")
-    both = pairs.join(a.drop("bbox"), "a").join(b.drop("bbox"), "b")
-    return both.where(geo.intersects(F.col("ea"), F.col("eb"))).select("a", "b")
+    """Shape pairs that share at least one point, edge contact included.
+
+    Two shapes meet where their edges do, or a part of one lies within the other; its first vertex
+    tells that. Edges travel in slices of at most CHUNK, so a row compares two slices, and only those
+    whose boxes meet; crossings beside a vertex are summed over slices.
+    """
+    sides = {"a": left, "b": right}
+    pairs = materialize(candidate_pairs(*(d.select(F.col("shape").alias(n), "bbox") for n, d in sides.items()), "a", "b"), "pairs")
+    slices = {n: _edge_slices(d, n) for n, d in sides.items()}
+    boxes = "alo_x <= bhi_x and blo_x <= ahi_x and alo_y <= bhi_y and blo_y <= ahi_y"
+    meet = F.exists("ea", lambda a: F.exists("eb", lambda b: geo.edges_meet(a, b)))
+    touching = pairs.join(slices["a"], "a").join(slices["b"], "b").where(boxes).where(meet).select("a", "b")
+
+    def holds(outer: str, inner: str) -> DataFrame:
+        """Parts of one side whose first vertex lies within the other."""
+        first = F.transform(F.col("geometry")["parts"], lambda p: F.get(F.get(p, F.lit(0)), F.lit(0)))
+        starts = sides[inner].select(F.col("shape").alias(inner), F.posexplode(first).alias("_part", "_v"))
+        x, y = F.col("_v")["x"], F.col("_v")["y"]
+        beside = pairs.join(starts, inner).join(slices[outer], outer).where(y.between(F.col(f"{outer}lo_y"), F.col(f"{outer}hi_y")) & (x <= F.col(f"{outer}hi_x")))
+        odd = F.sum(F.size(F.filter(f"e{outer}", lambda e: geo.passes_right(e, x, y)))) % 2 == 1
+        return beside.groupBy("a", "b", "_part").agg(odd.alias("_in")).where("_in").select("a", "b")
+
+    return touching.unionByName(holds("a", "b")).unionByName(holds("b", "a")).distinct()
+
+
+def _edge_slices(side: DataFrame, name: str) -> DataFrame:
+    """Edges of a shape in slices of at most CHUNK with the box of each."""
+    listed = side.select(F.col("shape").alias(name), geo.edges(F.col("geometry")).alias("_e"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_e"), F.lit(1)), F.lit(CHUNK))
+    slices = F.when(F.size("_e") <= CHUNK, F.array("_e")).otherwise(F.transform(starts, lambda i: F.slice("_e", i, F.lit(CHUNK))))
+    cut = listed.select(name, F.explode(slices).alias(f"e{name}"))
+    ends = lambda k: F.concat(*[F.transform(f"e{name}", lambda e: e[f"{k}{i}"]) for i in (1, 2)])
+    return cut.withColumns({f"{name}{word}_{k}": of(ends(k)) for k in "xy" for word, of in (("lo", F.array_min), ("hi", F.array_max))})
 
 
 def intersection_shapes(overlaps: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -321,7 +374,9 @@ def union_areas(pieces: DataFrame, keys: Sequence[str], geometry: str = "geometr
 def points_in_shapes(points: DataFrame, side: DataFrame, point_key: str) -> DataFrame:
     """Point keys and the shapes that contain them, boundary included.
 
-    `points` has x and y; equal positions are looked up once.
+    `points` has x and y; equal positions are looked up once. `side` has `shape`, `geometry` and `bbox`;
+    shapes need no repair: a point counts as inside when it is in the shell of a part and in none of
+    its holes. Shapes with many edges are entered in bands, and a point meets the edges of one band.
     """
     spots = points.select("x", "y").distinct().where("x is not null and y is not null")
     spots = spots.withColumns(
@@ -333,15 +388,39 @@ def points_in_shapes(points: DataFrame, side: DataFrame, point_key: str) -> Data
             ),
         }
     )
-    pairs = candidate_pairs(spots, side, "spot", "shape")
-    edges = side.select("shape", geo.edges(F.col("geometry")).alias("_e"))
-    hits = pairs.join(edges, "shape").where(
-        geo.covers_point(F.col("_e"), F.col("spot.x"), F.col("spot.y"))
-    )
+    # A spot has no extent, so it lives at the finest level.
+    pairs = candidate_pairs(spots, side, "spot", "shape", left_levels=[0])
+    known = side.withColumn("_n", F.size(geo.vertices(F.col("geometry"))))
+    small = known.where(F.col("_n") <= CHUNK).select("shape", F.col("geometry")["parts"].alias("_parts"))
+    x, y = F.col("spot.x"), F.col("spot.y")
+    near = pairs.join(small, "shape").where(F.exists("_parts", lambda part: geo.part_covers(part, x, y))).select("spot", "shape")
+    hits = near.unionByName(_in_bands(pairs, known.where(F.col("_n") > CHUNK)))
     hits = hits.select(F.col("spot.x").alias("x"), F.col("spot.y").alias("y"), "shape")
     return points.select(point_key, "x", "y").join(hits, ["x", "y"]).select(point_key, "shape")
 
 
+def _in_bands(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Spots in shapes with many edges: crossings beside a spot are counted by ring over the edges of its band."""
+    heights = side.select(
+        "shape", F.col("bbox.ymin").alias("_low"), F.col("bbox.xmin").alias("_left"),
+        F.nullif((F.col("bbox.ymax") - F.col("bbox.ymin")) / F.ceil(F.col("_n") / BAND_EDGES), F.lit(0.0)).alias("_height"),
+    )
+    band = lambda y: F.floor((y - F.col("_low")) / F.col("_height"))
+    edges = topology.edge_rows(topology.part_rows(side, "shape"), "shape").join(heights, "shape")
+    e = F.col("e")
+    spans = F.sequence(band(F.least(e["y1"], e["y2"])), band(F.greatest(e["y1"], e["y2"])))
+    walls = edges.select("shape", "part", "ring", "e", F.explode(spans).alias("_band"))
+    asked = pairs.join(heights, "shape").select("spot", "shape", band(F.col("spot.y")).alias("_band"))
+    x, y = F.col("spot.x"), F.col("spot.y")
+    rings = asked.join(walls, ["shape", "_band"]).groupBy("spot", "shape", "part", "ring").agg(
+        (F.sum(geo.passes_right(e, x, y).cast("int")) % 2 == 1).alias("_odd"), F.max(geo.on_edge(x, y, e)).alias("_on")
+    )
+    shell = F.max(F.when(F.col("ring") == 0, F.col("_odd") | F.col("_on")))
+    hole = F.max(F.when(F.col("ring") > 0, F.col("_odd") & ~F.col("_on")))
+    parts = rings.groupBy("spot", "shape", "part").agg((F.coalesce(shell, F.lit(False)) & ~F.coalesce(hole, F.lit(False))).alias("_in"))
+    return parts.where("_in").select("spot", "shape").distinct()
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent, NULL when the whole is not positive."""
     return F.when(whole > 0, part / whole * 100)

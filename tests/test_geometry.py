@@ -199,7 +199,7 @@ def test_layer_result_counts_whole_and_union_once(spark):
     result = external_layer(Indexed.of(props), layer, "id", limit=4)
     assert result.records.count() == 4
     row = result.counts.first()
-    assert (row["quantidade"], row["truncada"]) == (4, True)
+    assert (row["quantidade"], row["truncada"]) == (7, True)
     full = spark.range(1).select((geo.box_area_m2(*map(F.lit, (-50.0, -10.0, -49.25, -9.0))) / 10000).alias("m")).first()["m"]
     assert result.union.first()["area_unica_sobreposta_ha"] == pytest.approx(full)
 
