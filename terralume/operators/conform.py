@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import casts, geometry as geo, overlay
+from ..functions import casts, geometry as geo
 from ..sources.delimited import first_match
 from ..specs import Dataset
+from . import spatial
 from .quality import with_flexible_dates
 
 
@@ -22,8 +23,8 @@ def map_columns(columns: list[str], dataset: Dataset) -> dict[str, str | None]:
 def canonical(df: DataFrame, dataset: Dataset, source: str, geometry: str | None = "geometry") -> DataFrame:
     """Typed canonical columns, fixed values, source, slug and load time.
 
-    A pure projection, so only the mapped columns are read. Flexible dates add
-    one pass for their profile. Geometries that cannot be repaired drop out
+    Only the mapped columns are read. Flexible dates add one pass for their profile, and rows with a
+    geometry are written once for its repair. Geometries that cannot be repaired drop out
     here and stay in the raw table.
     """
     mapping = map_columns(df.columns, dataset)
@@ -46,9 +47,9 @@ def canonical(df: DataFrame, dataset: Dataset, source: str, geometry: str | None
     ]
     if geometry is None or geometry not in df.columns:
         return typed.select(*columns)
-    moved = geo.to_geographic(overlay.made_valid(F.col(geometry)))
-    out = typed.select(*columns, F.col(geometry).alias("_raw"), moved.alias("geometry"))
-    return out.where(F.col("_raw").isNull() | F.col("geometry").isNotNull()).drop("_raw")
+    out = spatial.with_valid_geometry(typed.select(*columns, F.col(geometry).isNull().alias("_none"), F.col(geometry).alias("geometry")))
+    out = out.withColumn("geometry", geo.to_geographic(F.col("geometry")))
+    return out.where(F.col("_none") | F.col("geometry").isNotNull()).drop("_none")
 
 
 def _empty_type(kind: str) -> str:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import casts, geometry as geo, overlay, text as tx
+from ..functions import casts, geometry as geo, text as tx
+from . import spatial, topology
 
 # Temporal cut-off of the alert layer, coordinate ranges of plot points,
 # share of rows without key that is still accepted.
@@ -261,37 +262,42 @@ def key_quality(df: DataFrame, raw_key: str, limit_ratio: float = INVALID_KEY_RA
     )
 
 
+def _examined(df: DataFrame, column: str) -> DataFrame:
+    """What is wrong with each distinct invalid geometry (``fault``) and whether a repair leaves an area (``left``)."""
+    distinct = df.where(F.col("_same.shape").isNotNull()).groupBy("_same").agg(F.first(column).alias("geometry"))
+    return topology.faults(distinct, "_same")
+
+
+def _same(df: DataFrame, column: str) -> DataFrame:
+    shaped = spatial.with_shape(df, column)
+    return shaped.withColumn("_same", F.struct("shape", F.col(column)["srid"].alias("srid"))).drop("shape")
+
+
 def geometry_profile(df: DataFrame, column: str) -> DataFrame:
-    """Total, null, empty, invalid and repairable geometries."""
+    """Total, null, empty, invalid and repairable geometries; equal ones are examined once."""
+    rows = _same(df.select(column), column)
     geom = F.col(column)
-    flags = df.select(
+    flags = rows.join(_examined(rows, column), "_same", "left").select(
         geom.isNull().alias("null"),
         (geom.isNotNull() & geo.is_empty(geom)).alias("empty"),
-        (~geo.is_empty(geom) & ~geo.is_valid(geom)).alias("invalid"),
-        overlay.made_valid(geom).isNotNull().alias("repairable"),
+        F.col("fault").isNotNull().alias("invalid"),
+        (F.col("fault").isNotNull() & F.col("left")).alias("repairable"),
     )
     return flags.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("null").alias("nulas"),
         F.count_if("empty").alias("vazias"),
         F.count_if("invalid").alias("invalidas"),
-        F.count_if(F.col("invalid") & F.col("repairable")).alias("reparaveis"),
+        F.count_if("repairable").alias("reparaveis"),
     )
 
 
 def geometry_samples(df: DataFrame, key: str, column: str, samples: int = 50) -> DataFrame:
-    """First invalid geometries with a reason; every test runs once per row."""
-    geom = F.col(column)
-    open_ring = F.exists(geo.rings(geom), lambda r: ~geo.ring_closed(r) | (F.size(r) < 4))
-    flat_ring = F.exists(geo.rings(geom), lambda r: geo.planar_ring_area(r) == 0)
-    reason = (
-        F.when(geo.is_empty(geom), "vazia")
-        .when(open_ring, "anel aberto")
-        .when(geo.self_crossing(geom), "autointerseção")
-        .when(flat_ring, "sem área")
-    )
-    reasons = df.select(F.col(key), F.explode(F.array_compact(F.array(reason))).alias("motivo"))
-    return reasons.orderBy(key).limit(samples)
+    """First invalid geometries with a reason."""
+    rows = _same(df.select(key, column), column)
+    judged = rows.join(_examined(rows, column), "_same", "left")
+    reason = F.when(geo.is_empty(F.col(column)), "vazia").otherwise(F.col("fault"))
+    return judged.select(key, reason.alias("motivo")).where("motivo is not null").orderBy(key).limit(samples)
 
 
 def encoding_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

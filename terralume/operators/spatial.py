@@ -174,6 +174,17 @@ def valid_shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return materialize(first.where("_sure").select(*names).unionByName(again.select(*names)), "shapes")
 
 
+def with_valid_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """`df` with each geometry valid or repaired, and NULL where nothing with an area is left.
+
+    Equal geometries are repaired once; large ones edge by edge over many rows. The rows are written once.
+    """
+    rows = materialize(with_shape(df, geometry).withColumn("_same", F.struct("shape", F.col(geometry)["srid"].alias("srid"))).drop("shape"), "shaped")
+    distinct = rows.where(F.col("_same.shape").isNotNull()).groupBy("_same").agg(F.first(geometry).alias("geometry"))
+    fixed = topology.repaired(distinct, "_same").select("_same", F.col("geometry").alias("_fixed"))
+    return rows.join(fixed, "_same", "left").withColumn(geometry, F.col("_fixed")).drop("_same", "_fixed")
+
+
 def _chunks(side: DataFrame, name: str) -> DataFrame:
     """Runs of a shape in slices of at most CHUNK edges, ordered by x, with their x range."""
     runs = F.array_sort("runs")

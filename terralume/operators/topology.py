@@ -101,12 +101,12 @@ def _cells(edges: DataFrame, key: str) -> DataFrame:
 
 
 def meetings(edges: DataFrame, key: str) -> DataFrame:
-    """Pairs of edges (``a``, ``b``) of a shape that meet: their ``points`` and what is wrong with it (``fault``)."""
+    """Pairs of edges (``_a``, ``_b``) of a shape that meet: their ``points`` and what is wrong with it (``fault``)."""
     cells = _cells(edges, key)
     names = ("part", "ring", "n", "id", "seq", "e")
-    one, two = (cells.select(key, "_c", F.struct(*names).alias(s)) for s in "ab")
-    pairs = one.join(two, [key, "_c"]).where("a.id < b.id").drop("_c")
-    a, b = F.col("a.e"), F.col("b.e")
+    one, two = (cells.select(key, "_c", F.struct(*names).alias(s)) for s in ("_a", "_b"))
+    pairs = one.join(two, [key, "_c"]).where("_a.id < _b.id").drop("_c")
+    a, b = F.col("_a.e"), F.col("_b.e")
     a1, a2 = _turn(b, a["x1"], a["y1"]), _turn(b, a["x2"], a["y2"])
     b1, b2 = _turn(a, b["x1"], b["y1"]), _turn(a, b["x2"], b["y2"])
     pairs = pairs.where(geo.edges_meet(a, b)).withColumns({"a1": a1, "a2": a2, "b1": b1, "b2": b2})
@@ -117,13 +117,13 @@ def meetings(edges: DataFrame, key: str) -> DataFrame:
         *[F.when(~proper & geo.on_edge(e[f"x{k}"], e[f"y{k}"], o), geo.point(e[f"x{k}"], e[f"y{k}"])) for e, o in ((a, b), (b, a)) for k in (1, 2)],
     )
     met = pairs.withColumn("points", F.array_distinct(F.filter(found, lambda p: p.isNotNull()))).where(F.size("points") > 0)
-    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.ring") == F.col("b.ring"))
-    apart = F.col("b.seq") - F.col("a.seq")
-    neighbours = same & ((apart == 1) | (apart == F.col("a.n") - 1))
+    same = (F.col("_a.part") == F.col("_b.part")) & (F.col("_a.ring") == F.col("_b.ring"))
+    apart = F.col("_b.seq") - F.col("_a.seq")
+    neighbours = same & ((apart == 1) | (apart == F.col("_a.n") - 1))
     fault = (
         F.when(proper, CROSSING).when(F.size("points") > 1, SHARED).when(same & ~neighbours, TOUCHING)
     )
-    return met.select(key, "a", "b", "points", fault.alias("fault"))
+    return met.select(key, "_a", "_b", "points", fault.alias("fault"))
 
 
 def pieces(edges: DataFrame, met: DataFrame, key: str) -> DataFrame:
@@ -133,7 +133,7 @@ def pieces(edges: DataFrame, met: DataFrame, key: str) -> DataFrame:
     the rings that do so an odd number of times.
     """
     ends = lambda e: (geo.point(e["x1"], e["y1"]), geo.point(e["x2"], e["y2"]))
-    hits = met.select(key, F.explode(F.array("a.id", "b.id")).alias("id"), "points").withColumn("point", F.explode("points"))
+    hits = met.select(key, F.explode(F.array("_a.id", "_b.id")).alias("id"), "points").withColumn("point", F.explode("points"))
     hits = hits.groupBy(key, "id").agg(F.collect_set("point").alias("cuts"))
     e = F.col("e")
     first, last = ends(e)
@@ -183,7 +183,7 @@ def outline(sides: DataFrame, key: str) -> DataFrame:
 
 def _split_interiors(met: DataFrame, key: str) -> DataFrame:
     """Parts whose rings touch in a circle: the points of contact link rings, and one links two that are linked already."""
-    touch = met.where("a.part = b.part and a.ring <> b.ring").select(key, F.col("a.part").alias("part"), F.explode("points").alias("p"), F.array("a.ring", "b.ring").alias("_r"))
+    touch = met.where("_a.part = _b.part and _a.ring <> _b.ring").select(key, F.col("_a.part").alias("part"), F.explode("points").alias("p"), F.array("_a.ring", "_b.ring").alias("_r"))
     at = touch.groupBy(key, "part", "p").agg(F.array_distinct(F.flatten(F.collect_list("_r"))).alias("_r"))
     lists = at.groupBy(key, "part").agg(F.collect_list("_r").alias("_all"))
     start = F.struct(F.array().cast("array<array<int>>").alias("groups"), F.lit(False).alias("circle"))
@@ -306,23 +306,38 @@ def polygons(rings: DataFrame, key: str, srid: int = 4326) -> DataFrame:
     return parts.groupBy(key).agg(F.sort_array(F.collect_list("part")).alias("_parts")).select(key, geo.geometry(F.col("_parts"), srid=srid).alias("geometry"))
 
 
+def _doubtful(df: DataFrame, key: str, geometry: str) -> tuple[DataFrame, DataFrame]:
+    """All shapes with coordinates, written once, and those that are not valid at first sight."""
+    rows = df.select(key, F.col(geometry).alias("geometry")).withColumn("_sure", surely_valid(F.col("geometry")))
+    rows = materialize(rows.where(~geo.is_empty(F.col("geometry"))), "shapes")
+    return rows, rows.where("not _sure")
+
+
+def faults(df: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
+    """``key``, ``fault``, ``left`` of every invalid shape: the reason, and whether any area is left. No ring is rebuilt."""
+    _, doubtful = _doubtful(df, key, geometry)
+    if doubtful.isEmpty():
+        return doubtful.select(key, F.lit("").alias("fault"), F.lit(False).alias("left"))
+    found, edges = examined(doubtful, key)
+    lasting = edges.select(key).distinct().withColumn("left", F.lit(True))
+    return found.join(lasting, key, "left").select(key, "fault", F.coalesce("left", F.lit(False)).alias("left"))
+
+
 def repaired(df: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
     """``key``, ``geometry``, ``fault`` (null when valid): valid shapes oriented, others rebuilt from their outline.
 
     Single small rings are told valid in their row; only the others have their edges joined. Shapes without
     area are missing from the result. Keys are distinct.
     """
-    rows = df.select(key, F.col(geometry).alias("geometry")).withColumn("_sure", surely_valid(F.col("geometry")))
-    rows = materialize(rows.where(~geo.is_empty(F.col("geometry"))), "shapes")
+    rows, doubtful = _doubtful(df, key, geometry)
     fine = lambda d: d.select(key, geo.oriented(F.col("geometry")).alias("geometry"), F.lit(None).cast("string").alias("fault"))
-    doubtful = rows.where("not _sure")
     if doubtful.isEmpty():
         return fine(rows)
-    faults, edges = examined(doubtful, key)
-    faults = materialize(faults, "faults")
-    valid = fine(rows.where("_sure").unionByName(doubtful.join(faults, key, "left_anti")))
-    if faults.isEmpty():
+    wrong, edges = examined(doubtful, key)
+    wrong = materialize(wrong, "wrong")
+    valid = fine(rows.where("_sure").unionByName(doubtful.join(wrong, key, "left_anti")))
+    if wrong.isEmpty():
         return valid
-    made = polygons(stitched(materialize(edges.join(faults, key, "left_semi"), "outline"), key), key).withColumnRenamed("geometry", "_made")
-    same = doubtful.select(key, F.col("geometry.srid").alias("_srid")).join(faults, key).join(made, key)
+    made = polygons(stitched(materialize(edges.join(wrong, key, "left_semi"), "outline"), key), key).withColumnRenamed("geometry", "_made")
+    same = doubtful.select(key, F.col("geometry.srid").alias("_srid")).join(wrong, key).join(made, key)
     return valid.unionByName(same.select(key, F.col("_made").withField("srid", F.col("_srid")).alias("geometry"), "fault"))

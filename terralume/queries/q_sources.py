@@ -164,13 +164,16 @@ def kml_plots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "U8 S11",
-    sql=f"with {roles.UNITS_SQL} select uc_id, (x1 - x0) * (y1 - y0) as planar from units",
+    "U8 S11 G11",
+    sql=f"with {roles.UNITS_SQL} select uc_id, (x1 - x0) * (y1 - y0) as planar, 1 as partes, 1 as aneis, 5 as vertices from units",
 )
 def kml_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlapping polygons of one document become their union."""
-    k = _kml(spark, sf)
-    return k.select("uc_id", geo.planar_area(shapes_text.kml_geometry(F.col("xml"))).alias("planar"))
+    """Overlapping polygons of one document become their union, one outline without inner borders."""
+    union, g = shapes_text.kml_unions(_kml(spark, sf), "uc_id", "xml"), F.col("geometry")
+    return union.select(
+        "uc_id", geo.planar_area(g).alias("planar"), F.size(g["parts"]).alias("partes"),
+        F.size(geo.rings(g)).alias("aneis"), F.size(geo.vertices(g)).alias("vertices"),
+    )
 
 
 @query(

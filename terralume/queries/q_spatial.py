@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry as geo, overlay
 from ..operators import spatial
 from ..operators.confront import Indexed, other_properties
+from ..session import materialize
 from . import roles
 from .registry import query, table
 
@@ -136,9 +137,7 @@ def overlap_other_properties(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "A9 U8",
-    sql=f"""with {roles.PROPERTIES_SQL}, {roles.EMBARGO_SQL}, {pairs_sql("embargo", "seq_tad")},
+_UNION_SQL = f"""with {roles.PROPERTIES_SQL}, {roles.EMBARGO_SQL}, {pairs_sql("embargo", "seq_tad")},
     kept as (select distinct cod_imovel, ix0, iy0, ix1, iy1 from areas where m2 > 1.0),
     ys as (select cod_imovel, iy0 as y from kept union select cod_imovel, iy1 from kept),
     slabs as (select cod_imovel, y as ya, lead(y) over (partition by cod_imovel order by y) as yb from ys),
@@ -147,7 +146,12 @@ def overlap_other_properties(spark: SparkSession, sf: str) -> DataFrame:
       from slabs s join kept k on s.cod_imovel = k.cod_imovel and k.iy0 <= ya and k.iy1 >= yb where yb is not null)
     select cod_imovel, round(sum(greatest(0, ix1 - greatest(ix0, coalesce(seen, ix0)))
       * ({q_sql("yb")} - {q_sql("ya")}) * {_K!r}::double) / 10000, 3) as area_unica_ha
-    from spans group by 1""",
+    from spans group by 1"""
+
+
+@query(
+    "A9 U8",
+    sql=_UNION_SQL,
     bench=True,
 )
 def union_area_per_property(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,6 +165,18 @@ def union_area_per_property(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("A9 U8 G11", sql=_UNION_SQL)
+def union_shape_per_property(spark: SparkSession, sf: str) -> DataFrame:
+    """The covered part of each property as polygons, measured."""
+    from ..operators import topology
+
+    props, _, ps, fs = sides(spark, sf, roles.embargo_layer(spark, sf))
+    pieces = spatial.intersection_shapes(spatial.shape_overlaps(ps, fs), ps, fs)
+    united = topology.dissolved(pieces.select("a", "geometry"), "a")
+    measured = united.select("a", F.round(geo.area_m2(F.col("geometry")) / 10000, 3).alias("area_unica_ha"))
+    return props.select(F.col("shape").alias("a"), "cod_imovel").join(measured, "a").select("cod_imovel", "area_unica_ha")
+
+
 def _point_table(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     lon = F.lit(-72.0) + (F.col("event_id") * 37 % 1024) / 32
@@ -329,12 +345,124 @@ _SHAPE_AREA = """case categoria_manejo when 'ECONOMY' then (x1 - x0) * (y1 - y0)
 )
 def validity_and_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Bow-ties become two triangles, valid shapes stay."""
-    s = _shaped(spark, sf)
-    return s.select(
-        "uc_id",
-        geo.is_valid(F.col("geometry")).alias("valida"),
-        geo.planar_area(overlay.made_valid(F.col("geometry"))).alias("area"),
+    from ..operators import topology
+
+    fixed = topology.repaired(_shaped(spark, sf).select("uc_id", "geometry"), "uc_id")
+    return fixed.select("uc_id", F.col("fault").isNull().alias("valida"), geo.planar_area(F.col("geometry")).alias("area"))
+
+
+def _inset(x0, y0, x1, y1, left: float, low: float, right: float, high: float):
+    """Ring of a box given in shares of another."""
+    w, h = x1 - x0, y1 - y0
+    return F.get(F.get(geo.box_geometry(x0 + w * left, y0 + h * low, x0 + w * right, y0 + h * high)["parts"], F.lit(0)), F.lit(0))
+
+
+# Parts and rings in shares of the unit's box: what is valid, and parts, rings and share of the area after repair.
+_PART_CLASSES = [
+    ([[(0, 0, 1, 1), (0.25, 0.25, 0.75, 0.75)]], (True, 1, 2, 0.75)),
+    ([[(0, 0, 1, 1)], [(2, 0, 3, 1)]], (True, 2, 2, 2)),
+    ([[(0, 0, 1, 1)], [(0.25, 0.25, 0.75, 0.75)]], (False, 1, 1, 1)),
+    ([[(0, 0, 1, 1)], [(0, 0, 1, 1)]], (False, 1, 1, 1)),
+    ([[(0, 0, 1, 1), (2, 2, 3, 3)]], (False, 1, 1, 1)),
+    ([[(0, 0, 1, 1), (0.25, 0.25, 0.75, 0.75)], [(0.375, 0.375, 0.625, 0.625)]], (True, 2, 3, 0.8125)),
+    ([[(0, 0, 1, 1), (0.5, 0.25, 1.5, 0.5)]], (False, 1, 1, 0.875)),
+    ([[(0, 0, 1, 1)], [(1, 0, 2, 1)]], (False, 1, 1, 2)),
+    ([[(0, 0, 1, 1)], [(1, 1, 2, 2)]], (True, 2, 2, 2)),
+    ([[(0, 0, 1, 1)], [(0.5, 0.5, 1.5, 1.5)]], (False, 1, 1, 1.75)),
+]
+_PART_VALUES = ", ".join(f"({k}, {v}, {p}, {r}, {a}::double)" for k, (_, (v, p, r, a)) in enumerate(_PART_CLASSES))
+
+
+def _of_parts(spark: SparkSession, sf: str, classes: list) -> DataFrame:
+    """Units whose box is replaced by the class of shape that their number names."""
+    u = roles.units_layer(spark, sf).withColumn("b", geo.bbox(F.col("geometry")))
+    box = [F.col(f"b.{k}") for k in ("xmin", "ymin", "xmax", "ymax")]
+    kinds = [geo.geometry(F.array(*[F.array(*[_inset(*box, *r) for r in part]) for part in parts])) for parts, *_ in classes]
+    chosen = F.coalesce(*[F.when(F.col("uc_id") % len(classes) == k, g) for k, g in enumerate(kinds)])
+    return materialize(u.select("uc_id", chosen.alias("geometry")), "parts")
+
+
+@query(
+    "G7 G8 G5",
+    sql=f"""with {roles.UNITS_SQL}, c(k, valida, partes, aneis, share) as (values {_PART_VALUES})
+    select uc_id, valida, partes, aneis, (x1 - x0) * (y1 - y0) * share as area from units join c on uc_id % {len(_PART_CLASSES)} = k""",
+)
+def validity_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Holes, nested, equal and touching parts: judged, and repaired to what they cover."""
+    from ..operators import topology
+
+    fixed, g = topology.repaired(_of_parts(spark, sf, _PART_CLASSES), "uc_id"), F.col("geometry")
+    return fixed.select(
+        "uc_id", F.col("fault").isNull().alias("valida"), F.size(g["parts"]).alias("partes"),
+        F.size(geo.rings(g)).alias("aneis"), geo.planar_area(g).alias("area"),
+    )
+
+
+# A hole, a second part, and a repeated part; their boxes as SQL.
+_JOINED_CLASSES = [([[(0, 0, 1, 1), (0.25, 0.25, 0.75, 0.75)]],), ([[(0, 0, 1, 1)], [(2, 0, 3, 1)]],), ([[(0, 0, 1, 1)], [(0, 0, 1, 1)]],)]
+_JOINED_SQL = f"""{roles.UNITS_SQL}, boxed as (
+  select uc_id, uc_id % 3 as k, x0 as sx0, y0 as sy0, x1 as sx1, y1 as sy1,
+    case uc_id % 3 when 0 then x0 + (x1 - x0) * 0.25::double when 1 then x0 + (x1 - x0) * 2 end as tx0,
+    case uc_id % 3 when 0 then x0 + (x1 - x0) * 0.75::double when 1 then x0 + (x1 - x0) * 3 end as tx1,
+    case uc_id % 3 when 0 then y0 + (y1 - y0) * 0.25::double when 1 then y0 end as ty0,
+    case uc_id % 3 when 0 then y0 + (y1 - y0) * 0.75::double when 1 then y1 end as ty1 from units)"""
+_TOUCH = "p.x0 <= {0}x1 and {0}x0 <= p.x1 and p.y0 <= {0}y1 and {0}y0 <= p.y1"
+
+
+@query(
+    "G10 J4 J6",
+    sql=f"""with {roles.PROPERTIES_SQL}, {_JOINED_SQL}
+    select cod_imovel, uc_id from properties p join boxed on ({_TOUCH.format("s")}
+        and not (k = 0 and p.x0 > tx0 and p.x1 < tx1 and p.y0 > ty0 and p.y1 < ty1)) or (k = 1 and {_TOUCH.format("t")})""",
+)
+def contacts_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties that touch any part of a unit; one within a hole does not."""
+    props, feats, ps, fs = sides(spark, sf, _of_parts(spark, sf, _JOINED_CLASSES))
+    met = spatial.shape_contacts(ps, fs)
+    mine = props.select(F.col("shape").alias("a"), "cod_imovel")
+    return mine.join(met, "a").join(feats.select(F.col("shape").alias("b"), "uc_id"), "b").select("cod_imovel", "uc_id")
+
+
+def _common_m2(box: str) -> str:
+    x0, y0, x1, y1 = f"greatest(p.x0, {box}x0)", f"greatest(p.y0, {box}y0)", f"least(p.x1, {box}x1)", f"least(p.y1, {box}y1)"
+    return f"case when {x0} < {x1} and {y0} < {y1} then {box_m2(x0, y0, x1, y1)} else 0 end"
+
+
+@query(
+    "G10 G11 G15 J1",
+    sql=f"""with {roles.PROPERTIES_SQL}, {_JOINED_SQL}, areas as (
+      select cod_imovel, uc_id, {_common_m2("s")} + case k when 0 then -({_common_m2("t")}) when 1 then {_common_m2("t")} else 0 end as m2,
+        {box_m2("sx0", "sy0", "sx1", "sy1")} + case k when 0 then -({box_m2("tx0", "ty0", "tx1", "ty1")}) when 1 then {box_m2("tx0", "ty0", "tx1", "ty1")} else 0 end as whole
+      from properties p join boxed on ({_TOUCH.format("s")}) or (k = 1 and {_TOUCH.format("t")}))
+    select cod_imovel, uc_id, round(m2 / 10000, 3) as area_sobreposta_ha, round(m2 / whole * 100, 4) as percentual_fonte from areas where m2 > 1.0""",
+)
+def overlaps_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Shared area with units of several rings: holes subtract, a repeated part counts once."""
+    props, feats, ps, fs = sides(spark, sf, _of_parts(spark, sf, _JOINED_CLASSES))
+    whole = spatial.shape_areas(fs).withColumnRenamed("shape", "b")
+    rows = (
+        props.select(F.col("shape").alias("a"), "cod_imovel").join(spatial.shape_overlaps(ps, fs), "a").join(whole, "b")
+        .join(feats.select(F.col("shape").alias("b"), "uc_id"), "b")
     )
+    return rows.select(
+        "cod_imovel", "uc_id", F.round(F.col("area_m2") / 10000, 3).alias("area_sobreposta_ha"),
+        F.round(spatial.percent(F.col("area_m2"), F.col("m2")), 4).alias("percentual_fonte"),
+    )
+
+
+@query(
+    "G12 J3",
+    sql=f"""with {_JOINED_SQL}, pts as (
+      select event_id, -72.0::double + (event_id * 37 % 1024) / 32 as x, -32.0::double + (event_id * 91 % 1021) / 32 as y from events)
+    select event_id, uc_id from pts join boxed on (x between sx0 and sx1 and y between sy0 and sy1
+        and not (k = 0 and x > tx0 and x < tx1 and y > ty0 and y < ty1)) or (k = 1 and x between tx0 and tx1 and y between ty0 and ty1)""",
+)
+def points_in_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Units that hold a point in any part and in none of its holes."""
+    feats = spatial.with_shape(_of_parts(spark, sf, _JOINED_CLASSES))
+    side = spatial.distinct_shapes(feats).withColumn("bbox", geo.bbox(F.col("geometry")))
+    hits = spatial.points_in_shapes(_point_table(spark, sf), materialize(side.select("shape", "geometry", "bbox"), "outlines"), "event_id")
+    return hits.join(feats.select("shape", "uc_id"), "shape").select("event_id", "uc_id")
 
 
 @query(

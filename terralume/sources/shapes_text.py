@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import geometry as geo, overlay, text as tx
+from ..functions import geometry as geo, text as tx
+from ..operators import spatial, topology
 
 # Keys searched first in a JSON answer, accepted resource formats, limits.
 WKT_KEYS = (
@@ -28,29 +29,12 @@ def wkt_in_json(document: Column) -> Column:
     return F.trim(found, F.lit("\" \n\r\t}]"))
 
 
-def _apart(members: Column) -> Column:
-    """No two members have boxes with a common area."""
-    boxes = F.transform(members, lambda m, i: F.struct(i.alias("i"), geo.bbox(geo.geometry(m)).alias("b")))
-    meet = lambda a, b: (
-        (a["xmin"] < b["xmax"]) & (b["xmin"] < a["xmax"]) & (a["ymin"] < b["ymax"]) & (b["ymin"] < a["ymax"])
-    )
-    return geo.bound(
-        boxes, lambda bs: ~F.exists(bs, lambda x: F.exists(bs, lambda y: (y["i"] > x["i"]) & meet(x["b"], y["b"])))
-    )
-
-
 def read_wkt(df: DataFrame, column: str, srid: int = 4674) -> DataFrame:
     """Add `geometry` (valid multi-polygon or NULL) and `motivo` for rows without one."""
     parsed = df.withColumn("_m", geo.wkt_members(F.col(column)))
     parsed = parsed.withColumn("_g", F.when(F.col("_m").isNotNull(), geo.geometry(F.flatten("_m"), srid=srid)))
-    # Members of a collection are repaired each; what they share counts once.
-    sound = F.transform("_m", lambda m: overlay.made_valid(geo.geometry(m, srid=srid))["parts"])
-    parsed = parsed.withColumn("_s", F.when(F.size("_m") > 1, F.array_compact(sound)))
-    joined = geo.geometry(F.flatten("_s"), srid=srid)
-    union = geo.geometry(overlay.union(overlay.rises(joined))["parts"], srid=srid)
-    collected = F.when(_apart(F.col("_s")), joined).otherwise(union)
-    collected = F.when(F.size(collected["parts"]) > 0, collected)
-    fixed = parsed.withColumn("geometry", F.when(F.size("_m") > 1, collected).otherwise(overlay.made_valid(F.col("_g"))))
+    # What members of a collection share counts once, as with the parts of any shape.
+    fixed = spatial.with_valid_geometry(parsed.drop("_m").withColumn("geometry", F.col("_g")))
     empty = F.trim(F.coalesce(column, F.lit(""))) == ""
     reason = (
         F.when(empty, "WKT vazio")
@@ -59,7 +43,7 @@ def read_wkt(df: DataFrame, column: str, srid: int = 4674) -> DataFrame:
         .when(~geo.in_world(F.col("geometry")), "Coordenadas fora dos limites")
     )
     judged = fixed.withColumn("motivo", reason)
-    return judged.withColumn("geometry", F.when(F.col("motivo").isNull(), F.col("geometry"))).drop("_g", "_m", "_s")
+    return judged.withColumn("geometry", F.when(F.col("motivo").isNull(), F.col("geometry"))).drop("_g")
 
 
 _RINGS = r"(?is)<(?:\w+:)?coordinates[^>]*>(.*?)</(?:\w+:)?coordinates>"
@@ -77,10 +61,13 @@ def kml_polygons(xml: Column) -> Column:
     return F.transform(_tagged(xml, "Polygon"), lambda p: part(p))
 
 
-def kml_geometry(xml: Column) -> Column:
-    """Union of all polygons of a KML text."""
-    shape = geo.oriented(geo.geometry(kml_polygons(xml)))
-    return overlay.union(overlay.rises(shape))
+def kml_unions(documents: DataFrame, key: str, xml: str) -> DataFrame:
+    """``key``, ``geometry``: the union of all polygons of each KML text, without inner borders.
+
+    Polygons of a document meet edge by edge over many rows. Documents without area are missing.
+    """
+    shapes = documents.select(key, geo.geometry(kml_polygons(F.col(xml))).alias("geometry"))
+    return topology.dissolved(shapes, key)
 
 
 def kml_plots(documents: DataFrame, key: str, xml: str) -> DataFrame:
