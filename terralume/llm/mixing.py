@@ -62,7 +62,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     names = {n: free_name(docs.columns, n) for n in ("size", "source_size", "target", "copies")}
     # Own columns get a prefix that no column of ``docs`` has.
     p = free_name([c[: len("mix_")] for c in docs.columns], "mix_")
-    order = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    order = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.withColumns({f"{p}source": F.col(f"`{source}`"), f"{p}size": word_count(F.col(f"`{text}`")), f"{p}order": order})
     rows = rows.withColumns({
         f"{p}class": size_class(F.col(f"{p}size")),

@@ -73,8 +73,7 @@ def line_verdict(line: Column, words: Column) -> Column:
     """Name of the first rule that a line with words breaks, or null."""
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     shouted = F.regexp_count(line, F.lit(r"[!?]{2,}"))
-    end = F.substring(F.rtrim(line, F.lit(SPACES)), -3, 3)
-    ended = end.rlike(r"[.!?…:;。！？][\"'”’»)\]]*$")
+    ended = F.rtrim(line, F.lit(SPACES)).rlike(r"[.!?…:;。！？][\"'”’»)\]]*+$")
     return (
         F.when((5 * symbols > words) | (5 * shouted > words), F.lit("punctuation"))
         .when((words < 4) & ~ended, F.lit("navigation"))

@@ -57,7 +57,7 @@ again as (select doc_id, unnest(list(i)) as i from windows group by doc_id, g ha
 covered as (select doc_id, count(distinct i + k) as n from again, (values (0), (1), (2)) as s(k) group by 1),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
 counted as (select doc_id, line, len(regexp_extract_all(line, '{WORD}')) as n, len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols,
-  len(regexp_extract_all(line, '[!?]{{2,}}')) as shouted, regexp_matches(right(rtrim(line, {_BLANKS}), 3), '[.!?…:;。！？]["''”’»)\]]*$') as ended from lines),
+  len(regexp_extract_all(line, '[!?]{{2,}}')) as shouted, regexp_matches(rtrim(line, {_BLANKS}), '[.!?…:;。！？]["''”’»)\]]*$') as ended from lines),
 judged as (select doc_id, count(*) filter (n > 0) - count(distinct line) filter (n > 0) as dup,
   sum(n) filter (not (5 * symbols > n or 5 * shouted > n or (n < 4 and not ended) or (n < 30 and regexp_matches(lower(line), '{_FURNITURE}')))) as rest from counted group by 1),
 all_of as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,9 @@ from .common import dealt, get_file, put_file
 
 SKIPPABLE = 0x184D2A5D  # fixed value: magic number of the frame that carries the dictionary
 ARCHIVE_BYTES = 24 << 20  # records of an archive before compression; a longer record has its own archive
-SAMPLE_BYTES = 1 << 20  # records a dictionary is built from, spread evenly over its archive
+SAMPLE_BYTES = 1 << 20  # slices of records that a dictionary is built from, spread evenly over its archive
+SLICE_BYTES = 4 << 10
+FED_BYTES = 16 << 10  # bytes that a frame is fed at a time
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
 
@@ -70,17 +73,23 @@ def one_line(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
 
 
+def slices(records: list[bytes], most: int) -> list[bytes]:
+    """Slices of about ``most`` bytes in all, evenly spaced over the whole of all records."""
+    count = sum(-(-len(r) // SLICE_BYTES) for r in records)
+    step = max(1, -(-count * SLICE_BYTES // most))
+    cut = (r[k : k + SLICE_BYTES] for r in records for k in range(0, len(r), SLICE_BYTES))
+    return list(itertools.islice(cut, 0, None, step))
+
+
 def archive_bytes(records: list[bytes]) -> Iterator[bytes]:
     """An archive file: the dictionary in a skippable frame, then a frame for each record."""
     import zstandard
 
-    total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    sample = [r[: SAMPLE_BYTES // 8] for r in records[::step]]
+    sample = slices(records, SAMPLE_BYTES)
     try:
         dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=200, d=8)
     except zstandard.ZstdError:  # too few records to train from: the records themselves
-        raw = b"".join(sample)[:DICTIONARY_BYTES]
+        raw = b"".join(slices(records, DICTIONARY_BYTES))
         dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data = dictionary.as_bytes()
     yield SKIPPABLE.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data
@@ -100,9 +109,14 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + size])
     engine, rest = zstandard.ZstdDecompressor(dict_data=dictionary), memoryview(data)[8 + size :]
     while len(rest):
-        frame = engine.decompressobj()
-        record = frame.decompress(rest)
-        rest = rest[len(rest) - len(frame.unused_data) :]
+        # Fed in small runs: what lies behind a frame is copied when it ends.
+        frame, parts = engine.decompressobj(), []
+        while not frame.eof:
+            if not len(rest):
+                raise ValueError("a record is cut off")
+            parts.append(frame.decompress(rest[:FED_BYTES]))
+            rest = rest[min(FED_BYTES, len(rest)) - len(frame.unused_data) :]
+        record = b"".join(parts)
         head, _, body = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         yield fields, body[: int(fields["Content-Length"])]
