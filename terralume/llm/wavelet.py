@@ -27,6 +27,7 @@ MAGIC = b"WVMATRX2"
 SHARD_TOKENS = 1 << 20  # a shard is closed at this many ids; a longer document has its own
 BLOCK_BITS = 512
 RUN = 1 << 16  # values that are parted at a time
+BATCH_CHARS = 4_000_000  # characters encoded at a time: larger batches repeat more pieces
 
 
 class WaveletMatrix:
@@ -225,7 +226,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         for frame in frames:
             kind = frame.schema.field(0).type
             names, texts, done = frame.column(0).to_pylist(), frame.column(1).to_pylist(), []
-            for low, high in batches(texts):
+            for low, high in batches(texts, BATCH_CHARS):
                 for name, ids in zip(names[low:high], encoder(path).batch(texts[low:high]), strict=True):
                     keys.append(name)
                     found.append(ids + end_id.to_bytes(4, "little"))
