@@ -22,6 +22,7 @@ from terralume.session import materialize
 from .tokens import batches, encoder
 
 LENGTH = 2048
+KEPT_PIECES = 200_000  # pieces a worker keeps: in the pipeline it also holds what other stages keep
 ROUNDS = 4  # times the program is solved, each time for what rounding has left
 STEPS = 40  # weight updates in a round
 BONUS = 0.003  # most that a weight adds to the worth of a length, which is its share of a sequence
@@ -53,7 +54,7 @@ def cut_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             texts = frame.column(1).to_pylist()
             for low, high in batches(texts):
                 rows = []
-                for i, ids in enumerate(encoder(path).batch(texts[low:high]), low):
+                for i, ids in enumerate(encoder(path, kept=KEPT_PIECES).batch(texts[low:high]), low):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % length + 1, n + 1, length)]

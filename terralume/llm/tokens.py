@@ -28,10 +28,10 @@ OTHER_SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers.
 
-    With ``plain`` the strings of added tokens are ordinary text.
+    With ``plain`` the strings of added tokens are ordinary text. ``kept`` bounds the store of pieces.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, kept: int = KEPT_PIECES):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -53,6 +53,7 @@ class Encoder:
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.id_bytes[number] = len(token)
+        self.kept = kept
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -80,7 +81,7 @@ class Encoder:
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of distinct pieces, from those met before and the library."""
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > self.kept:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         found = [known.get(p) for p in pieces]
@@ -153,8 +154,8 @@ class Encoder:
         return out
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
-    return worker_state(f"encoder {path} {plain}", lambda: Encoder(path, plain))
+def encoder(path: str, plain: bool = False, kept: int = KEPT_PIECES) -> Encoder:
+    return worker_state(f"encoder {path} {plain} {kept}", lambda: Encoder(path, plain, kept))
 
 
 def batches(texts: list[str | None], chars: int = 1_000_000) -> Iterable[tuple[int, int]]:
