@@ -3,14 +3,16 @@
 A configuration is a multiset of lengths that fits a sequence. The program asks for the fewest
 sequences whose configurations hold the histogram of lengths. It has a row per length (at most
 ``length`` of them, whatever the corpus) and is solved by multiplicative weights: lengths that are
-behind gain weight, and a knapsack over the capacity prices the best configuration. The solution
-is rounded down, the program is solved again for what is left, and the last remainder is put
-into the sequences with least space left. Only the histogram reaches the driver; pieces find
-their place by their rank among those of equal length.
+behind gain price, and a knapsack over the capacity finds the best configuration at these dual
+prices, which also prove how many sequences are needed at least. The solution is rounded down,
+the program is solved again for what is left, and the last remainder is put into the sequences
+with least space left. Only the histogram reaches the driver; pieces find their place by their
+rank among those of equal length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,8 +26,11 @@ from .tokens import batches, encoder
 LENGTH = 2048
 KEPT_PIECES = 200_000  # pieces a worker keeps: in the pipeline it also holds what other stages keep
 ROUNDS = 4  # times the program is solved, each time for what rounding has left
-STEPS = 40  # weight updates in a round
-BONUS = 0.003  # most that a weight adds to the worth of a length, which is its share of a sequence
+STEPS = 40  # price updates in a round
+RATE = 0.3  # how fast the price of a length that is behind grows
+STEPPED = 19  # stepped prices tried at the start, up to pieces just over a twentieth
+FILL = 0.02  # part of a starting price that is the share of a sequence
+LONG_FIRST = 0.0015  # how much more a length is worth that fills a sequence
 RANK_CELLS = 1024  # cells that pieces of equal length are dealt to for ranking
 
 
@@ -68,58 +73,108 @@ def cut_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
 
 def best_fill(value, capacity: int):
-    """Knapsack: for each capacity the length to take first, 0 for none; ``value[l]`` is the worth of ``l``."""
+    """Knapsack: the best worth and the length to take first (0 for none) of each capacity.
+
+    ``value[l]`` is the worth of length ``l``; what is not above zero is never taken.
+    """
     import numpy as np
 
     best, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    lengths = np.flatnonzero(value > 0)
+    if (capacity / np.maximum(lengths, 1)).sum() < capacity // 2:  # few lengths: block after block of each
+        for length in lengths.tolist():
+            for low in range(length, capacity + 1, length):
+                high = min(low + length, capacity + 1)
+                total = best[low - length : high - length] + value[length]
+                better = total > best[low:high]
+                best[low:high][better], first[low:high][better] = total[better], length
+        return best, first
     worth = value[1:]
     for room in range(1, capacity + 1):
         total = worth[:room] + best[room - 1 :: -1] if room > 1 else worth[:1]
         k = int(np.argmax(total))
         if total[k] > 0:
             best[room], first[room] = total[k], k + 1
-    return first
+    return best, first
+
+
+def start_prices(counts, capacity: int):
+    """Dual prices to start from and the bound they prove: the best of some known feasible ones.
+
+    A length is worth its share of a sequence, or ``floor((k + 1) * share) / k``, which is right where
+    pieces lie just over a half, a third and so on. Any prices prove that at least their sum over all
+    pieces, divided by the worth of the best configuration, sequences are needed.
+    """
+    import numpy as np
+
+    lengths = np.arange(capacity + 1)
+    share = lengths / capacity
+    found = [(proved(counts, share, capacity), share)]
+    for k in range(1, STEPPED + 1):
+        steps = (k + 1) * lengths
+        prices = np.where(steps % capacity == 0, share, steps // capacity / k)
+        found.append((proved(counts, prices, capacity), prices))
+    bound, prices = max(found, key=lambda x: x[0])
+    return prices, bound
 
 
-def solve(counts, capacity: int) -> dict[tuple[int, ...], float]:
-    """A fractional solution: how many sequences of each configuration hold ``counts[length]``.
+def proved(counts, prices, capacity: int) -> float:
+    """Least number of sequences that ``prices`` prove for ``counts`` (index 0 unused)."""
+    import numpy as np
+
+    best, _ = best_fill(np.where(counts > 0, prices, 0.0), capacity)
+    return float((counts * prices).sum() / best[capacity]) if best[capacity] > 0 else 0.0
+
+
+def solve(counts, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """A fractional solution, as sequences of each configuration that hold ``counts``, and a proved bound.
 
-    In each step every length shall get on by an equal share. Multiplicative weights favour those
-    behind, one knapsack prices the best fill of every capacity, and each length still behind takes
-    the configuration of itself and the best fill of the rest.
+    In each step every length shall get on by an equal share. The dual price of a length that is behind
+    grows, that of one ahead falls, by a factor of its distance from the mean; one knapsack over the
+    prices finds the best fill of every capacity, and with it the best configuration that holds a given
+    length. Each length still behind takes its own. The prices of each step prove a bound; the best is kept.
     """
     import numpy as np
 
     plan: dict[tuple[int, ...], float] = {}
     left = counts.astype(float)
-    weight = np.ones(capacity + 1)
     lengths = np.flatnonzero(counts)
+    base, bound = start_prices(counts, capacity)
+    share = np.arange(capacity + 1) / capacity
+    # Room that is worth nothing is filled all the same, and among equals the long pieces come first.
+    base = ((1 - FILL) * base + FILL * share) * (1 + LONG_FIRST * share)
+    weight = np.zeros(capacity + 1)
     for step in range(STEPS):
         open_ = np.flatnonzero(left > 1e-9)
         if not len(open_):
             break
-        worth = np.full(capacity + 1, -1.0)
-        # A little more for long pieces: short ones are kept for the gaps that come last.
-        worth[open_] = open_ / capacity * (1 + BONUS * (weight[open_] / weight[open_].max() + open_ / capacity) / 2)
-        first = best_fill(worth, capacity).tolist()
+        prices = base * np.exp(weight)
+        worth = np.zeros(capacity + 1)
+        worth[open_] = prices[open_]
+        best, first = best_fill(worth, capacity)
+        if len(open_) == len(lengths):
+            bound = max(bound, float((counts * prices).sum() / best[capacity]))
+        fills = first.tolist()
         goal = counts * (1 - (step + 1) / STEPS)
         for length in open_[::-1].tolist():
             lack = left[length] - goal[length]
             if lack <= 1e-9:
                 continue
             config, room = [length], capacity - length
-            while room and first[room]:
-                config.append(first[room])
+            while fills[room]:
+                config.append(fills[room])
                 room -= config[-1]
-            amount = min(lack / config.count(length), *(left[x] / config.count(x) for x in config))
+            times = Counter(config)
+            amount = min(lack / times[length], *(left[x] / n for x, n in times.items()))
             if amount > 1e-9:
-                for x in config:
-                    left[x] -= amount
+                for x, n in times.items():
+                    left[x] -= n * amount
                 name = tuple(config)
                 plan[name] = plan.get(name, 0.0) + amount
-        share = left[lengths] / counts[lengths]
-        weight[lengths] *= np.exp(2 * (share - share.mean()))
-    return plan
+        behind = left[lengths] / counts[lengths]
+        worths = counts[lengths] * prices[lengths]
+        weight[lengths] = np.clip(weight[lengths] + RATE * (behind - (behind * worths).sum() / worths.sum()), -2, 2)
+    return plan, bound
 
 
 def best_fit(counts) -> list[tuple[tuple[int, ...], int]]:
@@ -160,31 +215,47 @@ def best_fit(counts) -> list[tuple[tuple[int, ...], int]]:
 
 def plan_sequences(counts) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and copies whose places are exactly ``counts[length]`` (index 0 unused)."""
+    return planned(counts)[0]
+
+
+def planned(counts) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """The plan, and the number of sequences that no plan can go below.
+
+    The program is solved and rounded down, again for what is left, and best fit takes the remainder.
+    Should rounding cost more than it gains, best fit alone is the plan.
+    """
     import numpy as np
 
     capacity = len(counts) - 1
     left = np.array(counts, np.int64)
     chosen: dict[tuple[int, ...], int] = {}
+    bound = 0.0
 
     def take(config: tuple[int, ...], copies: int) -> None:
-        copies = min([copies, *(left[x] // config.count(x) for x in set(config))])
+        times = Counter(config)
+        copies = min([copies, *(left[x] // n for x, n in times.items())])
         if copies > 0:
             chosen[config] = chosen.get(config, 0) + int(copies)
-            for x in config:
-                left[x] -= copies
+            for x, n in times.items():
+                left[x] -= n * copies
 
     for _ in range(ROUNDS):
         if not left.any():
             break
-        solution = sorted(solve(left, capacity).items(), key=lambda x: (-int(x[1]), capacity - sum(x[0]), x[0]))
-        for config, amount in solution:
+        solution, proof = solve(left, capacity)
+        bound = bound or proof  # later rounds see what is left
+        ordered = sorted(solution.items(), key=lambda x: (-int(x[1]), capacity - sum(x[0]), x[0]))
+        for config, amount in ordered:
             take(config, int(amount + 1e-6))
-        for config, amount in sorted(solution, reverse=True):  # a full one loses nothing when rounded up
+        for config, amount in sorted(ordered, reverse=True):  # a full one loses nothing when rounded up
             if sum(config) == capacity and amount % 1 > 1e-6:
                 take(config, 1)
     for config, copies in best_fit(left):
         chosen[config] = chosen.get(config, 0) + copies
-    return sorted(chosen.items())
+    plain: dict[tuple[int, ...], int] = {}
+    for config, copies in best_fit(counts):
+        plain[config] = plain.get(config, 0) + copies
+    return sorted(min(chosen, plain, key=lambda x: sum(x.values())).items()), bound
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> Slots:

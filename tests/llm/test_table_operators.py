@@ -241,6 +241,55 @@ def test_plan_is_near_the_bound():
     assert packing.plan_sequences(np.zeros(2049, int)) == []
 
 
+def histogram(lengths):
+    return np.bincount(lengths, minlength=2049)
+
+
+def test_plan_follows_the_dual_prices():
+    """Where waste can't be avoided, the plan is near the number that its prices prove."""
+    rng = np.random.default_rng(1)
+    cases = {
+        "five": (histogram(np.repeat([1030, 700, 690, 515, 400], [900, 1800, 1700, 1500, 1600])), 1.01),
+        "halves": (histogram(np.r_[rng.integers(1025, 1100, 2000), rng.integers(300, 700, 3000)]), 1.01),
+        "thirds": (histogram(np.r_[rng.integers(683, 720, 4000), rng.integers(500, 683, 2000)]), 1.01),
+        "quarters": (histogram(np.r_[rng.integers(513, 530, 5000), rng.integers(100, 400, 3000)]), 1.01),
+        "between a fifth and a third": (histogram(rng.integers(410, 641, 9000)), 1.03),
+    }
+    for name, (counts, factor) in cases.items():
+        plan, bound = packing.planned(counts)
+        made = sum(copies for _, copies in plan)
+        held = np.zeros(2049, int)
+        for config, copies in plan:
+            assert sum(config) <= 2048
+            np.add.at(held, list(config), copies)
+        assert (held == counts).all(), name
+        assert made >= bound - 1e-6 and made <= bound * factor + 3, (name, made, bound)
+        assert made <= sum(copies for _, copies in packing.best_fit(counts)), name
+
+
+def test_bound_is_below_the_optimum_of_small_histograms():
+    """Against all packings of few pieces into sequences of ten."""
+    rng = np.random.default_rng(5)
+
+    def fewest(pieces):
+        full = (1 << len(pieces)) - 1
+        size = [sum(p for i, p in enumerate(pieces) if m >> i & 1) for m in range(full + 1)]
+        best = [0] + [99] * full
+        for mask in range(1, full + 1):
+            part = mask
+            while part:
+                if size[part] <= 10:
+                    best[mask] = min(best[mask], best[mask ^ part] + 1)
+                part = (part - 1) & mask
+        return best[full]
+
+    for _ in range(20):
+        pieces = rng.integers(1, 11, 8).tolist()
+        plan, bound = packing.planned(np.bincount(pieces, minlength=11))
+        made = sum(copies for _, copies in plan)
+        assert bound - 1e-9 <= fewest(pieces) <= made <= fewest(pieces) + 1
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(10)
