@@ -5,7 +5,9 @@ A field table has layer, nome, tipo, largura, precisao and posicao.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as geo, text as tx
 
@@ -33,84 +35,112 @@ def type_family(kind: Column) -> Column:
     )
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 minus the edit distance over the longer length."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of characters in the longest matching blocks of two names."""
+    from difflib import SequenceMatcher
+
+    met: dict[tuple[str, str], float] = {}  # names recur from layer to layer
+    for pair in zip(a, b, strict=True):
+        if pair not in met:
+            met[pair] = SequenceMatcher(None, *pair).ratio()
+    return pd.Series([met[pair] for pair in zip(a, b, strict=True)], dtype="float64")
 
 
 def _fields(df: DataFrame, mark: str) -> DataFrame:
+    """Fields by normalised name; of fields with one normalised name the last counts."""
+    names = ("nome", "tipo", "largura", "precisao", "posicao")
     named = df.withColumn("chave", tx.normal_name(F.col("nome"))).where("chave <> ''")
-    rest = {c: f"{mark}_{c}" for c in ("nome", "tipo", "largura", "precisao", "posicao")}
-    return named.select("layer", "chave", *[F.col(c).alias(n) for c, n in rest.items()])
+    last = named.groupBy("layer", "chave").agg(F.max_by(F.struct(*names), F.struct("posicao", "nome")).alias("f"))
+    return last.select("layer", "chave", *[F.col(f"f.{c}").alias(f"{mark}_{c}") for c in names])
 
 
-def field_changes(old: DataFrame, new: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """One row per change of a field: spelling, type, precision, rename, removal, addition.
-
-    `aliases` (campo, nome) marks names of one logical field; removed and added
-    fields with the same logical field are a rename. Remaining removed fields
-    are paired with the most similar added field of a compatible type within
-    the same layer. A layer has a bounded number of fields, so the pairing
-    stays small per layer.
-    """
-    both = _fields(old, "a").join(_fields(new, "b"), ["layer", "chave"], "full_outer")
+def in_place_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Spelling, type and precision of the fields that both versions have."""
+    both = _fields(old, "a").join(_fields(new, "b"), ["layer", "chave"])
     fa, fb = type_family(F.col("a_tipo")), type_family(F.col("b_tipo"))
-    common = F.col("a_nome").isNotNull() & F.col("b_nome").isNotNull()
     numeric = fa.isin("integer", "real") | fb.isin("integer", "real")
     precise = ~(F.col("a_largura").eqNullSafe(F.col("b_largura")) & F.col("a_precisao").eqNullSafe(F.col("b_precisao")))
-    kept = both.where(common).withColumn(
-        "tipos",
-        F.array_compact(
-            F.array(
-                F.when(F.col("a_nome") != F.col("b_nome"), "FIELD_SPELLING_CHANGED"),
-                F.when(fa != fb, "FIELD_TYPE_CHANGED").when(precise & numeric, "NUMERIC_PRECISION_CHANGED"),
-            )
-        ),
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("a_nome") != F.col("b_nome"), "FIELD_SPELLING_CHANGED"),
+            F.when(fa != fb, "FIELD_TYPE_CHANGED").when(precise & numeric, "NUMERIC_PRECISION_CHANGED"),
+        )
     )
-    inplace = kept.select("layer", F.explode("tipos").alias("tipo"), F.col("a_nome").alias("de"), F.col("b_nome").alias("para"))
+    found = both.select("layer", F.explode(kinds).alias("tipo"), F.col("a_nome").alias("de"), F.col("b_nome").alias("para"))
+    return found.withColumn("severidade", F.when(F.col("tipo") == "FIELD_SPELLING_CHANGED", "INFO").otherwise("WARNING"))
+
 
-    gone = both.where("b_nome is null").select("layer", F.col("chave").alias("ka"), "a_nome", "a_tipo", "a_posicao")
-    come = both.where("a_nome is null").select("layer", F.col("chave").alias("kb"), "b_nome", "b_tipo", "b_posicao")
-    renames = _alias_renames(gone, come, aliases) if aliases is not None else None
+def field_changes(old: DataFrame, new: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """One row per change of a field: spelling, type, precision, rename, removal, addition.
+
+    `aliases` (campo, nome, and ordem where names of a field have an order) marks
+    names of one logical field; the first present in each version stand for the
+    field, and two different ones are a rename. Each removed field that is left, in
+    the order of names, may be the most similar added field of a compatible type that
+    no earlier one took. A layer without old fields has no changes. A layer has a
+    bounded number of fields, so the pairing stays small per layer. `confianca` is
+    HIGH for renames by alias, MEDIUM or LOW for likely ones, else NULL.
+    """
+    a, b = _fields(old, "a"), _fields(new, "b")
+    gone = a.join(b, ["layer", "chave"], "left_anti").withColumnRenamed("chave", "ka")
+    come = b.join(a, ["layer", "chave"], "left_anti").join(a.select("layer").distinct(), "layer", "left_semi").withColumnRenamed("chave", "kb")
+    renames = _alias_renames(a, b, aliases) if aliases is not None else None
     if renames is not None:
         gone = gone.join(renames.select("layer", "ka"), ["layer", "ka"], "left_anti")
         come = come.join(renames.select("layer", "kb"), ["layer", "kb"], "left_anti")
     likely = _similar_pairs(gone, come)
     removed = gone.join(likely.select("layer", "ka"), ["layer", "ka"], "left_anti")
     added = come.join(likely.select("layer", "kb"), ["layer", "kb"], "left_anti")
-    shape = lambda df, tipo, de, para: df.select("layer", F.lit(tipo).alias("tipo"), de.alias("de"), para.alias("para"))
     none = F.lit(None).cast("string")
+
+    def shape(df: DataFrame, tipo: str, de: Column, para: Column, level: str, sure: Column = none) -> DataFrame:
+        return df.select("layer", F.lit(tipo).alias("tipo"), de.alias("de"), para.alias("para"), F.lit(level).alias("severidade"), sure.alias("confianca"))
+
+    known = F.when(F.col("s") >= GOOD_SIMILARITY, "MEDIUM").otherwise("LOW")
     out = (
-        inplace.unionByName(shape(likely, "POSSIBLE_FIELD_RENAMED", F.col("a_nome"), F.col("b_nome")))
-        .unionByName(shape(removed, "FIELD_REMOVED", F.col("a_nome"), none))
-        .unionByName(shape(added, "FIELD_ADDED", none, F.col("b_nome")))
-    )
+        in_place_changes(old, new).withColumn("confianca", none)
+        .unionByName(shape(likely, "POSSIBLE_FIELD_RENAMED", F.col("a_nome"), F.col("b_nome"), "WARNING", known))
+        .unionByName(shape(removed, "FIELD_REMOVED", F.col("a_nome"), none, "WARNING"))
+        .unionByName(shape(added, "FIELD_ADDED", none, F.col("b_nome"), "INFO"))
+    )
     if renames is not None:
-        out = out.unionByName(shape(renames, "FIELD_RENAMED", F.col("a_nome"), F.col("b_nome")))
-    info = F.col("tipo").isin("FIELD_SPELLING_CHANGED", "FIELD_ADDED")
-    return out.withColumn("severidade", F.when(info, "INFO").otherwise("WARNING"))
+        out = out.unionByName(shape(renames, "FIELD_RENAMED", F.col("a_nome"), F.col("b_nome"), "WARNING", F.lit("HIGH")))
+    return out
+
+
+def _alias_renames(a: DataFrame, b: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Logical fields whose first known name differs between the versions."""
+    order = F.col("ordem") if "ordem" in aliases.columns else F.lit(0)
+    known = aliases.select("campo", tx.normal_name(F.col("nome")).alias("chave"), order.alias("_o")).groupBy("campo", "chave").agg(F.min("_o").alias("_o"))
 
+    def first(fields: DataFrame, mark: str) -> DataFrame:
+        met = fields.select("layer", "chave", f"{mark}_nome").join(known, "chave")
+        best = met.groupBy("layer", "campo").agg(F.min(F.struct("_o", "chave", f"{mark}_nome")).alias("f"))
+        return best.select("layer", "campo", F.col("f.chave").alias(f"k{mark}"), F.col(f"f.{mark}_nome").alias(f"{mark}_nome"))
 
-def _alias_renames(gone: DataFrame, come: DataFrame, aliases: DataFrame) -> DataFrame:
-    known = aliases.select("campo", tx.normal_name(F.col("nome")).alias("k")).distinct()
-    a = gone.join(known.withColumnRenamed("k", "ka"), "ka")
-    b = come.join(known.withColumnRenamed("k", "kb"), "kb")
-    return a.join(b, ["layer", "campo"]).dropDuplicates(["layer", "ka"]).dropDuplicates(["layer", "kb"])
+    return first(a, "a").join(first(b, "b"), ["layer", "campo"]).where("ka <> kb")
 
 
 def _similar_pairs(gone: DataFrame, come: DataFrame) -> DataFrame:
-    """Mutually best pairs above the similarity threshold."""
-    gap = F.abs(F.col("a_posicao") - F.col("b_posicao"))
+    """Removed fields, in the order of names, each with the best added field not yet taken."""
+    gap = F.abs(F.coalesce("a_posicao", F.lit(0)) - F.coalesce("b_posicao", F.lit(0)))
     near = F.when(gap == 0, 1.0).when(gap == 1, 0.7).otherwise(0.0)
-    score = similarity(F.col("ka"), F.col("kb")) * NAME_WEIGHT + near * (1 - NAME_WEIGHT)
     fa, fb = type_family(F.col("a_tipo")), type_family(F.col("b_tipo"))
     fits = (fa == fb) | (fa.isin("integer", "real") & fb.isin("integer", "real"))
-    pairs = gone.join(come, "layer").where(fits).withColumn("s", score).where(F.col("s") >= LEAST_SIMILARITY)
-    mine = Window.partitionBy("layer", "ka").orderBy(F.col("s").desc(), "kb")
-    theirs = Window.partitionBy("layer", "kb").orderBy(F.col("s").desc(), "ka")
-    ranked = pairs.withColumns({"_a": F.row_number().over(mine), "_b": F.row_number().over(theirs)})
-    return ranked.where("_a = 1 and _b = 1").drop("_a", "_b")
+    pairs = gone.join(come, "layer").where(fits).withColumn("s", similarity("ka", "kb") * NAME_WEIGHT + near * (1 - NAME_WEIGHT))
+    choice = F.struct((-F.col("s")).alias("m"), "kb", "s", "a_nome", "b_nome")
+    per_field = pairs.where(F.col("s") >= LEAST_SIMILARITY).groupBy("layer", "ka").agg(F.array_sort(F.collect_list(choice)).alias("c"))
+    per_layer = per_field.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("ka", "c"))).alias("fields"))
+    none = F.array().cast("array<struct<ka:string,kb:string,s:double,a_nome:string,b_nome:string>>")
+
+    def take(taken: Column, field: Column) -> Column:
+        free = F.filter(field["c"], lambda c: ~F.array_contains(F.transform(taken, lambda t: t["kb"]), c["kb"]))
+        best = F.get(free, F.lit(0))
+        row = F.struct(field["ka"].alias("ka"), *[best[n].alias(n) for n in ("kb", "s", "a_nome", "b_nome")])
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(row))).otherwise(taken)
+
+    return per_layer.select("layer", F.inline(F.aggregate("fields", none, take)))
 
 
 def _one_per_change(df: DataFrame, changes: list[tuple[str, str, Column, str, str]]) -> DataFrame:

@@ -165,15 +165,15 @@ def required_groups(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _field_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _field_versions(spark: SparkSession, sf: str, layer: str = "l_suppkey") -> tuple[DataFrame, DataFrame]:
     """Field tables per supplier: shipped lines are the old version, open lines the new one."""
     li = table(spark, sf, "lineitem")
     kind = lambda tax: F.when(tax > 0.06, "real").when(tax > 0.04, "integer").otherwise("text")
-    per = li.groupBy("l_suppkey", "l_linestatus", F.concat(F.lit("campo_"), F.col("l_linenumber").cast("string"), "l_returnflag").alias("nome")).agg(
+    per = li.groupBy(layer, "l_linestatus", F.concat(F.lit("campo_"), F.col("l_linenumber").cast("string"), "l_returnflag").alias("nome")).agg(
         F.max("l_tax").alias("t"), F.min("l_discount").alias("d"), F.max("l_quantity").alias("q"), F.min("l_linenumber").alias("posicao")
     )
     both = per.select(
-        F.col("l_suppkey").alias("layer"), "l_linestatus",
+        F.col(layer).alias("layer"), "l_linestatus",
         F.when(F.col("q") > 45, F.upper("nome")).otherwise(F.col("nome")).alias("nome"),
         kind(F.col("t")).alias("tipo"), F.col("q").cast("int").alias("largura"), F.lit(0).alias("precisao"), "posicao",
         F.when(F.col("d") > 0, "a").otherwise("b").alias("descricao"),
@@ -195,8 +195,47 @@ a as (select * from v where v = 'F'), b as (select * from v where v = 'O')"""
 )
 def field_changes_in_place(spark: SparkSession, sf: str) -> DataFrame:
     """Spelling, type and precision of the fields both versions have."""
-    changes = drift.field_changes(*_field_versions(spark, sf))
-    return changes.where("tipo in ('FIELD_SPELLING_CHANGED', 'FIELD_TYPE_CHANGED', 'NUMERIC_PRECISION_CHANGED')")
+    return drift.in_place_changes(*_field_versions(spark, sf))
+
+
+# Names are campo_, one digit and one letter, so eight characters: the matching blocks of two hold
+# the six common ones and what else is equal.
+# Layers are parts: their versions lack some of the names, suppliers have them all.
+_PARTS = _VERSIONS.replace("l_suppkey", "l_partkey").replace("a as (", "w as (select *, substr(k, 7, 1)::int as p from v), a as (").replace("from v where", "from w where")
+_CHANGES = f"""recursive {_PARTS},
+al as (select distinct l_linenumber as campo, lower('campo_' || l_linenumber || l_returnflag) as k from lineitem where l_linenumber <= 2),
+ra as (select layer, campo, min(k) as ka, min_by(nome, k) as na from a join al using (k) group by 1, 2),
+rb as (select layer, campo, min(k) as kb, min_by(nome, k) as nb from b join al using (k) group by 1, 2),
+ren as (select * from ra join rb using (layer, campo) where ka <> kb),
+g as (select * from a where (layer, k) not in (select layer, k from b) and (layer, k) not in (select layer, ka from ren)),
+c as (select * from b where (layer, k) not in (select layer, k from a) and (layer, k) not in (select layer, kb from ren) and layer in (select layer from a)),
+pair as (select g.layer, g.k as ka, c.k as kb, (12 + 2 * (g.p = c.p)::int + 2 * (g.k[8] = c.k[8])::int) / 16.0::double * 0.75::double + case abs(g.p - c.p) when 0 then 0.25::double when 1 then 0.175::double else 0.0::double end as s
+  from g join c on g.layer = c.layer and (g.tipo = c.tipo or (g.tipo <> 'text' and c.tipo <> 'text'))),
+wish as (select layer, ka, list(kb order by s desc, kb) as l, row_number() over (partition by layer order by ka) as r from pair where s >= 0.62 group by layer, ka),
+pick as (select distinct layer, 0::bigint as r, null::varchar as ka, null::varchar as kb, []::varchar[] as used from wish
+  union all select w2.layer, w2.r, w2.ka, list_filter(w2.l, lambda x: not list_contains(pick.used, x))[1],
+    list_concat(pick.used, list_filter(w2.l, lambda x: not list_contains(pick.used, x))[1:1]) from pick join wish w2 on w2.layer = pick.layer and w2.r = pick.r + 1),
+likely as (select pick.layer, pick.ka, pick.kb, s from pick join pair using (layer, ka, kb)),
+com as (select a.layer, a.nome as na, b.nome as nb, a.tipo as ta, b.tipo as tb, a.largura as la, b.largura as lb from a join b on a.layer = b.layer and a.k = b.k)"""
+
+
+@query(
+    "D8",
+    sql=f"""with {_CHANGES}
+    select layer, 'FIELD_SPELLING_CHANGED' as tipo, na as de, nb as para, 'INFO' as severidade, null::varchar as confianca from com where na <> nb
+    union all select layer, 'FIELD_TYPE_CHANGED', na, nb, 'WARNING', null from com where ta <> tb
+    union all select layer, 'NUMERIC_PRECISION_CHANGED', na, nb, 'WARNING', null from com where ta = tb and la <> lb and ta in ('integer', 'real')
+    union all select layer, 'FIELD_RENAMED', na, nb, 'WARNING', 'HIGH' from ren
+    union all select l.layer, 'POSSIBLE_FIELD_RENAMED', g.nome, c.nome, 'WARNING', case when s >= 0.75 then 'MEDIUM' else 'LOW' end from likely l join g on g.layer = l.layer and g.k = l.ka join c on c.layer = l.layer and c.k = l.kb
+    union all select layer, 'FIELD_REMOVED', nome, null, 'WARNING', null from g where (layer, k) not in (select layer, ka from likely)
+    union all select layer, 'FIELD_ADDED', null, nome, 'INFO', null from c where (layer, k) not in (select layer, kb from likely)""",
+)
+def field_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """All changes of fields between two versions, renames by alias and likely renames included."""
+    name = F.concat(F.lit("campo_"), F.col("l_linenumber").cast("string"), "l_returnflag")
+    lines = table(spark, sf, "lineitem").where("l_linenumber <= 2")
+    aliases = lines.select(F.col("l_linenumber").alias("campo"), name.alias("nome")).distinct()
+    return drift.field_changes(*_field_versions(spark, sf, "l_partkey"), aliases)
 
 
 @query("D8")

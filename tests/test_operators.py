@@ -132,6 +132,22 @@ def test_drift_renames(spark):
     }
 
 
+def test_drift_takes_fields_in_order_of_names(spark):
+    """The first removed field takes the best added one; ties go to the first name; the second gets the next."""
+    old = [("l", "area_b", "Real", 1, 1, 5), ("l", "area_a", "Real", 1, 1, 5), ("l", "area_c", "String", 1, 1, 5)]
+    new = [("l", "area_y", "Integer", 1, 1, 5), ("l", "area_x", "Real", 1, 1, 5), ("n", "solo", "Real", 1, 1, 0)]
+    assert changes(spark, old, new) == {
+        ("POSSIBLE_FIELD_RENAMED", "area_a", "area_x"), ("POSSIBLE_FIELD_RENAMED", "area_b", "area_y"), ("FIELD_REMOVED", "area_c", None),
+    }
+
+
+def test_drift_alias_order_and_repeated_names(spark):
+    old = [("l", "uf", "String", 1, 1, 0), ("l", "UF", "Integer", 1, 1, 1), ("l", "estado", "String", 1, 1, 2)]
+    new = [("l", "uf", "Integer", 1, 1, 0), ("l", "sigla", "String", 1, 1, 2)]
+    aliases = spark.createDataFrame([("uf", "estado", 0), ("uf", "sigla", 1), ("uf", "uf", 2)], "campo string, nome string, ordem int")
+    assert changes(spark, old, new, aliases) == {("FIELD_SPELLING_CHANGED", "UF", "uf"), ("FIELD_RENAMED", "estado", "sigla")}
+
+
 def identity_tables(spark):
     specs = spark.createDataFrame(
         [("app", "cod", "cod_imovel", 0, True), ("app", "tipo", "tipo_app", 0, False), ("app", "area", "num_area", 0, False),
