@@ -145,6 +145,43 @@ def read_operations_file(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("ref_bacen", "nu_ordem", "cd_estado", year.alias("ano"))
 
 
+# The writer puts a name that begins with # in quotes: two more characters.
+_MONTHS = """select strftime(o_orderdate::date, '%Y%m') as mes, '{0}' as pasta, {1} + sum(length({2}) + 1)::bigint as expandido from orders group by 1"""
+
+
+@query(
+    "S3 S5 P3",
+    sql=f"""with f as ({_MONTHS.format("gz", "strlen('#REF;ORDEM;ESTADO') + 3", "o_orderkey || ';' || o_custkey || ';' || o_orderstatus")}
+      union all {_MONTHS.format("csv", "strlen('ref_bacen;ORDEM') + 1", "o_orderkey || ';' || o_custkey")})
+    select mes, pasta, expandido, case when pasta = 'csv' then expandido end as bytes, case when pasta = 'csv' then 1.0::double end as taxa,
+      case when pasta = 'csv' then 'ESTADO' else '' end as faltantes,
+      concat_ws(',', case when pasta = 'csv' and expandido > 2000 then 'TAMANHO' end, case when expandido > 3000 then 'EXPANDIDO' end, case when pasta = 'csv' then 'COLUNAS' end) as motivos from f""",
+)
+def file_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """A compressed and a plain file per month against limits of size and required columns."""
+    o = table(spark, sf, "orders")
+    folder = _folder(spark, "limits")
+    month = F.date_format("o_orderdate", "yyyyMM").alias("mes")
+    key, order, state = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    for name, columns, kind in (
+        ("gz", [key.alias("#REF"), order.alias("ORDEM"), state.alias("ESTADO")], "gzip"),
+        ("csv", [key.alias("ref_bacen"), order.alias("ORDEM")], "none"),
+    ):
+        rows = o.select(month, *columns).repartition("mes")
+        rows.write.partitionBy("mes").option("sep", ";").option("header", True).option("compression", kind).csv(f"{folder}/{name}")
+    required = {"REF": ["ref_bacen"], "ORDEM": [], "ESTADO": ["cd_estado"]}
+    found = [
+        delimited.file_report(spark, f"{folder}/{name}", ";", required, limit, 3000).withColumn("pasta", F.lit(name))
+        for name, limit in (("gz", None), ("csv", 2000))
+    ]
+    plain = F.col("pasta") == "csv"
+    return found[0].unionByName(found[1]).select(
+        F.regexp_extract("arquivo", "mes=([0-9]+)", 1).alias("mes"), "pasta", "expandido",
+        F.when(plain, F.col("bytes")).alias("bytes"), F.when(plain, F.col("taxa")).alias("taxa"),
+        F.array_join("faltantes", ",").alias("faltantes"), F.array_join("motivos", ",").alias("motivos"),
+    )
+
+
 @query(
     "D17 D6",
     sql="""select 'arq_' || lower(p_type) || '_' || p_partkey::varchar || '.zip' as arquivo, case when p_brand = 'Brand#1' then 'DIVERGENTE' else 'CONFERE' end as auditoria from part""",
@@ -161,16 +198,16 @@ def legacy_name_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "T10 D19",
-    sql="select left(md5(url), 1) as pasta, 1 as arquivos from pages group by 1",
+    sql="""select left(md5(url), 1) as pasta, sum(strlen(concat_ws(' ', page_id::varchar, url, html)) + 1)::bigint as bytes from pages group by 1""",
 )
 def inbox_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Files dropped into source folders, claimed once by two runs of the stream."""
     p = table(spark, sf, "pages")
     folder = _folder(spark, "inbox")
-    rows = p.select(F.substring(F.md5("url"), 1, 1).alias("fonte"), F.to_json(F.struct("page_id", "url", "html")).alias("value"))
-    # One file per source folder.
-    rows.repartition(1).write.partitionBy("fonte").text(f"{folder}/in")
+    rows = p.select(F.substring(F.md5("url"), 1, 1).alias("fonte"), "page_id", F.concat_ws(" ", "page_id", "url", "html").alias("value"))
+    # Several files per source folder, each with a share of its pages.
+    rows.repartition("fonte", F.pmod(F.hash("page_id"), F.lit(8))).drop("page_id").write.partitionBy("fonte").text(f"{folder}/in")
     for _ in range(2):
         inbox.collect_batches(inbox.watch(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/cp")
-    got = spark.read.parquet(f"{folder}/out").groupBy("pasta").agg(F.sum("arquivos").alias("arquivos"))
-    return got.select(F.element_at(F.split("pasta", "="), -1).alias("pasta"), "arquivos")
+    got = spark.read.parquet(f"{folder}/out").groupBy("pasta").agg(F.sum("bytes").alias("bytes"))
+    return got.select(F.element_at(F.split("pasta", "="), -1).alias("pasta"), "bytes")

@@ -224,7 +224,7 @@ def folder_manifests(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("/"), h, F.lit("/"), F.col("page_id").cast("string")).alias("path"),
         F.encode("html", "UTF-8").alias("content"),
     )
-    return shapes_text.folder_manifest(files, F.split_part("path", F.lit("/"), F.lit(2)))
+    return shapes_text.folder_manifest(files, F.split_part("path", F.lit("/"), F.lit(2))).drop("bytes")
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 import csv
 import re
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import identifier_text, normal_name_text
+from ..functions.text import identifier_text, normal_name, normal_name_text
 from ..session import materialize
 
 # Encodings and delimiters in trial order, reserved column names,
@@ -95,13 +95,67 @@ def read_head(spark: SparkSession, path: str) -> bytes:
     return bytes(row["value"])
 
 
-def check_limits(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
-    """Files above the size limit."""
-    return spark.read.format("binaryFile").load(path).select("path", "length").where(
-        F.col("length") > max_bytes
+def file_report(
+    spark: SparkSession,
+    path: str,
+    delimiter: str,
+    required: Mapping[str, Sequence[str]],
+    max_bytes: int | None = None,
+    max_expanded: int | None = None,
+    max_ratio: float | None = None,
+) -> DataFrame:
+    """One row per file below a folder: sizes, expansion ratio, missing columns and reasons to refuse it.
+
+    `bytes` is the stored size, `expandido` that of its lines with one line feed each and without a
+    byte order mark, `taxa` their ratio. `required` has the accepted names of each required field; headers are compared after
+    normalisation, without a byte order mark or a leading `#`. Files are only listed for their
+    size and scanned once, by lines, for the rest. A compressed file without lines is VAZIO; files of no bytes are left out by Spark's readers.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = listed.select(F.col("_metadata.file_path").alias("arquivo"), F.col("length").alias("bytes"))
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("arquivo"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
+        F.col("value").cast("binary").alias("_line"),
+    )
+    read = placed.groupBy("arquivo").agg(
+        F.sum(F.octet_length("_line").cast("long") + 1).alias("expandido"), F.min_by("_line", "_at").alias("_head")
+    )
+    names = F.transform(F.split(F.decode("_head", "UTF-8"), re.escape(delimiter), -1), domain_header)
+    accepted = lambda *names: F.array(*[F.lit(normal_name_text(n)) for n in (names[0], *names[1])])
+    absent = F.array_compact(
+        F.array(
+            *[
+                F.when(~F.coalesce(F.arrays_overlap("_names", accepted(field, aliases)), F.lit(False)), F.lit(field))
+                for field, aliases in required.items()
+            ]
+        )
+    )
+    above = lambda c, limit: F.col(c) > F.lit(limit) if limit is not None else F.lit(False)
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("expandido") == 0, "VAZIO"),
+            F.when(above("bytes", max_bytes), "TAMANHO"),
+            F.when(above("expandido", max_expanded), "EXPANDIDO"),
+            F.when(above("taxa", max_ratio), "TAXA"),
+            F.when(F.size("faltantes") > 0, "COLUNAS"),
+        )
+    )
+    met = sizes.join(read, "arquivo", "left").withColumn("_names", F.transform(names, normal_name))
+    return (
+        met.withColumn("expandido", F.coalesce("expandido", F.lit(0).cast("long")))
+        .withColumn("taxa", F.round(F.col("expandido") / F.greatest("bytes", F.lit(1)), 2))
+        .withColumn("faltantes", absent.cast("array<string>"))
+        .select("arquivo", "bytes", "expandido", "taxa", "faltantes", reasons.alias("motivos"))
     )
 
 
+def domain_header(name: Column) -> Column:
+    """Domain headers without quotes, byte order mark and leading `#`, upper case."""
+    return F.upper(F.trim(F.regexp_replace(F.trim(name), "^\ufeff*\"?#?|[\"\r]+$", "")))
+
+
 def _windows_text(text: Column) -> Column:
     """Characters Windows-1252 has where Latin-1 has control codes."""
     pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
@@ -226,23 +280,6 @@ def read_operations(spark: SparkSession, path: str, names: Sequence[str] = OPERA
     return read_delimited(spark, path, fmt, strict=True)
 
 
-def domain_header(name: str) -> str:
-    """Domain headers without BOM and leading `#`, upper case."""
-    return name.strip().lstrip("﻿").removeprefix("#").strip().upper()
-
-
-def missing_required(headers: Sequence[str], fields: Sequence) -> tuple[dict[str, str | None], list[str]]:
-    """Received column per field by exact normalised alias, and required fields without one."""
-    have = set(headers)
-    mapping, missing = {}, []
-    for field in fields:
-        names = [identifier_text(a, prefix="campo") for a in (field.name, *field.aliases)]
-        mapping[field.name] = next((n for n in names if n in have), None)
-        if field.required and mapping[field.name] is None:
-            missing.append(field.name)
-    return mapping, missing
-
-
 def alias_matches(column: str, alias: str) -> bool:
     """Equal after normalisation, or one a prefix of the other from eight letters on."""
     left, right = normal_name_text(column), normal_name_text(alias)

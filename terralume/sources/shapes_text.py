@@ -167,15 +167,19 @@ def folder_manifest(files: DataFrame, folder: Column) -> DataFrame:
     many files is not gathered at once; the last step sorts one digest per
     prefix.
     """
-    hashed = files.select(folder.alias("pasta"), "path", F.sha2("content", 256).alias("h"))
+    size = F.octet_length("content").cast("long").alias("size")
+    hashed = files.select(folder.alias("pasta"), "path", F.sha2("content", 256).alias("h"), size)
     entry = F.concat_ws(":", "path", "h")
     folded = hashed.groupBy("pasta", F.substring(F.md5("path"), 1, 3).alias("p")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("d"),
         F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("size"),
     )
     digests = F.array_sort(F.collect_list(F.concat_ws(":", "p", "d")))
     return folded.groupBy("pasta").agg(
-        F.sum("n").alias("arquivos"), F.sha2(F.array_join(digests, "\n"), 256).alias("manifesto")
+        F.sum("n").alias("arquivos"),
+        F.sum("size").alias("bytes"),
+        F.sha2(F.array_join(digests, "\n"), 256).alias("manifesto"),
     )
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from terralume.sources import delimited
 from terralume.operators import alerts, conform, confront, credit, drift, identity, publish, quality, status
 from terralume.specs import Dataset, parse_fields
 
@@ -234,3 +235,22 @@ def test_cells_of_levels_that_exist(spark):
     assert spatial._cells(tiny, "k", "box", 1, [0]).count() == 1
     assert spatial._cells(tiny, "k", "box", 1, [3]).count() == 1
     assert spatial._cells(tiny, "k", "box", 2, []).count() == 0
+
+
+def test_file_report_limits_and_columns(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_bytes("\ufeff#REF; Ordem \r\n1;2\r\n".encode())
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"ref_bacen;x\n" + b"a" * 100_000 + b"\n"))
+    (tmp_path / "d.csv").write_bytes(b'"ORDEM";"ref bacen"\n' + b"1;2\n" * 100)
+    required = {"REF": ["ref_bacen"], "ORDEM": []}
+    rows = delimited.file_report(spark, str(tmp_path), ";", required, max_bytes=400, max_expanded=100_000, max_ratio=100.0).collect()
+    got = {r["arquivo"].rsplit("/", 1)[1]: (r["expandido"], r["faltantes"], r["motivos"]) for r in rows}
+    assert got == {
+        "a.csv": (19, [], []),
+        "b.csv.gz": (0, ["REF", "ORDEM"], ["VAZIO", "COLUNAS"]),
+        "c.csv.gz": (100_013, ["ORDEM"], ["EXPANDIDO", "TAXA", "COLUNAS"]),
+        "d.csv": (420, [], ["TAMANHO"]),
+    }
+    assert {r["arquivo"].rsplit("/", 1)[1]: r["taxa"] for r in rows}["d.csv"] == 1.0

@@ -9,8 +9,8 @@ sys.path.insert(0, str(ROOT))
 from terralume.queries import load_all  # noqa: E402
 
 
-# Not counted: decisions of a queue or timer, and limits and header rules that no query runs.
-NOT_COUNTED = ("T2", "T11", "T12", "T13", "S3", "S5", "P3")
+# Not counted: decisions of a queue or timer.
+NOT_COUNTED = ("T2", "T11", "T12", "T13")
 
 
 def main() -> None:
