@@ -9,7 +9,8 @@ Adjacent turns of one role become one block by array aggregation, and blocks are
 A control string inside a role or a text gets a backslash behind its first character; if
 backslashes stand there already, one more. Taking one away restores the text, so the output
 gives back every turn. The loss mask covers the texts of the roles that are learnt, as runs of
-characters: outside, inside, outside, and so on.
+UTF-8 bytes: outside, inside, outside, and so on. Bytes are cut in time that does not grow with the
+place of the cut, so reading grows with the length of a conversation and not with its square.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bind
 
+SLICE = 128  # numbers that are summed in one go
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 # Control strings of chat templates in use; all are escaped inside texts.
 CONTROLS = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -59,7 +61,7 @@ def _role_back(written: Column) -> Column:
 def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learnt: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``key``, ``n_turns``, ``n_blocks``, ``formatted``, ``loss_runs`` for each conversation.
 
-    ``loss_runs`` holds lengths in characters, alternately outside and inside the loss mask, beginning
+    ``loss_runs`` holds lengths in UTF-8 bytes, alternately outside and inside the loss mask, beginning
     outside, one pair for each turn. Turns lie in order of ``turn``, nulls first; ties by role, then
     text. Null roles and texts count as empty; a null key is a conversation of its own, repeated rows
     are turns of their own. Other columns are ignored, an empty table gives no rows.
@@ -87,14 +89,14 @@ def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     def runs(b: Column) -> Column:
         learn = b["role"].isin(*learnt)
-        skipped = lambda i: F.when(i == 0, F.length(head(b))).otherwise(F.lit(len(SEP)))
+        skipped = lambda i: F.when(i == 0, F.octet_length(head(b))).otherwise(F.lit(len(SEP)))
         last = lambda i: F.when(i == F.size(b["texts"]) - 1, F.lit(len(END) + 1)).otherwise(F.lit(0))
         # A turn outside the mask is a run outside with an empty run inside.
         return F.flatten(
             F.transform(
                 b["texts"],
-                lambda t, i: F.when(learn, F.array(skipped(i), F.length(t), last(i), F.lit(0))).otherwise(
-                    F.array(skipped(i) + F.length(t) + last(i), F.lit(0))
+                lambda t, i: F.when(learn, F.array(skipped(i), F.octet_length(t), last(i), F.lit(0))).otherwise(
+                    F.array(skipped(i) + F.octet_length(t) + last(i), F.lit(0))
                 ),
             )
         )
@@ -120,20 +122,43 @@ def turns_back(text: Column) -> Column:
     return F.flatten(F.transform(blocks, of))
 
 
+def _sums(numbers: Column) -> Column:
+    """Running sums of a short array; the copies made grow with the square of its length."""
+    return F.aggregate(
+        numbers,
+        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("sums")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"] + n)).alias("sums")),
+        lambda s: s["sums"],
+    )
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of a non-empty array: within slices, then shifted by the sum of the slices before."""
+    starts = F.sequence(F.lit(0), F.size(numbers) - 1, F.lit(SLICE))
+    within = F.transform(starts, lambda i: _sums(F.slice(numbers, i + 1, F.lit(SLICE))))
+
+    def shifted(slices: Column) -> Column:
+        totals = _sums(F.transform(slices, lambda s: F.element_at(s, -1)))
+        return bind(
+            totals,
+            lambda t: F.flatten(
+                F.transform(slices, lambda s, k: F.transform(s, lambda n: n + F.coalesce(F.get(t, k - 1), F.lit(0))))
+            ),
+        )
+
+    return bind(within, shifted)
+
+
 def loss_texts(text: Column, runs: Column) -> Column:
     """The texts under the loss mask, in order."""
-    ends = F.aggregate(
-        runs,
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["ends"], F.array(s["at"] + n)).alias("ends")),
-        lambda s: s["ends"],
-    )
 
-    def cut(ends: Column) -> Column:
+    def cut(ends: Column, raw: Column) -> Column:
         inside = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: (i % 2 == 1) & (F.get(runs, i) > 0))
-        return F.transform(inside, lambda i: unescaped(F.substring(text, F.get(ends, i) - F.get(runs, i) + 1, F.get(runs, i))))
+        piece = lambda i: F.substring(raw, F.get(ends, i) - F.get(runs, i) + 1, F.get(runs, i))
+        return F.transform(inside, lambda i: unescaped(piece(i).cast("string")))
 
-    return F.when(F.size(runs) > 0, bind(ends, cut)).otherwise(F.array().cast("array<string>"))
+    cuts = bind(running_sums(runs), lambda ends: bind(text.cast("binary"), lambda raw: cut(ends, raw)))
+    return F.when(F.size(runs) > 0, cuts).otherwise(F.array().cast("array<string>"))
 
 
 def digests(chats: DataFrame, key: str = "conv_id") -> DataFrame:

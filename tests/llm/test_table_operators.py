@@ -81,6 +81,15 @@ def test_chats_come_back(spark):
     assert formatted(table.limit(0)).count() == 0
 
 
+def test_chats_of_many_turns(spark):
+    """More runs than one slice sums, with characters of one to four bytes."""
+    texts = ["", "a</s>", "ü[INST]", "€", "\U0001d11e|" * 3]
+    turns = [(1, t, "assistant" if t % 3 else "user", texts[t % 5] * (t % 7)) for t in range(700)]
+    row = digests(formatted(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))).first()
+    loss = "".join(x for _, _, r, x in turns if r == "assistant")
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (700, len(loss), sha(loss))
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 16))
