@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as geo, text as tx
 from ..session import shared_folder
-from ..sources import delimited, shapes_text
+from ..sources import delimited, records, shapes_text
 from . import roles
 from .q_spatial import box_m2
 from .registry import query, table
@@ -76,6 +76,36 @@ def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return delimited.numbered(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query(
+    "S1 S7 S8",
+    sql="""with r as (select doc_id, doc_id % 64 as arquivo, coalesce(source, '') as origem, coalesce(text, '') as t,
+        case when doc_id % 7 = 0 then 'x;"y' || chr(10) || 'z"' end as excesso from documents),
+      n as (select *, 1 + len(t) - len(replace(t, chr(10), '')) + (excesso is not null)::int as linhas from r)
+    select doc_id::varchar as doc_id, origem, sha256(t) as sha256, excesso, arquivo::bigint as arquivo,
+      1 + row_number() over (partition by arquivo order by doc_id) as _numero_linha,
+      (2 + coalesce(sum(linhas) over (partition by arquivo order by doc_id rows between unbounded preceding and 1 preceding), 0))::bigint as _linha_arquivo
+    from n""",
+)
+def quoted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as quoted fields over many lines, in 64 files; record numbers and lines of the file."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", (F.col("doc_id") % 64).alias("arquivo"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    more = F.when(F.col("doc_id") % 7 == 0, ';x;"y\nz"').otherwise("")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(";"), quoted(F.col("source")), F.lit(";"), quoted(F.col("text")), more)
+    rows = d.select("arquivo", F.col("doc_id").alias("ordem"), line.alias("value"))
+    heads = d.select("arquivo", F.lit(None).cast("long").alias("ordem"), F.lit("doc_id;origem;texto").alias("value")).distinct()
+    folder = _folder(spark, "quoted")
+    # Header first in each file, as such files are delivered.
+    rows.unionByName(heads).repartition("arquivo").sortWithinPartitions("arquivo", "ordem").drop("ordem").write.partitionBy("arquivo").text(folder)
+    # A text of any length is a record; the limit of the reader would tell it instead.
+    read = records.read_quoted(spark, folder, delimited.detect_format(b"doc_id;origem;texto"), most_bytes=1 << 30)
+    number = F.regexp_extract("_arquivo", r"arquivo=(\d+)", 1).cast("long")
+    return read.select(
+        "doc_id", "origem", F.sha2(F.col("texto").cast("binary"), 256).alias("sha256"), F.col("_excesso").alias("excesso"),
+        number.alias("arquivo"), "_numero_linha", "_linha_arquivo",
+    )
+
+
 @query(
     "S9 F11",
     sql=f"""select o_orderkey, year(o_orderdate) + 18 as y1, case when year(o_orderdate) + 18 >= 2013 then year(o_orderdate) + 18 end as ano,

@@ -173,7 +173,7 @@ def _decoded(value: Column, strict: bool = False) -> Column:
 def _surplus(line: Column, delimiter: str, width: int) -> Column:
     """What follows the first `width` fields of a line, else NULL."""
     sep = re.escape(delimiter)
-    pattern = rf'^(?>(?:"(?:[^"]|"")*+"|[^{sep}]*+){sep}){{{width}}}([\s\S]*)$'
+    pattern = rf'^(?>(?:"[^"]*+(?:""[^"]*+)*+(?:"[^{sep}]*+|\z)|(?!")[^{sep}]*+){sep}){{{width}}}([\s\S]*)$'
     return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
 
 
@@ -214,7 +214,10 @@ def read_delimited(
 
 
 def with_lineage(df: DataFrame) -> DataFrame:
-    name = F.col("_metadata.file_name")
+    return with_lineage_of(df, F.col("_metadata.file_name"))
+
+
+def with_lineage_of(df: DataFrame, name: Column) -> DataFrame:
     return df.withColumns({"_arquivo_origem": name, "_ano_arquivo": year_of_name(name)})
 
 
