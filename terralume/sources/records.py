@@ -77,8 +77,9 @@ def _fold(batches: Iterator) -> Iterator:
                 records[h, low:high] = begun[h] + np.cumsum(before == 0)
                 around[h, low:high] = before + 2 * np.append(before[1:], state[h])
                 begun[h] = int(records[h, high - 1])
-        columns = [files, starts, batch.column(3), *map(pa.array, (at, *records, *around))]
-        yield pa.RecordBatch.from_arrays(columns, names=["arquivo", "inicio", "bruto", "em", "conta0", "conta1", "estado0", "estado1"])
+        raw = batch.column(3)
+        columns = [files, starts, raw, pc.cast(pc.binary_length(raw), pa.int64()), *map(pa.array, (at, *records, *around))]
+        yield pa.RecordBatch.from_arrays(columns, names=["arquivo", "inicio", "bruto", "bytes", "em", "conta0", "conta1", "estado0", "estado1"])
 
 
 def _split_places(lines: DataFrame) -> DataFrame:
@@ -120,28 +121,31 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ";", most_byte
         _line_map(F.regexp_replace("value", "\r$", ""), delimiter).alias("mapa"),
         F.col("value").cast("binary").alias("bruto"),
     )
-    schema = "arquivo string, inicio long, bruto binary, em long, conta0 long, conta1 long, estado0 int, estado1 int"
+    schema = "arquivo string, inicio long, bruto binary, bytes long, em long, conta0 long, conta1 long, estado0 int, estado1 int"
     # Written once: splits may be cut in another way when executors come or go.
     lines = materialize(given.mapInArrow(_fold, schema), "lines")
     true = lambda name: F.when(F.col("dentro"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
-    placed = lines.join(_split_places(lines), ["arquivo", "inicio"]).select(
+    # A table of its own, so that its size is known before the join and the lines are only moved if it is large.
+    places = materialize(_split_places(lines), "splits")
+    placed = lines.join(places, ["arquivo", "inicio"]).select(
         "arquivo",
         (F.col("registros_antes") + true("conta")).alias("numero"),
         (F.col("linhas_antes") + F.col("em") + 1).alias("linha"),
         (true("estado") == 0).alias("inteira"),
         "bruto",
+        "bytes",
     )
     # Lines that are inside a field at either end are put together by the number of their record.
     key = ["arquivo", "numero"]
     parts = placed.where(~F.col("inteira"))
-    sizes = parts.groupBy(*key).agg(
-        F.min("linha").alias("linha"), F.count(F.lit(1)).alias("linhas"), (F.sum(F.octet_length("bruto").cast("long") + 1) - 1).alias("bytes")
-    )
-    fits = sizes.where(F.col("bytes") <= most_bytes).select(*key)
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("linha", F.hex("bruto").alias("hex")))), lambda p: p["hex"])
-    joined = parts.join(fits, key, "left_semi").groupBy(*key).agg(F.unhex(F.array_join(pieces, "0A")).alias("bruto"))
-    several = sizes.drop("bytes").join(joined, key, "left")
-    out = placed.where("inteira").select(*key, "linha", F.lit(1).cast("long").alias("linhas"), "bruto").unionByName(several)
+    place = [F.min("linha").alias("linha"), F.count(F.lit(1)).alias("linhas")]
+    sized = parts.groupBy(*key).agg(*place, (F.sum(F.col("bytes") + 1) - 1).alias("bytes"))
+    long = materialize(sized.where(F.col("bytes") > most_bytes).drop("bytes"), "long")
+    # Bytes as Latin-1 characters, which can be joined; sorted and joined behind the shuffle.
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("linha", "bruto"))), lambda p: F.decode(p["bruto"], "ISO-8859-1"))
+    joined = parts.join(long.select(*key), key, "left_anti").groupBy(*key).agg(*place, F.encode(F.array_join(pieces, "\n"), "ISO-8859-1").alias("bruto"))
+    single = placed.where("inteira").select(*key, "linha", F.lit(1).cast("long").alias("linhas"), "bruto")
+    out = single.unionByName(joined).unionByName(long.withColumn("bruto", F.lit(None).cast("binary")))
     size = F.octet_length("bruto")
     ended = F.substring("bruto", size, F.lit(1)) == F.lit(b"\r")
     return out.withColumn("bruto", F.when(ended, F.substring("bruto", F.lit(1), size - 1)).otherwise(F.col("bruto")))
