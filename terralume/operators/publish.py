@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.hashing import percent_change, row_fingerprint
 
+MANIFEST = "versao int, tabela string, pasta string"
+
 
 def _state(key: str) -> Column:
     trimmed = F.trim(F.col(key))
@@ -86,30 +90,84 @@ def may_publish(decision: DataFrame, confirmed_base: int | None = None) -> bool:
     return not row["reducao_detectada"] or confirmed_base == row["registros_base_atual"]
 
 
+class CommitRefused(RuntimeError):
+    """Another writer has committed this version, or a later one."""
+
+
 def publish_tables(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], version: int) -> None:
-    """Write all tables of a version, then make it current with one manifest file.
+    """Write all tables of a version into folders of their own, then make it current by one manifest file.
 
-    Readers follow the manifest, so a failure before the last write leaves the
-    previous version in place.
+    Nothing that exists is overwritten. The manifest is written under a free name and takes its place by a rename that fails
+    where the place is taken: the second of two writers of a version gets `CommitRefused` and the first stays
+    readable, as does the version before if a writer fails. A version must be above the current one. Folders of refused or failed
+    writers are never read. Stores must rename a file to a free place in one step, as HDFS does; plain object stores don't.
     """
+    _refuse_old(spark, root, version)
+    folders = {name: f"{name}/version={version}-{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    rows = [(name, version) for name in tables]
-    manifest = spark.createDataFrame(rows, "tabela string, versao int").coalesce(1)
-    manifest.write.mode("overwrite").parquet(f"{root}/_manifest/commit={version}")
+        df.write.parquet(f"{root}/{folders[name]}")
+    rows = [(version, name, folder) for name, folder in folders.items()]
+    trial = f"{root}/_trials/{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(trial)
+    _refuse_old(spark, root, version)
+    _take_place(spark, trial, f"{root}/_manifest/commit-{version:020d}.json")
+
+
+def _refuse_old(spark: SparkSession, root: str, version: int) -> None:
+    newest = _manifest(spark, root).agg(F.max("versao")).first()[0]
+    if newest is not None and newest >= version:
+        raise CommitRefused(f"version {version} is not above {newest}")
+
+
+def _take_place(spark: SparkSession, folder: str, target: str) -> None:
+    """Rename the one part file of a folder to a place that must be free."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    files = hadoop.fs.Path(target).getFileSystem(conf)
+    to = files.makeQualified(hadoop.fs.Path(target))
+    files.mkdirs(to.getParent())
+    part = next(iter(files.globStatus(hadoop.fs.Path(f"{folder}/part-*"))))
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(part.getPath(), to, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception):
+            raise CommitRefused(f"{target} was committed by another writer") from error
+        raise
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row per table and commit; none before the first commit."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(place):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).json(f"{root}/_manifest")
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> int:
-    """Newest committed version of a table; the manifest has one row per table and commit."""
-    manifest = spark.read.parquet(f"{root}/_manifest").where(F.col("tabela") == name)
-    row = manifest.agg(F.max("versao").alias("v")).first()
-    if row["v"] is None:
+    """Newest committed version of a table."""
+    return _current(spark, root, name)["versao"]
+
+
+def _current(spark: SparkSession, root: str, name: str):
+    row = _manifest(spark, root).where(F.col("tabela") == name).orderBy(F.col("versao").desc()).first()
+    if row is None:
         raise ValueError(f"table {name} was never published")
-    return row["v"]
+    return row
+
+
+def read_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables as of one commit (the newest, or the given one), so that they belong together; later commits don't change them."""
+    manifest = _manifest(spark, root)
+    upto = manifest if version is None else manifest.where(F.col("versao") <= version)
+    newest = upto.groupBy("tabela").agg(F.max_by("pasta", "versao").alias("pasta")).collect()  # a row per table
+    return {r["tabela"]: spark.read.parquet(f"{root}/{r['pasta']}") for r in newest}
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}/version={current_version(spark, root, name)}")
+    """The table as of its newest commit."""
+    return spark.read.parquet(f"{root}/{_current(spark, root, name)['pasta']}")
 
 
 def diff(

@@ -41,6 +41,30 @@ def test_reduction_needs_matching_confirmation(spark):
     assert publish.may_publish(publish.compare_counts(new, old))
 
 
+def test_second_writer_of_a_version_is_refused(spark, tmp_path, monkeypatch):
+    root, other = str(tmp_path / "loja"), spark.newSession()
+    publish.publish_tables(spark, root, {"t": spark.range(3), "u": spark.range(1)}, 1)
+    held = publish.read_tables(spark, root)
+    # The other session commits between this writer's last look and its rename.
+    take = publish._take_place
+
+    def late(session, folder, target):
+        monkeypatch.setattr(publish, "_take_place", take)
+        publish.publish_tables(other, root, {"t": other.range(20)}, 2)
+        take(session, folder, target)
+
+    monkeypatch.setattr(publish, "_take_place", late)
+    with pytest.raises(publish.CommitRefused):
+        publish.publish_tables(spark, root, {"t": spark.range(99)}, 2)
+    assert publish.read_table(spark, root, "t").count() == 20
+    assert publish.current_version(other, root, "t") == 2 and publish.current_version(other, root, "u") == 1
+    assert held["t"].count() == 3 and publish.read_tables(spark, root, 1)["t"].count() == 3
+    with pytest.raises(publish.CommitRefused):
+        publish.publish_tables(spark, root, {"t": spark.range(7)}, 1)
+    with pytest.raises(ValueError):
+        publish.read_table(spark, root, "v")
+
+
 def test_versions_follow_the_manifest(spark, tmp_path):
     root = str(tmp_path / "store")
     publish.publish_tables(spark, root, {"t": spark.range(3)}, 1)
