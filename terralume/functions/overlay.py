@@ -277,7 +277,7 @@ def made_valid(geom: Column) -> Column:
     """The geometry as it is when valid, else repaired; NULL when nothing is left."""
     valid = geo.is_valid(geom) & ((F.size(geo.rings(geom)) <= 1) | _plainly_nested(geom))
     fixed = F.when(valid, geo.oriented(geom)).otherwise(repaired(geom))
-    return F.when(F.size(fixed["parts"]) > 0, fixed)
+    return bound(fixed, lambda g: F.when(F.size(g["parts"]) > 0, g))
 
 
 # ---- union area within a tile ---------------------------------------------
