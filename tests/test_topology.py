@@ -181,3 +181,23 @@ def test_points_in_banded_and_small_shapes_agree(spark, monkeypatch):
     assert found[0] == found[1]
     assert {n for i, n in found[0] if i == "center"} == {"star", "box", "twin"} and {n for i, n in found[0] if i == "ring"} == {"box", "twin"}
     assert {n for i, n in found[0] if i == "edge"} == {"star", "box", "twin"} and not [1 for i, _ in found[0] if i == "null"]
+
+
+def test_small_shapes_in_their_row_and_joined_edges_agree(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = {k: t for k, (t, _, _) in CASES.items()}
+    for k in range(12):
+        texts[f"r{k}"] = multi(*[[ring(*[(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(rng.randint(3, 6))]) for _ in range(rng.randint(1, 2))] for _ in range(rng.randint(1, 3))])
+    df = spark.createDataFrame(list(texts.items()), "name string, t string").select("name", geo.from_wkt(F.col("t"), 4674).alias("geometry"))
+    joined_edges, calls, found = topology.meetings, [], []
+    monkeypatch.setattr(topology, "meetings", lambda *a: calls.append(a) or joined_edges(*a))
+    flat = lambda g: [[[(round(p["x"], 9), round(p["y"], 9)) for p in r] for r in part] for part in g["parts"]]
+    for few in (topology.FEW, 0):
+        monkeypatch.setattr(topology, "FEW", few)
+        fixed = {r["name"]: (r["fault"], r["geometry"]["srid"], flat(r["geometry"])) for r in topology.repaired(df, "name").collect()}
+        wrong = sorted(topology.faults(df, "name").collect())
+        united = {r["name"]: flat(r["geometry"]) for r in topology.dissolved(df, "name").collect()}
+        found.append((fixed, wrong, united, len(calls)))
+    assert found[0][:3] == found[1][:3]
+    # No edges of small shapes are joined.
+    assert found[0][3] == 0 and found[1][3] == 3
