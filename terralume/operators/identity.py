@@ -8,9 +8,12 @@ names, so nothing is compared with everything.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as geo, text as tx
+from ..session import materialize
 
 # Points per kind of evidence, margins, history bonus, least structure.
 GEOMETRY_POINTS = 3
@@ -36,24 +39,28 @@ def _prefix_keys(name: Column) -> Column:
     )
 
 
-def matched_fields(layers: DataFrame, specs: DataFrame) -> DataFrame:
+def matched_fields(layers: DataFrame, specs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """(layer, dataset, campo) wherever any alias matches any field of the layer.
 
     Equal names meet on the name, truncated ones on their first eight letters
-    followed by the prefix test.
+    followed by the prefix test. A name that many layers have is a key of many
+    rows, so the names asked for are written once: their size lets Spark send them
+    to the layers where they are few. `carried` are columns of the specs that
+    dataset and campo determine.
     """
-    have = layers.select("layer", F.explode(_names(F.col("campos"))).alias("h")).distinct()
-    want = specs.select("dataset", "campo", tx.normal_name(F.col("alias")).alias("w")).distinct()
+    have = layers.select("layer", F.explode(F.array_distinct(_names(F.col("campos")))).alias("h"))
+    want = specs.select("dataset", "campo", *carried, tx.normal_name(F.col("alias")).alias("w")).distinct()
     have = have.where("h <> ''").withColumn("k", F.explode(_prefix_keys(F.col("h"))))
-    want = want.where("w <> ''").withColumn("k", F.explode(_prefix_keys(F.col("w"))))
+    want = materialize(want.where("w <> ''").withColumn("k", F.explode(_prefix_keys(F.col("w")))), "names")
+    # Equal names count under their full form alone, so long ones come once.
     met = have.join(want, "k").where(
-        (F.col("h") == F.col("w"))
-        | (
+        F.when(F.col("h") == F.col("w"), F.col("k") == F.col("h"))
+        .otherwise(
             (F.least(F.length("h"), F.length("w")) >= 8)
             & (F.col("h").startswith(F.col("w")) | F.col("w").startswith(F.col("h")))
         )
     )
-    return met.select("layer", "dataset", "campo").distinct()
+    return met.select("layer", "dataset", "campo", *carried).distinct()
 
 
 def has_phrase(text: Column, token: Column) -> Column:
@@ -75,9 +82,9 @@ def score_layers(layers: DataFrame, specs: DataFrame, profiles: DataFrame) -> Da
         F.count_distinct(F.when(F.col("obrigatorio"), F.col("campo"))).alias("obrigatorios"),
     )
     needed = specs.where("obrigatorio").select("dataset", "campo").distinct().withColumn("_o", F.lit(1))
+    asked = specs.select("dataset", "campo", "alias").join(needed, ["dataset", "campo"], "left")
     mapped = (
-        matched_fields(layers, specs)
-        .join(needed, ["dataset", "campo"], "left")
+        matched_fields(layers, asked, ["_o"])
         .groupBy("layer", "dataset")
         .agg(F.count(F.lit(1)).alias("mapeados"), F.count("_o").alias("obrigatorios_ok"))
     )
@@ -86,9 +93,10 @@ def score_layers(layers: DataFrame, specs: DataFrame, profiles: DataFrame) -> Da
     evidence = mapped.join(signals, ["layer", "dataset"], "full").na.fill(
         0, ["mapeados", "obrigatorios_ok", "sinais_ok"]
     )
+    # A row a dataset, met by all layers: written once, as the names are.
+    datasets = materialize(sizes.join(profiles, "dataset"), "datasets")
     full = (
-        evidence.join(sizes, "dataset")
-        .join(profiles, "dataset")
+        evidence.join(datasets, "dataset")
         .join(layers.select("layer", "nome", "geometria", "assinatura"), "layer")
     )
     tokens = F.size(F.filter("tokens", lambda t: has_phrase(F.col("nome"), t)))
@@ -223,7 +231,8 @@ def name_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
     words = files.select("arquivo", name.alias("n")).withColumn("w", F.explode(F.array_distinct(F.split("n", "_"))))
     clean = patterns.select("dataset", tx.normal_name(F.regexp_replace("padrao", "[*?]", "")).alias("p")).distinct()
     lead = clean.where("p <> ''").withColumn("w", F.get(F.split("p", "_"), F.lit(0)))
-    hits = words.join(lead, "w").where(F.concat(F.lit("_"), "n", F.lit("_")).contains(F.concat(F.lit("_"), F.col("p"), F.lit("_"))))
+    # Words such as the common start of all names are keys of many rows; the patterns are written once for their size.
+    hits = words.join(materialize(lead, "patterns"), "w").where(F.concat(F.lit("_"), "n", F.lit("_")).contains(F.concat(F.lit("_"), F.col("p"), F.lit("_"))))
     return hits.groupBy("arquivo", "dataset").agg(
         F.max(F.length("p")).alias("maior"), F.count_distinct("p").alias("padroes")
     )
@@ -283,8 +292,10 @@ def classify_headers(headers: DataFrame, specs: DataFrame) -> DataFrame:
 
     `headers` has arquivo and campos.
     """
-    have = headers.select("arquivo", F.explode(_names(F.col("campos"))).alias("h")).distinct()
+    have = headers.select("arquivo", F.explode(F.array_distinct(_names(F.col("campos")))).alias("h"))
     want = specs.select("dataset", "campo", "obrigatorio", tx.normal_name(F.col("alias")).alias("h")).distinct()
+    # A name that many files have is a key of many rows; the names asked for are written once for their size.
+    want = materialize(want, "names")
     hits = have.join(want, "h").select("arquivo", "dataset", "campo", "obrigatorio").distinct()
     need = specs.where("obrigatorio").groupBy("dataset").agg(F.count_distinct("campo").alias("total"))
     per = hits.groupBy("arquivo", "dataset").agg(
