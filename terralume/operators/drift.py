@@ -5,16 +5,20 @@ A field table has layer, nome, tipo, largura, precisao and posicao.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as geo, text as tx
+from ..session import materialize
 
 # Weight of name and position, least similarity, change labels in report order.
 NAME_WEIGHT = 0.75
 LEAST_SIMILARITY = 0.62
 GOOD_SIMILARITY = 0.75
+KNOWN_PAIRS = 100_000  # pairs of names a task remembers
 SEVERITIES = ("NONE", "INFO", "WARNING", "CRITICAL")
 INTERNAL_FIELDS = ("fid", "ogc_fid", "id")
 
@@ -36,15 +40,20 @@ def type_family(kind: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Share of characters in the longest matching blocks of two names."""
     from difflib import SequenceMatcher
 
     met: dict[tuple[str, str], float] = {}  # names recur from layer to layer
-    for pair in zip(a, b, strict=True):
-        if pair not in met:
-            met[pair] = SequenceMatcher(None, *pair).ratio()
-    return pd.Series([met[pair] for pair in zip(a, b, strict=True)], dtype="float64")
+    for a, b in pairs:
+        found = []
+        for pair in zip(a, b, strict=True):
+            if pair not in met:
+                met[pair] = SequenceMatcher(None, *pair).ratio()
+            found.append(met[pair])
+        if len(met) > KNOWN_PAIRS:
+            met.clear()
+        yield pd.Series(found, dtype="float64")
 
 
 def _fields(df: DataFrame, mark: str) -> DataFrame:
@@ -52,13 +61,16 @@ def _fields(df: DataFrame, mark: str) -> DataFrame:
     names = ("nome", "tipo", "largura", "precisao", "posicao")
     named = df.withColumn("chave", tx.normal_name(F.col("nome"))).where("chave <> ''")
     last = named.groupBy("layer", "chave").agg(F.max_by(F.struct(*names), F.struct("posicao", "nome")).alias("f"))
-    return last.select("layer", "chave", *[F.col(f"f.{c}").alias(f"{mark}_{c}") for c in names])
+    return last.select("layer", "chave", *[F.col(f"f.{c}").alias(f"{mark}_{c}") for c in names], type_family(F.col("f.tipo")).alias(f"{mark}_familia"))
 
 
 def in_place_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Spelling, type and precision of the fields that both versions have."""
-    both = _fields(old, "a").join(_fields(new, "b"), ["layer", "chave"])
-    fa, fb = type_family(F.col("a_tipo")), type_family(F.col("b_tipo"))
+    return _in_place(_fields(old, "a").join(_fields(new, "b"), ["layer", "chave"]))
+
+
+def _in_place(both: DataFrame) -> DataFrame:
+    fa, fb = F.col("a_familia"), F.col("b_familia")
     numeric = fa.isin("integer", "real") | fb.isin("integer", "real")
     precise = ~(F.col("a_largura").eqNullSafe(F.col("b_largura")) & F.col("a_precisao").eqNullSafe(F.col("b_precisao")))
     kinds = F.array_compact(
@@ -82,14 +94,19 @@ def field_changes(old: DataFrame, new: DataFrame, aliases: DataFrame | None = No
     bounded number of fields, so the pairing stays small per layer. `confianca` is
     HIGH for renames by alias, MEDIUM or LOW for likely ones, else NULL.
     """
-    a, b = _fields(old, "a"), _fields(new, "b")
-    gone = a.join(b, ["layer", "chave"], "left_anti").withColumnRenamed("chave", "ka")
-    come = b.join(a, ["layer", "chave"], "left_anti").join(a.select("layer").distinct(), "layer", "left_semi").withColumnRenamed("chave", "kb")
+    # Both versions side by side are written once; what is left of either reads them.
+    met = materialize(_fields(old, "a").join(_fields(new, "b"), ["layer", "chave"], "full_outer"), "fields")
+    in_a, in_b = F.col("a_familia").isNotNull(), F.col("b_familia").isNotNull()
+    side = lambda mark: [c for c in met.columns if c.startswith(f"{mark}_")]
+    a, b = met.where(in_a).select("layer", "chave", *side("a")), met.where(in_b).select("layer", "chave", *side("b"))
+    gone = met.where(in_a & ~in_b).select("layer", F.col("chave").alias("ka"), *side("a"))
+    come = met.where(in_b & ~in_a).select("layer", F.col("chave").alias("kb"), *side("b"))
+    come = come.join(a.select("layer").distinct(), "layer", "left_semi")
     renames = _alias_renames(a, b, aliases) if aliases is not None else None
     if renames is not None:
         gone = gone.join(renames.select("layer", "ka"), ["layer", "ka"], "left_anti")
         come = come.join(renames.select("layer", "kb"), ["layer", "kb"], "left_anti")
-    likely = _similar_pairs(gone, come)
+    likely = materialize(_similar_pairs(gone, come), "renames")
     removed = gone.join(likely.select("layer", "ka"), ["layer", "ka"], "left_anti")
     added = come.join(likely.select("layer", "kb"), ["layer", "kb"], "left_anti")
     none = F.lit(None).cast("string")
@@ -99,7 +116,7 @@ def field_changes(old: DataFrame, new: DataFrame, aliases: DataFrame | None = No
 
     known = F.when(F.col("s") >= GOOD_SIMILARITY, "MEDIUM").otherwise("LOW")
     out = (
-        in_place_changes(old, new).withColumn("confianca", none)
+        _in_place(met.where(in_a & in_b)).withColumn("confianca", none)
         .unionByName(shape(likely, "POSSIBLE_FIELD_RENAMED", F.col("a_nome"), F.col("b_nome"), "WARNING", known))
         .unionByName(shape(removed, "FIELD_REMOVED", F.col("a_nome"), none, "WARNING"))
         .unionByName(shape(added, "FIELD_ADDED", none, F.col("b_nome"), "INFO"))
@@ -126,7 +143,7 @@ def _similar_pairs(gone: DataFrame, come: DataFrame) -> DataFrame:
     """Removed fields, in the order of names, each with the best added field not yet taken."""
     gap = F.abs(F.coalesce("a_posicao", F.lit(0)) - F.coalesce("b_posicao", F.lit(0)))
     near = F.when(gap == 0, 1.0).when(gap == 1, 0.7).otherwise(0.0)
-    fa, fb = type_family(F.col("a_tipo")), type_family(F.col("b_tipo"))
+    fa, fb = F.col("a_familia"), F.col("b_familia")
     fits = (fa == fb) | (fa.isin("integer", "real") & fb.isin("integer", "real"))
     pairs = gone.join(come, "layer").where(fits).withColumn("s", similarity("ka", "kb") * NAME_WEIGHT + near * (1 - NAME_WEIGHT))
     choice = F.struct((-F.col("s")).alias("m"), "kb", "s", "a_nome", "b_nome")
