@@ -187,6 +187,8 @@ def contract_overlaps(properties: Indexed, features: DataFrame, key: str) -> Dat
 
 # Least area of a plot warning, and its label outside the property.
 WARNING_M2 = 0.01
+# Plots of one property that are paired without a grid.
+SIBLINGS = 256
 OUTSIDE_LABEL = "Fora do limite do CAR"
 
 
@@ -195,30 +197,52 @@ def plot_warnings(plots: DataFrame, properties: Indexed, references: DataFrame)
 
     `plots` has plot, cod_imovel, nome; `references` has rotulo. The part of a
     plot outside its property is its area minus the shared area, so no
-    difference geometry is built. Siblings are found through the grid, not by
-    pairing all plots of a property.
+    difference geometry is built. The edges of plots are sent to their property once, where
+    they meet its own and those of siblings; the plots of a property with very many are paired
+    through the grid.
     """
     mine = Indexed.of(plots)
     layer = Indexed.of(references)
-    feats = mine.features.select("plot", "cod_imovel", "nome", F.col("shape").alias("a"))
+    feats = mine.features.select(F.col("shape").alias("a"), "plot", "cod_imovel", "nome")
 
     labels = layer.features.select(F.col("shape").alias("b"), "rotulo").distinct()
     near = spatial.shape_overlaps(mine.shapes, layer.shapes, WARNING_M2)
     by_layer = feats.join(near, "a").join(labels, "b").select("plot", "rotulo")
 
+    # One shuffle serves the joins with the property and with the siblings, which read the same columns.
+    drawn = spatial.with_edges(feats, mine.shapes, "a", ["plot", "cod_imovel", "nome"]).repartition("cod_imovel")
     owner = properties.features.select("cod_imovel", F.col("shape").alias("b"))
-    own = feats.join(owner, "cod_imovel").select("plot", "a", "b")
-    shared = spatial.measured(own.select("a", "b").distinct(), mine.shapes, properties.shapes)
-    areas = spatial.shape_areas(mine.shapes).withColumnRenamed("shape", "a")
-    inside = own.join(shared, ["a", "b"], "left").join(areas, "a")
-    beyond = inside.where(F.col("m2") - F.coalesce("area_m2", F.lit(0.0)) > WARNING_M2)
+    owned = spatial.with_edges(owner, properties.shapes, "b", ["cod_imovel"], "left")
+    inside = drawn.join(owned, "cod_imovel").groupBy("cod_imovel", "plot", "nome", "a", "m2a", "b").agg(spatial.shared_m2().alias("area_m2"))
+    beyond = inside.where(F.col("m2a") - F.coalesce("area_m2", F.lit(0.0)) > WARNING_M2)
     outside = beyond.select("plot", F.lit(OUTSIDE_LABEL).alias("rotulo"))
 
-    met = spatial.shape_overlaps(mine.shapes, mine.shapes, WARNING_M2).select("a", "b")
-    other = feats.select(
-        F.col("a").alias("b"), "cod_imovel", F.col("plot").alias("_p"),
-        F.concat(F.lit("Polígono: "), "nome").alias("rotulo"),
-    )
-    siblings = feats.drop("nome").join(met, "a").join(other, ["b", "cod_imovel"]).where("plot <> _p")
-    found = by_layer.unionByName(outside).unionByName(siblings.select("plot", "rotulo"))
+    crowded = materialize(feats.groupBy("cod_imovel").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SIBLINGS).select("cod_imovel"), "crowded")
+    label = F.concat(F.lit("Polígono: "), "nome").alias("rotulo")
+    if crowded.isEmpty():
+        siblings = _siblings(drawn, label)
+    else:
+        siblings = _siblings(drawn.join(crowded, "cod_imovel", "left_anti"), label)
+        siblings = siblings.unionByName(_siblings_in_grid(feats.join(crowded, "cod_imovel", "left_semi"), mine.shapes, label))
+    found = by_layer.unionByName(outside).unionByName(siblings)
     return found.groupBy("plot").agg(F.array_sort(F.collect_set("rotulo")).alias("avisos"))
+
+
+def _siblings(drawn: DataFrame, label: Column) -> DataFrame:
+    """Labels of the plots that overlap a plot of the same property."""
+    other = drawn.select(
+        "cod_imovel", F.col("plot").alias("_p"), F.col("nome").alias("_n"), F.col("a").alias("b"),
+        *[F.col(f"{c}a").alias(f"{c}b") for c in spatial.EDGE_COLUMNS],
+    )
+    apart = F.coalesce(F.col("plot") != F.col("_p"), F.lit(False))
+    pairs = drawn.join(other, "cod_imovel").where(apart & spatial.slices_meet())
+    met = pairs.groupBy("cod_imovel", "plot", "nome", "a", "m2a", "_p", "_n", "b", "m2b").agg(spatial.shared_m2().alias("area_m2"))
+    return met.where(F.col("area_m2") > WARNING_M2).select("plot", F.col("_n").alias("nome")).select("plot", label)
+
+
+def _siblings_in_grid(feats: DataFrame, shapes: DataFrame, label: Column) -> DataFrame:
+    """The same, of properties with so many plots that their pairs are found by place."""
+    side = shapes.join(feats.select(F.col("a").alias("shape")), "shape", "left_semi")
+    met = spatial.shape_overlaps(side, side, WARNING_M2).select("a", "b")
+    other = feats.select(F.col("a").alias("b"), "cod_imovel", F.col("plot").alias("_p"), label)
+    return feats.drop("nome").join(met, "a").join(other, ["b", "cod_imovel"]).where("plot <> _p").select("plot", "rotulo")

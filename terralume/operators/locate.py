@@ -69,17 +69,12 @@ def by_view(
     """Properties touching each view box (west, south, east, north), by code."""
     box = geo.box_geometry(*[F.col(c) for c in ("west", "south", "east", "north")])
     asked, known = Indexed.of(views.withColumn("geometry", box)), Indexed.of(properties)
-    met = spatial.shape_contacts(asked.shapes, known.shapes)
-    rows = (
-        asked.features.select(view_key, "excluded", F.col("shape").alias("a"))
-        .join(met, "a")
-        .join(known.features.withColumnRenamed("shape", "b"), "b")
-        .where(
-            F.coalesce("excluded", F.lit("")).isin("")
-            | (F.upper(F.trim("cod_imovel")) != F.upper(F.trim("excluded")))
-        )
+    columns = [c for c in known.features.columns if c != "shape"]
+    rows = spatial.member_contacts(asked.features, known.features, asked.shapes, known.shapes, [view_key, "excluded"], columns).where(
+        F.coalesce("excluded", F.lit("")).isin("")
+        | (F.upper(F.trim("cod_imovel")) != F.upper(F.trim("excluded")))
     )
-    return top_per(rows, [view_key], [F.col("cod_imovel")], limit).drop("a", "b")
+    return top_per(rows, [view_key], [F.col("cod_imovel")], limit)
 
 
 def by_polygon(

@@ -24,6 +24,9 @@ LEVELS = 10
 # rows are spread over salts and the few coarse objects are repeated per salt.
 SALTED_LEVEL = 5
 SALTS = 16
+# Deepest cut of a coarse object, in levels, and cell rows a fine object has in one level, about.
+DEEPEST = 5
+ENTERED = 1.5
 # Edges of one slice of a shape.
 CHUNK = 256
 # Edges a band of a large shape has for each crossing, about.
@@ -44,35 +47,80 @@ def _own_level(box: Column) -> Column:
     return level.otherwise(LEVELS - 1)
 
 
+def _level_counts(df: DataFrame, box: str) -> dict[int, int]:
+    """Objects of a side by the level they live at; at most LEVELS rows reach the driver."""
+    return {r["l"]: r["n"] for r in df.groupBy(_own_level(F.col(box)).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def _levels(df: DataFrame, box: str) -> list[int]:
-    """Levels that objects of a side live at; at most LEVELS rows reach the driver."""
-    return sorted(r[0] for r in df.select(_own_level(F.col(box))).distinct().collect())
+    """Levels that objects of a side live at."""
+    return sorted(_level_counts(df, box))
+
+
+def _homes(coarse: dict[int, int | None], fine: dict[int, int | None]) -> dict[int, int]:
+    """The level at which coarse objects of each level await finer ones of the other side.
+
+    That is their own level, or a finer one if both sides have fewer cell rows so: each fine
+    object then enters the cells of one level instead of all coarser ones. An object is cut into
+    at most 4^DEEPEST cells a side, and levels with salts are no home of coarser objects.
+    """
+    own = {j: j for j in coarse}
+    if None in coarse.values() or None in fine.values():
+        return own
 
+    def rows(homes: dict[int, int]) -> float:
+        kept = sum(n * (1 + 4.0 ** (j - homes[j])) ** 2 * (SALTS if homes[j] >= SALTED_LEVEL else 1) for j, n in coarse.items())
+        asked = sum(n * len({h for h in homes.values() if h > i} | {j for j, h in homes.items() if h <= i < j}) for i, n in fine.items())
+        return kept + ENTERED * asked
 
-def _cells(df: DataFrame, key: str, box: str, own_tag: int, others: Sequence[int]) -> DataFrame:
-    """Cell rows of one side: its own level, and those it may be found at by the other side.
+    cuts = [{j: s if s <= j <= s + DEEPEST else j for j in coarse} for s in coarse if s < SALTED_LEVEL]
+    return min([own, *cuts], key=rows)
 
-    `others` are the levels of the other side's objects; a level without any
-    gets no rows.
 
-    Rows tagged 1 join left objects at their own level with right objects of
-    that level or finer; rows tagged 2 join the rest. Only one side of a tag
-    holds fine objects, so two large sets never meet in a coarse cell. At
-    coarse levels the fine rows are spread over salts and the few coarse
-    objects are repeated per salt.
+def _cell_rows(left: dict[int, int | None], right: dict[int, int | None]) -> tuple[dict, dict]:
+    """(level, tag) of the cells that left and right objects of each level enter.
+
+    Objects of tag 1 are left ones at their home with right ones as fine as that or finer, of tag 2
+    right ones at their home with finer left ones. Where the finer object of a pair is coarser than
+    that home, the pair meets at the coarser object's own level: tags 3 and 4.
+    """
+    lh, rh = _homes(left, right), _homes(right, left)
+    a = {
+        i: {(lh[i], 1) for j in right if j <= lh[i]} | {(i, 3) for j in right if lh[i] < j <= i}
+        | {(rh[j], 2) for j in right if i < rh[j]} | {(j, 4) for j in right if rh[j] <= i < j}
+        for i in left
+    }
+    b = {
+        j: {(rh[j], 2) for i in left if i < rh[j]} | {(j, 4) for i in left if rh[j] <= i < j}
+        | {(lh[i], 1) for i in left if j <= lh[i]} | {(i, 3) for i in left if lh[i] < j <= i}
+        for j in right
+    }
+    return a, b
+
+
+def _cells(
+    df: DataFrame, key: str, box: str, own_tag: int, others: Sequence[int], keep: Sequence[str] = (), rows: dict[int, set] | None = None
+) -> DataFrame:
+    """Cell rows of one side, 1 or 2, as `_cell_rows` tells for each level.
+
+    Without `rows` nothing is known of the number of objects; `others` are the levels of the other
+    side's objects, and a level without any gets no rows.
+
+    Only one side of a tag holds fine objects, so two large sets never meet in a coarse cell. At
+    coarse levels the fine rows are spread over salts and the few coarse objects are repeated per
+    salt.
     """
-    own = F.col("_own")
-    first = own if own_tag == 2 else own + 1
-    row = lambda level, tag: F.struct(level.cast("int").alias("l"), F.lit(tag).alias("t"))
-    levels = F.array(*map(F.lit, others)).cast("array<int>")
-    found = F.transform(F.filter(levels, lambda n: n >= first), lambda n: row(n, 3 - own_tag))
-    # The own level serves objects of the other side that are finer, or as fine where it is first.
-    finer = own >= min(others, default=LEVELS) if own_tag == 1 else own > min(others, default=LEVELS)
-    at_home = F.when(finer, F.array(row(own, own_tag))).otherwise(F.array().cast("array<struct<l:int,t:int>>"))
-    rows = F.explode(F.concat(at_home, found))
-    leveled = df.withColumn("_own", _own_level(F.col(box))).withColumn("_r", rows)
+    if rows is None:
+        mine, theirs = dict.fromkeys(range(LEVELS)), dict.fromkeys(others)
+        rows = _cell_rows(mine, theirs)[0] if own_tag == 1 else _cell_rows(theirs, mine)[1]
+    none = F.array().cast("array<struct<l:int,t:int>>")
+    listed = none
+    for level, entered in rows.items():
+        these = F.array(*[F.struct(F.lit(n).alias("l"), F.lit(t).alias("t")) for n, t in sorted(entered)]) if entered else none
+        listed = F.when(F.col("_own") == level, these).otherwise(listed)
+    leveled = df.withColumn("_own", _own_level(F.col(box))).withColumn("_r", F.explode(listed))
     leveled = leveled.select(
-        key, box, F.col("_r.l").alias("_level"), F.col("_r.t").alias("_tag"),
+        key, box, *keep, F.col("_r.l").alias("_level"), F.col("_r.t").alias("_tag"),
         _cell_side(F.col("_r.l")).alias("_side"),
     )
     span = lambda lo, hi: F.sequence(
@@ -81,7 +129,7 @@ def _cells(df: DataFrame, key: str, box: str, own_tag: int, others: Sequence[int
     hot = F.col("_level") >= SALTED_LEVEL
     spread = F.array(F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     repeat = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salts = F.when(~hot, F.array(F.lit(0))).when(F.col("_tag") == own_tag, repeat).otherwise(spread)
+    salts = F.when(~hot, F.array(F.lit(0))).when(F.col("_tag") % 2 == own_tag % 2, repeat).otherwise(spread)
     return (
         leveled.withColumn("_cx", F.explode(span("xmin", "xmax")))
         .withColumn("_cy", F.explode(span("ymin", "ymax")))
@@ -91,20 +139,30 @@ def _cells(df: DataFrame, key: str, box: str, own_tag: int, others: Sequence[int
 
 
 def candidate_pairs(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_levels: list[int] | None = None
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    left_levels: list[int] | None = None,
+    left_keep: Sequence[str] = (),
+    right_keep: Sequence[str] = (),
 ) -> DataFrame:
     """Key pairs whose boxes touch, each pair once.
 
     `left_levels` saves the job that finds the levels of the left side where they are known.
 
-    Both inputs need `bbox`. Only keys and boxes travel through the join. A
-    pair found in several cells is kept in the one that holds the lower-left
+    Both inputs need `bbox`. Only keys, boxes and the columns to keep travel through the
+    join. A pair found in several cells is kept in the one that holds the lower-left
     corner of the common box, so no distinct is needed.
     """
-    a = left.where("bbox is not null").select(F.col(left_key).alias("_a"), F.col("bbox").alias("_abox"))
-    b = right.where("bbox is not null").select(F.col(right_key).alias("_b"), F.col("bbox").alias("_bbox"))
-    met = _cells(a, "_a", "_abox", 1, _levels(b, "_bbox")).join(
-        _cells(b, "_b", "_bbox", 2, _levels(a, "_abox") if left_levels is None else left_levels), ["_tag", "_level", "_cx", "_cy", "_salt"]
+    a = left.where("bbox is not null").select(F.col(left_key).alias("_a"), F.col("bbox").alias("_abox"), *left_keep)
+    b = right.where("bbox is not null").select(F.col(right_key).alias("_b"), F.col("bbox").alias("_bbox"), *right_keep)
+    in_a = _level_counts(a, "_abox") if left_levels is None else dict.fromkeys(left_levels)
+    in_b = _level_counts(b, "_bbox")
+    rows_a, rows_b = _cell_rows(in_a, in_b)
+    # A small table can have many cells, which its size does not tell: none is broadcast for it.
+    met = _cells(a, "_a", "_abox", 1, list(in_b), left_keep, rows_a).join(
+        _cells(b, "_b", "_bbox", 2, list(in_a), right_keep, rows_b).hint("merge"), ["_tag", "_level", "_cx", "_cy", "_salt"]
     )
     side = _cell_side(F.col("_level"))
     x0 = F.greatest("_abox.xmin", "_bbox.xmin")
@@ -114,13 +172,13 @@ def candidate_pairs(
         & (y0 <= F.least("_abox.ymax", "_bbox.ymax"))
         & (F.floor(x0 / side) == F.col("_cx"))
         & (F.floor(y0 / side) == F.col("_cy"))
-    ).select(F.col("_a").alias(left_key), F.col("_b").alias(right_key))
+    ).select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), *left_keep, *right_keep)
 
 
 def with_shape(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Add `shape`, 128 hash bits: equal for geometries with equal coordinates."""
+    """Add `shape`, 128 hash bits as bytes: equal for geometries with equal coordinates."""
     parts = F.col(geometry)["parts"]
-    both = F.concat_ws("", F.hex(F.xxhash64(parts)), F.hex(F.xxhash64(F.lit("shape"), parts)))
+    both = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(parts), F.xxhash64(F.lit("shape"), parts))]))
     return df.withColumn("shape", F.when(parts.isNotNull(), both))
 
 
@@ -185,14 +243,14 @@ def with_valid_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return rows.join(fixed, "_same", "left").withColumn(geometry, F.col("_fixed")).drop("_same", "_fixed")
 
 
-def _chunks(side: DataFrame, name: str) -> DataFrame:
+def _chunks(side: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
     """Runs of a shape in slices of at most CHUNK edges, ordered by x, with their x range."""
     runs = F.array_sort("runs")
     starts = F.sequence(F.lit(1), F.greatest(F.size("runs"), F.lit(1)), F.lit(CHUNK))
     slices = F.when(F.size("runs") <= CHUNK, F.array("runs")).otherwise(
         F.transform(starts, lambda i: F.slice(runs, i, F.lit(CHUNK)))
     )
-    cut = side.select(F.col("shape").alias(name), F.explode(slices).alias(f"r{name}"))
+    cut = side.select(F.col("shape").alias(name), F.explode(slices).alias(f"r{name}"), *keep)
     ends = lambda k: F.transform(f"r{name}", lambda e: e[k])
     return cut.withColumns(
         {f"{name}lo": F.array_min(ends("x0")), f"{name}hi": F.array_max(ends("x1"))}
@@ -204,17 +262,35 @@ def shape_overlaps(
 ) -> DataFrame:
     """Shape pairs with a shared area above the tolerance, from two `shapes` tables.
 
-    The shared area is a sum over edge pairs, so the edges of a large polygon
+    The shared area is a sum over edge pairs. Shapes of at most CHUNK edges bring theirs into the
+    grid, where a pair is measured as it is found. The edges of a larger polygon
     travel in slices and the slices of a pair are summed: no row ever works on
     more than CHUNK x CHUNK edge pairs, and only slices whose x ranges meet do
-    any work. An ordinary polygon is a single slice. With `once` both sides
+    any work. With `once` both sides
     are the same table and each unordered pair is measured once.
     """
-    a = left.select(F.col("shape").alias("a"), "bbox")
-    b = right.select(F.col("shape").alias("b"), "bbox")
-    pairs = candidate_pairs(a, b, "a", "b")
-    pairs = pairs.where("a < b") if once else pairs
-    return measured(pairs, left, right).where(F.col("area_m2") > tolerance)
+    a = left.select(F.col("shape").alias("a"), "bbox", F.col("runs").alias("ra"))
+    b = right.select(F.col("shape").alias("b"), "bbox", F.col("runs").alias("rb"))
+    (a, wide_a), (b, wide_b) = _by_size(a, F.size("ra")), _by_size(b, F.size("rb"))
+    one_way = (lambda df: df.where("a < b")) if once else (lambda df: df)
+    pairs = one_way(candidate_pairs(a, b, "a", "b", left_keep=["ra"], right_keep=["rb"]))
+    area = overlay.overlap(F.col("ra"), F.col("rb")) * geo.AREA_SCALE
+    # Generated, so that the test on the area does not make it again.
+    found = pairs.select("a", "b", F.explode(F.array(area)).alias("area_m2"))
+    for x, y in _with_wide(a, wide_a, b, wide_b):
+        found = found.unionByName(measured(one_way(candidate_pairs(x, y, "a", "b")), left, right))
+    return found.where(F.col("area_m2") > tolerance)
+
+
+def _by_size(side: DataFrame, edges: Column) -> tuple[DataFrame, DataFrame | None]:
+    """Objects of at most CHUNK edges, and the others if there are any."""
+    wide = side.where(edges > CHUNK)
+    return side.where(edges <= CHUNK), None if wide.isEmpty() else wide
+
+
+def _with_wide(a: DataFrame, wide_a: DataFrame | None, b: DataFrame, wide_b: DataFrame | None) -> list[tuple[DataFrame, DataFrame]]:
+    """Sides whose pairs hold at least one object of many edges; each pair is in one of them."""
+    return [(x, y) for x, y in ((wide_a, b), (a, wide_b), (wide_a, wide_b)) if x is not None and y is not None]
 
 
 def measured(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -225,11 +301,96 @@ def measured(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg((F.sum(area) * geo.AREA_SCALE).alias("area_m2"))
 
 
+def row_contacts(left: DataFrame, right: DataFrame, left_keep: Sequence[str], right_keep: Sequence[str]) -> DataFrame:
+    """Columns to keep of the pairs of rows that share at least one point.
+
+    Both sides have `geometry` of at most CHUNK edges and `bbox`. Edges travel with the boxes, so a
+    pair is tested in the cell that finds it, and no pair is written or joined to its shapes again.
+    """
+    first = lambda parts: F.transform(parts, lambda p: F.get(F.get(p, F.lit(0)), F.lit(0)))
+    side = lambda df, n, keep: df.select(
+        F.xxhash64(*keep).alias(f"_k{n}"), "bbox", geo.edges(F.col("geometry")).alias(f"e{n}"), first(F.col("geometry")["parts"]).alias(f"v{n}"), *keep
+    )
+    kept = [f"{c}{n}" for n in "ab" for c in "ev"]
+    a, b = side(left, "a", left_keep), side(right, "b", right_keep)
+    pairs = candidate_pairs(
+        a, b, "_ka", "_kb",
+        left_keep=[*kept[:2], *left_keep], right_keep=[*kept[2:], *right_keep],
+    )
+    holds = lambda es, vs: F.exists(vs, lambda v: F.size(F.filter(es, lambda e: geo.passes_right(e, v["x"], v["y"]))) % 2 == 1)
+    meet = F.exists("ea", lambda x: F.exists("eb", lambda y: geo.edges_meet(x, y)))
+    return pairs.where(holds("ea", "vb") | holds("eb", "va") | meet).select(*left_keep, *right_keep)
+
+
+# Columns of a slice of a shape besides its key, as `with_edges` names them for a side.
+EDGE_COLUMNS = ("r", "lo", "hi", "ylo", "yhi", "m2")
+
+
+def with_edges(rows: DataFrame, side: DataFrame, name: str, keep: Sequence[str], how: str = "inner") -> DataFrame:
+    """Distinct rows of a shape key and columns to keep, once for each slice of the shape, with its area.
+
+    Sent to the shapes by their key first, so that telling rows apart needs no other shuffle.
+    """
+    n = name
+    cut = _chunks(shape_areas(side, "runs", "bbox"), n, ["bbox", "m2"]).select(
+        n, f"r{n}", F.col(f"{n}lo").alias(f"lo{n}"), F.col(f"{n}hi").alias(f"hi{n}"),
+        F.col("bbox.ymin").alias(f"ylo{n}"), F.col("bbox.ymax").alias(f"yhi{n}"), "m2",
+    )
+    each = rows.select(n, *keep).repartition(n).dropDuplicates()
+    return each.join(cut.withColumnRenamed("m2", f"m2{n}").hint("merge"), n, how)
+
+
+def slices_meet() -> Column:
+    """The ranges of two slices of `with_edges`, named a and b, meet.
+
+    Coalesced, so that no test for null is drawn from it into one of two equal shuffles.
+    """
+    return F.coalesce(F.expr("loa < hib and lob < hia and yloa < yhib and ylob < yhia"), F.lit(False))
+
+
+def shared_m2() -> Column:
+    """Area shared by two shapes, summed over their slices a and b that meet."""
+    area = F.when(slices_meet(), overlay.overlap(F.col("ra"), F.col("rb")))
+    return F.sum(area) * geo.AREA_SCALE
+
+
 def shape_contacts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Shape pairs that share at least one point, edge contact included.
 
     Two shapes meet where their edges do, or a part of one lies within the other; its first vertex
-    tells that. Edges travel in slices of at most CHUNK, so a row compares two slices, and only those
+    tells that. Pairs of shapes of at most CHUNK edges are tested as the grid finds them, others slice by slice.
+    """
+    count = F.size(geo.vertices(F.col("geometry")))
+    (a, wide_a), (b, wide_b) = _by_size(left, count), _by_size(right, count)
+    name = lambda df, n: df.select(F.col("shape").alias(n), "geometry", "bbox")
+    met = row_contacts(name(a, "a"), name(b, "b"), ["a"], ["b"])
+    for x, y in _with_wide(a, wide_a, b, wide_b):
+        met = met.unionByName(_sliced_contacts(x, y))
+    return met
+
+
+def member_contacts(
+    left: DataFrame, right: DataFrame, left_shapes: DataFrame, right_shapes: DataFrame, left_keep: Sequence[str], right_keep: Sequence[str]
+) -> DataFrame:
+    """Columns to keep of feature pairs that share at least one point.
+
+    Features enter the grid with their shape and what is asked of them, so the many pairs are not
+    shuffled by shape; pairs that hold a shape of many edges are found shape by shape.
+    """
+    count = F.size(geo.vertices(F.col("geometry")))
+    (a, wide_a), (b, wide_b) = _by_size(left_shapes, count), _by_size(right_shapes, count)
+    outline = lambda df: df.select("shape", "geometry", "bbox")
+    met = row_contacts(left.join(outline(a), "shape"), right.join(outline(b), "shape"), left_keep, right_keep)
+    for x, y in _with_wide(a, wide_a, b, wide_b):
+        mine = left.select(F.col("shape").alias("a"), *left_keep).join(_sliced_contacts(x, y), "a")
+        met = met.unionByName(mine.join(right.select(F.col("shape").alias("b"), *right_keep), "b").drop("a", "b"))
+    return met
+
+
+def _sliced_contacts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Contacts of shapes of any size.
+
+    Edges travel in slices of at most CHUNK, so a row compares two slices, and only those
     whose boxes meet; crossings beside a vertex are summed over slices.
     """
     sides = {"a": left, "b": right}
@@ -271,12 +432,12 @@ def intersection_shapes(overlaps: DataFrame, left: DataFrame, right: DataFrame)
     ).drop("_ra", "_rb")
 
 
-def shape_areas(side: DataFrame) -> DataFrame:
-    """Area per shape, from the same runs as the overlaps."""
+def shape_areas(side: DataFrame, *keep: str) -> DataFrame:
+    """Area per shape, from the same runs as the overlaps, and columns to keep."""
     below = F.aggregate(
         "runs", F.lit(0.0), lambda acc, e: acc - e["s"] * (e["x1"] - e["x0"]) * (e["y0"] + e["y1"]) / 2
     )
-    return side.select("shape", (below * geo.AREA_SCALE).alias("m2"))
+    return side.select("shape", (below * geo.AREA_SCALE).alias("m2"), *keep)
 
 
 # Fixed value: rows kept per property before the truncation flag is set.
