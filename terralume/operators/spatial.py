@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as geo, overlay
-from ..session import materialize
+from ..session import materialize, spread
 from . import topology
 
 FINEST = 1 / 1024
@@ -427,9 +427,9 @@ def intersection_shapes(overlaps: DataFrame, left: DataFrame, right: DataFrame)
     ra = left.select(F.col("shape").alias("a"), overlay.rises(F.col("geometry")).alias("_ra"))
     rb = right.select(F.col("shape").alias("b"), overlay.rises(F.col("geometry")).alias("_rb"))
     both = overlaps.join(ra, "a").join(rb, "b")
-    return both.withColumn(
-        "geometry", overlay.intersection(F.col("_ra"), F.col("_rb"))
-    ).drop("_ra", "_rb")
+    # Generated, so that a test on its parts does not clip the pair again.
+    clipped = F.explode(F.array(overlay.intersection(F.col("_ra"), F.col("_rb"))))
+    return both.withColumn("geometry", clipped).drop("_ra", "_rb")
 
 
 def shape_areas(side: DataFrame, *keep: str) -> DataFrame:
@@ -501,14 +501,17 @@ def union_areas(pieces: DataFrame, keys: Sequence[str], geometry: str = "geometr
 
     Pieces are cut into tiles of a few typical piece sizes per key, so a key
     with very many pieces becomes many small tiles; tile areas add up. Copies
-    are dropped before the tiles are built.
+    are dropped before the tiles are built. Tiles, not keys, are dealt over the
+    tasks, in as many as the session names, so that neither a large key nor
+    partitions joined for their few bytes meet in the memory of one task.
+
+    `pieces` are read twice, for the sizes and for the tiles: written ones are made once.
     """
+    made = overlay.rises(geo.equal_area(geo.oriented(geo.geometry(F.array("part")))))
+    # Generated, so that the test on the box does not make the edges again.
     each = (
         pieces.select(*keys, F.explode(F.col(geometry)["parts"]).alias("part"))
-        .withColumn(
-            "rises", overlay.rises(geo.equal_area(geo.oriented(geo.geometry(F.array("part")))))
-        )
-        .drop("part")
+        .select(*keys, F.explode(F.array(made)).alias("rises"))
         .distinct()
     )
     xs = F.flatten(F.transform("rises", lambda e: F.array(e["x0"], e["x1"])))
@@ -533,7 +536,8 @@ def union_areas(pieces: DataFrame, keys: Sequence[str], geometry: str = "geometr
         ((F.col("tx") + 1) * F.col("sx")).alias("x1"),
         ((F.col("ty") + 1) * F.col("sy")).alias("y1"),
     )
-    grouped = tiled.groupBy(*keys, "tx", "ty", "sx", "sy").agg(
+    dealt = spread(tiled.select(*keys, "tx", "ty", "sx", "sy", "rises"), *keys, "tx", "ty")
+    grouped = dealt.groupBy(*keys, "tx", "ty", "sx", "sy").agg(
         F.flatten(F.collect_list("rises")).alias("rises")
     )
     return (

@@ -157,8 +157,8 @@ _UNION_SQL = f"""with {roles.PROPERTIES_SQL}, {roles.EMBARGO_SQL}, {pairs_sql("e
 def union_area_per_property(spark: SparkSession, sf: str) -> DataFrame:
     """Area of each property covered by the embargo layer, overlaps counted once."""
     props, _, ps, fs = sides(spark, sf, roles.embargo_layer(spark, sf))
-    pieces = spatial.intersection_shapes(spatial.shape_overlaps(ps, fs), ps, fs)
-    per_shape = spatial.union_areas(pieces, ["a"])
+    pieces = spatial.intersection_shapes(spatial.shape_overlaps(ps, fs), ps, fs).select("a", "geometry")
+    per_shape = spatial.union_areas(materialize(pieces, "pieces"), ["a"])
     mine = props.select(F.col("shape").alias("a"), "cod_imovel").join(per_shape, "a")
     return mine.select(
         "cod_imovel", F.round(F.col("area_unica_m2") / 10000, 3).alias("area_unica_ha")

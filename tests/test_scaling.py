@@ -1,5 +1,8 @@
 """Names that many rows have, short rows with long work, and expressions that are made once."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from terralume.functions import geometry as geo
@@ -101,3 +104,20 @@ def test_field_tables_are_read_once(spark, tmp_path):
     found = drift.field_changes(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("old", "new")])
     assert {(r["layer"], r["tipo"], r["de"], r["para"]) for r in found.collect()} == {("l", "POSSIBLE_FIELD_RENAMED", "area", "areas"), (None, "FIELD_REMOVED", "x", None)}
     assert not any(f"{tmp_path}" in f for f in found.inputFiles())
+
+
+def test_tiles_of_one_key_are_dealt_over_tasks(spark):
+    pieces = _boxes(spark, [(1, 0.01 * i, 0.0, 0.01 * i + 0.02, 0.01) for i in range(200)] + [(1, 0.0, 0.0, 0.02, 0.01), (None, 0.0, 0.0, 1.0, 1.0)], "a long")
+    found = spatial.union_areas(pieces, ["a"])
+    whole = _boxes(spark, [(1, 0.0, 0.0, 2.01, 0.01)], "a long").select(geo.area_m2(F.col("geometry"))).first()[0]
+    assert [(r["a"], r["area_unica_m2"]) for r in found.collect()] == [(1, pytest.approx(whole, rel=1e-9))]
+    assert re.search(r"hashpartitioning\(a#\d+L?, tx#\d+L, ty#\d+L, \d+\), REPARTITION_BY_NUM", _plan(found))
+
+
+def test_pairs_are_clipped_and_edges_made_once(spark):
+    side = spatial.valid_shapes(spatial.with_shape(_boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0), (2, 0.5, 0.5, 2.0, 2.0)], "k long")))
+    pairs = spark.createDataFrame([(r["shape"], r["shape"]) for r in side.select("shape").collect()], "a binary, b binary")
+    clipped = spatial.intersection_shapes(pairs, side, side).select("a", F.explode("geometry.parts").alias("part"))
+    # The heights of the slabs stand in the plan once for each time that a pair is clipped.
+    assert clipped._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
+    assert clipped.count() == 2
