@@ -179,7 +179,9 @@ def with_shape(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Add `shape`, 128 hash bits as bytes: equal for geometries with equal coordinates."""
     parts = F.col(geometry)["parts"]
     both = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(parts), F.xxhash64(F.lit("shape"), parts))]))
-    return df.withColumn("shape", F.when(parts.isNotNull(), both))
+    # Generated: a join asks for its key not to be null, and such a test would be pushed down into the
+    # geometry, whose expression it would repeat for each coordinate.
+    return df.withColumn("shape", F.explode(F.array(F.when(parts.isNotNull(), both))))
 
 
 def distinct_shapes(df: DataFrame, geometry: str = "geometry") -> DataFrame:

@@ -121,3 +121,12 @@ def test_pairs_are_clipped_and_edges_made_once(spark):
     # The heights of the slabs stand in the plan once for each time that a pair is clipped.
     assert clipped._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
     assert clipped.count() == 2
+
+
+def test_shape_is_hashed_once_where_a_join_asks_for_it(spark):
+    rows = _boxes(spark, [(i, float(i), 0.0, i + 1.0, 1.0) for i in range(3)], "k long").unionByName(_boxes(spark, [(9, None, 0.0, 1.0, 1.0)], "k long").withColumn("geometry", F.lit(None).cast("struct<srid:int,kind:string,parts:array<array<array<struct<x:double,y:double>>>>>")))
+    shaped = spatial.with_shape(rows)
+    joined = shaped.select("shape", "k").join(shaped.groupBy("shape").agg(F.count("k").alias("n")), "shape")
+    assert sorted((r["k"], r["n"]) for r in joined.collect()) == [(0, 1), (1, 1), (2, 1)] and shaped.count() == 4
+    asked = shaped.where("shape is not null").select("shape", "k")
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
