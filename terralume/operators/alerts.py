@@ -84,17 +84,20 @@ def sorted_values(values: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["v"])
 
 
-def alert_occurrences(records: DataFrame, owner: str = "cod_imovel", restrict: bool = False) -> DataFrame:
+def alert_occurrences(
+    records: DataFrame, owner: str = "cod_imovel", restrict: bool = False, copies: str | None = None
+) -> DataFrame:
     """Per property: count, years, types and summed area of alert records.
 
     Years and classes are reduced to distinct values by partial aggregation;
-    with `restrict` only records of restricting years count.
+    with `restrict` only records of restricting years count. `copies` names the
+    column that tells how many records a row stands for; its area is their sum.
     """
     kind = tx.alert_class(F.col("main_class"), F.col("tipo_prodes"), F.col("class_name"))
     rows = records.where(restrictive_year(F.col("year"))) if restrict else records
     area = F.coalesce(F.col("area_sobreposta_ha"), F.lit(0.0))
     return rows.groupBy(owner).agg(
-        F.count(F.lit(1)).alias("quantidade"),
+        (F.count(F.lit(1)) if copies is None else F.sum(copies)).alias("quantidade"),
         F.array_join(sorted_values(F.collect_set(F.col("year").cast("string"))), ",").alias("anos"),
         F.array_join(sorted_values(F.collect_set(kind)), ",").alias("tipos"),
         F.round(F.sum(area), 6).alias("area_soma_ocorrencias_ha"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -87,10 +88,11 @@ def other_properties(
 
 @dataclass(frozen=True)
 class LayerResult:
-    """One layer against all properties; `records` ranked, `counts` whole, `union` on demand."""
+    """One layer against all properties; `records` ranked, `counts` and `groups` whole, `union` on demand."""
 
     records: DataFrame
     counts: DataFrame
+    groups: DataFrame
     pieces: DataFrame
     union: DataFrame
 
@@ -101,15 +103,19 @@ def external_layer(
     feature: str,
     where: Column | None = None,
     limit: int = spatial.EXTERNAL_LIMIT,
+    values: Sequence[str] = (),
 ) -> LayerResult:
-    """Ranked overlaps, counts with truncation flag and sum, clipped shapes and union area.
+    """Ranked overlaps, counts with truncation flag and sum, groups by values, clipped shapes and union area.
 
-    `limit` is the length of the ranked list alone; counts, sums and the union cover everything.
+    `limit` is the length of the ranked list alone; counts, sums, groups and the union cover everything.
+    `groups` counts the overlaps of a property by `values` of the layer, whose rows are looked up by
+    `feature`; what is summed over records reads them, not the list.
 
     The pair table is written once; every result is a plan over it, so only
     what is used is computed.
     """
-    feats = Indexed.of(layer.where(where) if where is not None else layer)
+    kept = layer.where(where) if where is not None else layer
+    feats = Indexed.of(kept)
     ps, fs = properties.shapes, feats.shapes
     pairs = materialize(spatial.shape_overlaps(ps, fs), "pairs")
     mine = properties.features.select("cod_imovel", "shape")
@@ -131,12 +137,16 @@ def external_layer(
         (F.col("quantidade") > limit).alias("truncada"),
         (F.col("soma_m2") / 10000).alias("area_soma_ha"),
     )
+    described = feats.features.select("shape", feature).join(kept.select(feature, *values), feature)
+    groups = spatial.overlap_groups(mine, described, pairs, "cod_imovel", values).select(
+        "cod_imovel", *values, "quantidade", (F.col("soma_m2") / 10000).alias("area_sobreposta_ha")
+    )
     pieces = spatial.intersection_shapes(pairs, ps, fs)
     covered = spatial.union_areas(pieces, ["a"])
     union = mine.select(F.col("shape").alias("a"), "cod_imovel").join(covered, "a").select(
         "cod_imovel", (F.col("area_unica_m2") / 10000).alias("area_unica_sobreposta_ha")
     )
-    return LayerResult(records, counts, pieces, union)
+    return LayerResult(records, counts, groups, pieces, union)
 
 
 def own_layers(

@@ -498,6 +498,24 @@ def overlap_counts(
     return left.select(F.col("shape").alias("a"), left_key).join(per_shape, "a").drop("a")
 
 
+def overlap_groups(
+    left: DataFrame, right: DataFrame, overlaps: DataFrame, left_key: str, values: Sequence[str]
+) -> DataFrame:
+    """Per left feature and values of right features: how many overlap and their summed area, all of them.
+
+    `right` has `shape` and the values. Its rows of one shape and equal values are counted before
+    they meet the pairs, and the pairs are summed per left shape before they meet its features, so
+    copies are expanded on neither side.
+    """
+    members = right.groupBy(F.col("shape").alias("b"), *values).agg(F.count(F.lit(1)).alias("copies"))
+    per_shape = (
+        overlaps.join(members, "b")
+        .groupBy("a", *values)
+        .agg(F.sum("copies").alias("quantidade"), F.sum(F.col("area_m2") * F.col("copies")).alias("soma_m2"))
+    )
+    return left.select(F.col("shape").alias("a"), left_key).join(per_shape, "a").drop("a")
+
+
 def union_areas(pieces: DataFrame, keys: Sequence[str], geometry: str = "geometry") -> DataFrame:
     """Covered area per key of many overlapping polygons, nothing counted twice.
 

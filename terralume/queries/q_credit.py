@@ -263,9 +263,10 @@ def merge_protected_units(spark: SparkSession, sf: str) -> DataFrame:
 def alert_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     """Restricting alerts per property: years, classes, summed area, coverage."""
     p, layer = roles.properties(spark, sf), roles.alerts_layer(spark, sf)
-    result = confront.external_layer(confront.Indexed.of(p), layer, "fid")
-    full = result.records.join(layer.drop("geometry"), "fid").withColumn("tipo_prodes", F.lit(""))
-    found = alerts.alert_occurrences(full, restrict=True)
+    values = ["year", "main_class", "class_name"]
+    result = confront.external_layer(confront.Indexed.of(p), layer, "fid", values=values)
+    full = result.groups.withColumn("tipo_prodes", F.lit(""))
+    found = alerts.alert_occurrences(full, restrict=True, copies="quantidade")
     found = found.withColumn("area_soma_ocorrencias_ha", F.round("area_soma_ocorrencias_ha", 3))
     return alerts.with_coverage(p, found)
 

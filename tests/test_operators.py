@@ -278,3 +278,51 @@ def test_file_report_limits_and_columns(spark, tmp_path):
         "d.csv": (420, [], ["TAMANHO"]),
     }
     assert {r["arquivo"].rsplit("/", 1)[1]: r["taxa"] for r in rows}["d.csv"] == 1.0
+
+
+def _box_rows(spark, rows, names):
+    from terralume.functions import geometry as geo
+
+    made = spark.createDataFrame(rows, f"{names}, x0 double, y0 double, x1 double, y1 double")
+    return made.withColumn("geometry", geo.box_geometry(*map(F.col, ("x0", "y0", "x1", "y1")))).drop("x0", "y0", "x1", "y1")
+
+
+def test_occurrences_beyond_the_length_of_a_list_count(spark, monkeypatch):
+    """More old and large alerts than a ranked list holds, of one shape and of many, hide no later ones."""
+    from terralume.functions import geometry as geo
+    from terralume.queries import q_credit
+
+    old = [(i, 2010, "1-URGENT", "desmatamento", -50.0, -10.0, -49.0, -9.5 + (i % 40) / 100) for i in range(2100)]
+    new = [(5000 + i, 2019 + i % 2, "3-MEDIUM", "QUEIMADA", -50.0, -10.0, -49.99, -9.99) for i in range(2050)]
+    later = [(9000, 2024, "5-LOW", "", -50.0, -10.0, -49.98, -9.99)]
+    layer = _box_rows(spark, old + new + later, "fid long, year int, class_name string, main_class string")
+    places = [("A", -51.0, -11.0, -48.0, -8.0), ("B", -50.0, -10.0, -49.985, -9.0), ("C", 0.0, 0.0, 1.0, 1.0)]
+    properties = _box_rows(spark, places, "cod_imovel string")
+    monkeypatch.setattr(q_credit.roles, "properties", lambda *_: properties)
+    monkeypatch.setattr(q_credit.roles, "alerts_layer", lambda *_: layer)
+    got = {r["cod_imovel"]: r for r in q_credit.alert_occurrences(spark, "").collect()}
+    for code in "AB":
+        assert (got[code]["quantidade"], got[code]["anos"], got[code]["tipos"]) == (2051, "2019,2020,2024", "5-LOW,QUEIMADA")
+    one = _box_rows(spark, [("a", -50.0, -10.0, -49.99, -9.99)], "k string").select(geo.area_m2(F.col("geometry")).alias("m")).first()["m"]
+    assert got["A"]["area_soma_ocorrencias_ha"] == pytest.approx(2052 * one / 10000, abs=2e-3)
+    assert got["B"]["area_soma_ocorrencias_ha"] == pytest.approx(2051.5 * one / 10000, abs=2e-3)
+    assert (got["C"]["quantidade"], got["C"]["cobertura_status"]) == (0, "COBERTURA_NAO_CONFIRMADA")
+
+
+def test_groups_of_overlaps_tell_what_all_records_tell(spark):
+    """Copies of shapes, keys that repeat and missing values on both sides."""
+    places = [("A", 0.0, 0.0, 2.0, 2.0), ("A", 0.0, 0.0, 2.0, 2.0), ("A", 1.0, 1.0, 3.0, 3.0), ("B", 0.0, 0.0, 2.0, 2.0), ("C", 9.0, 9.0, 9.5, 9.5)]
+    properties = _box_rows(spark, [*places, (None, 0.0, 0.0, 1.0, 1.0)], "cod_imovel string")
+    spots = [(i % 13, None if i % 5 == 0 else 2015 + i % 9, "X" if i % 3 else None, "queimada" if i % 2 else None, (i % 4) / 2, 0.5, (i % 4) / 2 + 1, 1.5) for i in range(40)]
+    layer = _box_rows(spark, [*spots, (None, 2020, "X", None, 0.0, 0.0, 1.0, 1.0)], "fid long, year int, class_name string, main_class string")
+    values = ["year", "class_name", "main_class"]
+    result = confront.external_layer(confront.Indexed.of(properties), layer, "fid", limit=10_000, values=values)
+    records = result.records.join(layer.drop("geometry"), "fid").withColumn("tipo_prodes", F.lit(""))
+    groups = result.groups.withColumn("tipo_prodes", F.lit(""))
+    for restrict in (False, True):
+        want = {r["cod_imovel"]: r for r in alerts.alert_occurrences(records, restrict=restrict).collect()}
+        got = {r["cod_imovel"]: r for r in alerts.alert_occurrences(groups, restrict=restrict, copies="quantidade").collect()}
+        assert got.keys() == want.keys() == {"A", "B", None}
+        for code, row in want.items():
+            assert [got[code][c] for c in ("quantidade", "anos", "tipos")] == [row[c] for c in ("quantidade", "anos", "tipos")]
+            assert got[code]["area_soma_ocorrencias_ha"] == pytest.approx(row["area_soma_ocorrencias_ha"], rel=1e-9)
